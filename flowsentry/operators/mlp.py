@@ -31,6 +31,7 @@ ARCHITECTURE = {
 ALPHA_VALUES = (1e-5, 1e-4, 1e-3, 1e-2)
 BETA1, BETA2, EPSILON, TOLERANCE = 0.9, 0.999, 1e-8, 1e-4
 TREE_WIDTH = 32
+MIN_STEPS = 16
 EPOCH_SCHEMA = (
     "n long, steps long, loss double, val_n long, val_correct long, state binary"
 )
@@ -213,11 +214,14 @@ def fit_mlp_adam(
 ) -> NetworkModel:
     """Train until the validation accuracy has not improved for ``patience`` epochs.
 
-    ``tasks`` is the number of parallel workers (default: the cluster's parallelism).
-    The driver only ever holds weights, which do not grow with the data.
+    ``tasks`` is the number of parallel workers; by default the cluster's parallelism, but
+    few enough that each takes MIN_STEPS steps between two averagings. The driver only
+    ever holds weights, which do not grow with the data.
     """
     spark = train.sparkSession
-    tasks = tasks or spark.sparkContext.defaultParallelism
+    if tasks is None:
+        useful = train.count() // (MIN_STEPS * batch_size)
+        tasks = max(1, min(useful, spark.sparkContext.defaultParallelism))
     table = _training_table(train, key, seed, validation_fraction, tasks)
     layers = [len(table.select("features").head().features), *hidden, 1]
     weights = initial_weights(layers, seed)
