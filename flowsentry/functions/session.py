@@ -46,12 +46,22 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return os.path.join(scratch_root(spark), "flowsentry", app, f"{label}-{uuid.uuid4().hex}")
 
 
-def materialise(df: DataFrame, label: str = "table") -> DataFrame:
+def materialise(df: DataFrame, label: str = "table", spread: bool = False) -> DataFrame:
     """Write ``df`` once to the shared scratch folder and read it back.
 
     Cuts the lineage before a frame is scanned repeatedly (iterative fits, multi-pass
-    metrics). A written table outlives any executor and keeps column pruning.
+    metrics). A written table outlives any executor and keeps column pruning. With
+    ``spread``, a table that fills fewer partitions than there are cores is dealt out
+    over all of them; larger tables are left as they are.
     """
+    back = _write(df, label)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if spread and back.rdd.getNumPartitions() < cores:
+        back = _write(back.repartition(cores), label)
+    return back
+
+
+def _write(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

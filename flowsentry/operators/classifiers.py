@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from flowsentry.functions.columns import apply_threshold, linear_score, logistic
 from flowsentry.functions.session import write_json
+from flowsentry.operators.newton import MAX_SCANS, Problem, solve
 
 # Penalty grid of the linear models.
 C_VALUES = (0.001, 0.01, 0.1, 1.0, 10.0, 100.0, 1000.0)
@@ -135,12 +136,37 @@ def training_frame(train: DataFrame) -> DataFrame:
     return with_vector(train.select(F.col("label").cast("double").alias("label"), "features"))
 
 
-def fit_logistic(train: DataFrame, c: float = 1.0, max_iter: int = 1000) -> LinearModel:
+def newton_models(
+    table: DataFrame, problems: list[Problem], kind: str, max_scans: int = MAX_SCANS
+) -> list[LinearModel]:
+    """Models of several penalties and folds, fitted together over shared scans."""
+    probability = kind == "logistic"
+    return [
+        LinearModel([float(v) for v in w[:-1]], float(w[-1]), probability, 0.5 if probability else 0.0)
+        for w in solve(table, problems, kind, max_scans)
+    ]
+
+
+def _all_rows(train: DataFrame) -> DataFrame:
+    return train.select("features", F.col("label").cast("double").alias("label"), F.lit(0).alias("fold"))
+
+
+def fit_logistic(
+    train: DataFrame, c: float = 1.0, solver: str = "newton", max_iter: int = 1000
+) -> LinearModel:
+    """``newton`` scans the data about ten times; ``lbfgs`` suits very wide features."""
+    if solver == "newton":
+        return newton_models(_all_rows(train), [Problem(c)], "logistic")[0]
     model = logistic_estimator(c, train.count(), max_iter).fit(training_frame(train))
     return LinearModel([float(w) for w in model.coefficients], float(model.intercept), True, 0.5)
 
 
-def fit_linear_svm(train: DataFrame, c: float = 1.0, max_iter: int = 200) -> LinearModel:
+def fit_linear_svm(
+    train: DataFrame, c: float = 1.0, solver: str = "newton", max_iter: int = 200
+) -> LinearModel:
+    """Squared hinge loss with ``newton``, plain hinge loss with ``owlqn``."""
+    if solver == "newton":
+        return newton_models(_all_rows(train), [Problem(c)], "squared_hinge")[0]
     model = svm_estimator(c, train.count(), max_iter).fit(training_frame(train))
     return LinearModel([float(w) for w in model.coefficients], float(model.intercept), False, 0.0)
 

@@ -159,19 +159,33 @@ def chunks(n: int, width: int) -> Iterator[slice]:
 
 
 def nearest(q: np.ndarray, bound: np.ndarray, x, ids, labels, k: int) -> np.ndarray:
-    """The best k rows of one block per query, within its bound, as HIT records."""
+    """The best k rows of one block per query, within its bound, as HIT records.
+
+    A matrix product gives distances up to rounding; whatever could be among the best k
+    within that error is then measured exactly, dimension by dimension.
+    """
     found = []
+    x_norms, q_norms = (x * x).sum(1), (q * q).sum(1)
+    error = 1e-11 * (1 + q_norms + x_norms.max())
     for part in chunks(len(q), len(x)):
-        d2 = np.zeros((part.stop - part.start, len(x)))
+        near = q[part] @ x.T
+        near *= -2
+        near += x_norms
+        near += q_norms[part, None]
+        limit = bound[part] + error[part]
+        if len(x) > k and not np.isfinite(limit).all():
+            kth = np.partition(near, k - 1, axis=1)[:, k - 1]
+            limit = np.minimum(limit, kth + 2 * error[part])
+        r, c = np.nonzero(near <= limit[:, None])
+        rows = r + part.start
+        d2 = np.zeros(len(r))
         for j in range(x.shape[1]):
-            diff = q[part, None, j] - x[None, :, j]
+            diff = q[rows, j] - x[c, j]
             d2 += diff * diff
-        limit = bound[part]
-        if len(x) > k:
-            limit = np.minimum(limit, np.partition(d2, k - 1, axis=1)[:, k - 1])
-        r, c = np.nonzero(d2 <= limit[:, None])
-        hits = np.empty(len(r), HIT)
-        hits["row"], hits["d2"], hits["id"], hits["label"] = r + part.start, d2[r, c], ids[c], labels[c]
+        keep = d2 <= bound[rows]
+        hits = np.empty(int(keep.sum()), HIT)
+        hits["row"], hits["d2"] = rows[keep], d2[keep]
+        hits["id"], hits["label"] = ids[c[keep]], labels[c[keep]]
         found.append(best_per_row(hits, k))
     return np.concatenate(found)
 
@@ -228,7 +242,7 @@ class KnnIndex:
             col(key).cast("long").alias("id"), F.col("label").cast("int").alias("label"), "features")
         rows = materialise(
             rows.withColumn("r", F.row_number().over(same)).filter(F.col("r") <= k_max).drop("r"),
-            "knn-rows")
+            "knn-rows", spread=True)
         n = rows.count()
         if n == 0:
             raise ValueError("cannot index an empty training frame")

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from flowsentry.functions.arrow import matrix
+from flowsentry.functions.arrow import matrix, sum_over_tasks, vector_batch
 from flowsentry.functions.columns import apply_threshold, col, hash_order
 from flowsentry.functions.session import materialise, write_json
 from flowsentry.operators.sampling import hash_cutoffs
@@ -30,11 +30,8 @@ ARCHITECTURE = {
 }
 ALPHA_VALUES = (1e-5, 1e-4, 1e-3, 1e-2)
 BETA1, BETA2, EPSILON, TOLERANCE = 0.9, 0.999, 1e-8, 1e-4
-TREE_WIDTH = 32
 MIN_STEPS = 16
-EPOCH_SCHEMA = (
-    "n long, steps long, loss double, val_n long, val_correct long, state binary"
-)
+TOTALS = 5  # rows, rows * steps, loss, validation rows, correct validation rows
 
 
 def shapes(layers: list[int]) -> list[tuple[int, ...]]:
@@ -112,31 +109,12 @@ def epoch_task(state: np.ndarray, steps: int, layers: list[int], alpha: float, r
                 t = steps + taken
                 scale = rate * math.sqrt(1 - BETA2 ** t) / (1 - BETA1 ** t)
                 w = w - scale * m / (np.sqrt(v) + EPSILON)
-        yield result_row(n, taken, loss, val_n, val_correct, np.concatenate([w, m, v]) * n)
+        totals = [n, n * taken, loss, val_n, val_correct]
+        yield vector_batch(np.concatenate([totals, np.concatenate([w, m, v]) * n]))
 
     return run
 
 
-def result_row(n, steps, loss, val_n, val_correct, state) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({
-        "n": [n], "steps": [steps], "loss": [loss], "val_n": [val_n],
-        "val_correct": [val_correct], "state": [state.astype(np.float64).tobytes()],
-    })
-
-
-def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Add up task results; used for the inner level of the reduction tree."""
-    totals, state = [0, 0, 0.0, 0, 0], None
-    for batch in batches:
-        for row in batch.to_pylist():
-            part = np.frombuffer(row["state"])
-            state = part.copy() if state is None else state + part
-            for i, name in enumerate(("n", "steps", "loss", "val_n", "val_correct")):
-                totals[i] = max(totals[i], row[name]) if name == "steps" else totals[i] + row[name]
-    if state is not None:
-        yield result_row(*totals, state)
-
-
 @dataclass
 class NetworkModel:
     """A trained network; scoring runs over whole Arrow batches."""
@@ -227,28 +205,25 @@ def fit_mlp_adam(
     weights = initial_weights(layers, seed)
     state = np.concatenate([weights, np.zeros(2 * len(weights))])
     model = NetworkModel(layers, weights)
+    parts = table.rdd.getNumPartitions()
     best, best_weights, waited, steps = -1.0, weights, 0, 0
     # Job e scores the weights that epoch e-1 produced, so one more job ends the last epoch.
     for epoch in range(max_epochs + 1):
         run = epoch_task(state, steps, layers, alpha, learning_rate, batch_size, seed + epoch)
-        results = table.mapInArrow(run, EPOCH_SCHEMA)
-        if tasks > TREE_WIDTH:
-            results = results.repartition(math.isqrt(tasks)).mapInArrow(combine, EPOCH_SCHEMA)
-        rows = results.collect()
-        n = sum(r.n for r in rows)
-        val_n = sum(r.val_n for r in rows)
-        accuracy = sum(r.val_correct for r in rows) / val_n if val_n else 0.0
+        sums = sum_over_tasks(table, run, parts)
+        n, weighted_steps, cost, val_n, val_correct = sums[:TOTALS]
+        accuracy = val_correct / val_n if val_n else 0.0
         if epoch:
             model.history.append(
-                {"epoch": epoch, "loss": loss, "validation_score": accuracy})
+                {"epoch": epoch, "loss": float(loss), "validation_score": float(accuracy)})
             model.epochs_completed = epoch
             waited = 0 if accuracy > best + TOLERANCE else waited + 1
             if accuracy > best:
                 best, best_weights = accuracy, state.reshape(3, -1)[0]
             if waited >= patience:
                 break
-        loss = sum(r.loss for r in rows) / n
-        state = sum(np.frombuffer(r.state) for r in rows) / n
-        steps += max(r.steps for r in rows)
-    model.weights, model.best_validation_score = np.array(best_weights), best
+        loss = cost / n
+        state = sums[TOTALS:] / n
+        steps += round(weighted_steps / n)
+    model.weights, model.best_validation_score = np.array(best_weights), float(best)
     return model

@@ -100,29 +100,42 @@ def hash_cutoffs(
 
 
 def _below(order: Column, by: Column, cutoffs: dict, which: int = 0) -> Column:
-    cases = [(by == F.lit(c)) & (order <= F.lit(cuts[which])) for c, cuts in cutoffs.items()]
-    return reduce(or_, cases, F.lit(False))
+    """True up to the cut-off of the row's class; the hash is computed once per row."""
+    cut = F.lit(BELOW_ALL)
+    for c, cuts in cutoffs.items():
+        cut = F.when(by == F.lit(c), F.lit(cuts[which])).otherwise(cut)
+    return order <= cut
 
 
-def stratified_split(
+def split_filter(
     df: DataFrame, key: str, label: str, fraction: float = 0.7, seed: int = 42
-) -> tuple[DataFrame, DataFrame]:
-    """Train and test frames; the train part holds floor(fraction * n) rows of each class."""
+) -> Column:
+    """True for training rows: floor(fraction * n) rows of each class of ``df``."""
     order = hash_order(col(key), seed)
     cutoffs = hash_cutoffs(
         df, order, col(label), lambda n: {c: [int(s * fraction)] for c, s in n.items()}
     )
-    inside = _below(order, col(label), cutoffs)
+    return _below(order, col(label), cutoffs)
+
+
+def stratified_split(
+    df: DataFrame, key: str, label: str, fraction: float = 0.7, seed: int = 42
+) -> tuple[DataFrame, DataFrame]:
+    """Train and test frames; the train part holds floor(fraction * n) rows of each class."""
+    inside = split_filter(df, key, label, fraction, seed)
     return df.filter(inside), df.filter(~inside)
 
 
+def balance_filter(df: DataFrame, key: str, label: str, seed: int = 42) -> Column:
+    """True for the rows kept when every class is cut to the size of the smallest."""
+    order = hash_order(col(key), seed, "balance")
+    cutoffs = hash_cutoffs(df, order, col(label), lambda n: {c: [min(n.values())] for c in n})
+    return _below(order, col(label), cutoffs)
+
+
 def undersample(df: DataFrame, key: str, label: str, seed: int = 42) -> DataFrame:
     """Cut every class down to the size of the smallest one."""
-    order = hash_order(col(key), seed, "balance")
-    cutoffs = hash_cutoffs(
-        df, order, col(label), lambda n: {c: [min(n.values())] for c in n}
-    )
-    return df.filter(_below(order, col(label), cutoffs))
+    return df.filter(balance_filter(df, key, label, seed))
 
 
 def proportional_shares(sizes: dict, n: int) -> dict:

@@ -91,22 +91,20 @@ def rule_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- cleaning --------------------------------------------------------------------------
 
 @query("usable_flows", f"""with {F_SQL}
-select row_id, value, round(per_k, 6) as per_k,
-       round(case when isfinite(rate) then rate end, 6) as rate, event_type
+select row_id, value, per_k, case when isfinite(rate) then rate end as rate, event_type
 from f where per_k is not null""")
 def usable_flows(spark, sf_dir):
     contract = [f for f in EVENTS.features if f != "rate"]
     kept = cleaning.usable_rows(surrogate.events(spark, sf_dir), contract)
-    return kept.select("row_id", "value", r6("per_k"), r6("rate"), "event_type")
+    return kept.select("row_id", "value", "per_k", "rate", "event_type")
 
 
 @query("contract_projection", f"""with {USABLE_SQL}
-select value, k, hour, user_id, round(rate, 6) as rate, round(per_k, 6) as per_k, event_type from u""")
+select value, k, hour, user_id, rate, per_k, event_type from u""")
 def contract_projection(spark, sf_dir):
     df = surrogate.events(spark, sf_dir)
     usable = cleaning.usable_rows(df, EVENTS.features)
-    return cleaning.require_features(usable, EVENTS.features).withColumns(
-        {"rate": F.round("rate", 6), "per_k": F.round("per_k", 6)})
+    return cleaning.require_features(usable, EVENTS.features)
 
 
 @query("infinities_to_null", f"""with {F_SQL}
@@ -150,11 +148,11 @@ def _csv_of_events(spark: SparkSession, sf_dir: str) -> str:
 
 @query("csv_flow_scan", f"""with {F_SQL}
 select row_id::varchar as row_id, value, k, hour, user_id, event_type, isinf(rate)::int as infinite_rate,
-       round(per_k, 6) as per_k from f""")
+       per_k from f""")
 def csv_flow_scan(spark, sf_dir):
     df = flow_files.read_flows(spark, _csv_of_events(spark, sf_dir), EVENTS)
     return df.select("row_id", "value", "k", "hour", "user_id", "event_type",
-                     F.col("rate").isin(float("inf")).cast("int").alias("infinite_rate"), r6("per_k"))
+                     F.col("rate").isin(float("inf")).cast("int").alias("infinite_rate"), "per_k")
 
 
 @query("csv_bad_numbers", f"""with {F_SQL}

@@ -15,7 +15,7 @@ from flowsentry.operators.features import TOP_FEATURES, FlowPreprocessor
 from flowsentry.operators.knn import KnnModel
 from flowsentry.operators.metrics import evaluate
 from flowsentry.operators.mlp import ARCHITECTURE, NetworkModel
-from flowsentry.operators.sampling import stratified_split, undersample
+from flowsentry.operators.sampling import balance_filter, split_filter
 from flowsentry.operators.tuning import tune_and_fit
 from flowsentry.profiles import MODEL_ORDER, STUDY_SEEDS, FlowProfile, binarise_label
 from flowsentry.sources.results import METRICS, RESULT_SCHEMA, TIMINGS, run_table
@@ -29,16 +29,23 @@ def prepare(
     """Clean, split, balance the training part, fit the preprocessing and write both parts.
 
     Everything is fitted on training rows only; the test part keeps its natural shares.
+    The source is read three times: for the keys the sampling works on, for the balanced
+    training rows, and for the test features.
     """
     labelled = binarise_label(usable_rows(df, profile.features), profile)
-    train, test = stratified_split(labelled, key, "label", fraction, seed)
-    balanced = undersample(train, key, "label", seed)
-    preprocessor = FlowPreprocessor.fit(balanced, profile, "label", k, method, seed)
+    keys = materialise(labelled.select(col(key), "label"), "keys")
+    in_train = split_filter(keys, key, "label", fraction, seed)
+    in_balance = balance_filter(keys.filter(in_train), key, "label", seed)
+    contract = [col(f) for f in profile.features if f not in (key, "label")]
+    rows = materialise(
+        labelled.filter(in_train & in_balance).select(col(key), "label", *contract), "train-rows", spread=True)
+    preprocessor = FlowPreprocessor.fit(rows, profile, "label", k, method, seed)
     features = preprocessor.feature_array().alias("features")
+    test = labelled.filter(~in_train)
     return (
         preprocessor,
-        materialise(balanced.select(col(key), "label", features), "train"),
-        materialise(test.select(col(key), "label", features), "test"),
+        materialise(rows.select(col(key), "label", features), "train"),
+        materialise(test.select(col(key), "label", features), "test", spread=True),
     )
 
 
