@@ -16,7 +16,7 @@ from pyspark.ml.classification import (
     MultilayerPerceptronClassifier, RandomForestClassificationModel, RandomForestClassifier,
 )
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from flowsentry.functions.columns import apply_threshold, linear_score, logistic
 from flowsentry.functions.session import write_json
@@ -58,33 +58,21 @@ class LinearModel:
             label, apply_threshold(F.col(score), self.threshold))
 
     def save(self, spark: SparkSession, path: str) -> None:
-        write_json(spark, path, {"kind": "linear", **self.__dict__})
+        write_json(spark, path + "/kind", {"kind": "linear", **self.__dict__})
 
 
-@dataclass
-class ForestModel:
-    model: RandomForestClassificationModel
-    threshold: float = 0.5
-
-    def attach(self, df: DataFrame, score: str, label: str) -> DataFrame:
-        model = self.model.copy()
-        model.setFeaturesCol(VECTOR).setRawPredictionCol("").setPredictionCol("")
-        model.setProbabilityCol("_probability")
-        scored = model.transform(with_vector(df)).withColumn(
-            score, vector_to_array(F.col("_probability"))[1])
-        return scored.withColumn(label, apply_threshold(F.col(score), self.threshold)).drop(
-            VECTOR, "_probability")
-
-    def save(self, spark: SparkSession, path: str) -> None:
-        self.model.write().overwrite().save(path + "/model")
-        write_json(spark, path + "/kind", {"kind": "forest", "threshold": self.threshold})
+def score_column(probability: bool = True, column: str | None = None) -> Column:
+    """The attack score in a Spark ML result: the probability, or the raw margin."""
+    name = column or ("probability" if probability else "rawPrediction")
+    return vector_to_array(F.col(name))[1]
 
 
 @dataclass
-class PerceptronModel:
-    """Spark ML's multilayer perceptron (sigmoid units, L-BFGS)."""
+class VectorModel:
+    """A Spark ML classifier with probabilities: the forest, or the sigmoid perceptron."""
 
-    model: MultilayerPerceptronClassificationModel
+    model: RandomForestClassificationModel | MultilayerPerceptronClassificationModel
+    kind: str
     threshold: float = 0.5
 
     def attach(self, df: DataFrame, score: str, label: str) -> DataFrame:
@@ -92,13 +80,13 @@ class PerceptronModel:
         model.setFeaturesCol(VECTOR).setRawPredictionCol("").setPredictionCol("")
         model.setProbabilityCol("_probability")
         scored = model.transform(with_vector(df)).withColumn(
-            score, vector_to_array(F.col("_probability"))[1])
+            score, score_column(column="_probability"))
         return scored.withColumn(label, apply_threshold(F.col(score), self.threshold)).drop(
             VECTOR, "_probability")
 
     def save(self, spark: SparkSession, path: str) -> None:
         self.model.write().overwrite().save(path + "/model")
-        write_json(spark, path + "/kind", {"kind": "perceptron", "threshold": self.threshold})
+        write_json(spark, path + "/kind", {"kind": self.kind, "threshold": self.threshold})
 
 
 def logistic_estimator(c: float, rows: int, max_iter: int = 1000) -> LogisticRegression:
@@ -171,21 +159,23 @@ def fit_linear_svm(
     return LinearModel([float(w) for w in model.coefficients], float(model.intercept), False, 0.0)
 
 
-def fit_forest(train: DataFrame, seed: int = 42, **parameters) -> ForestModel:
-    return ForestModel(forest_estimator(seed=seed, **parameters).fit(training_frame(train)))
+def fit_forest(train: DataFrame, seed: int = 42, **parameters) -> VectorModel:
+    fitted = forest_estimator(seed=seed, **parameters).fit(training_frame(train))
+    return VectorModel(fitted, "forest")
 
 
 def fit_mlp(
     train: DataFrame, hidden: tuple[int, ...] = (128, 64), max_iter: int = 100, seed: int = 42
-) -> PerceptronModel:
+) -> VectorModel:
+    """Spark ML's multilayer perceptron: sigmoid units, L-BFGS."""
     width = len(train.select("features").head().features)
     estimator = MultilayerPerceptronClassifier(
         featuresCol=VECTOR, labelCol="label", layers=[width, *hidden, 2], maxIter=max_iter, seed=seed
     )
-    return PerceptronModel(estimator.fit(training_frame(train)))
+    return VectorModel(estimator.fit(training_frame(train)), "perceptron")
 
 
-def feature_importances(spark: SparkSession, model: ForestModel, names: list[str]) -> DataFrame:
+def feature_importances(spark: SparkSession, model: VectorModel, names: list[str]) -> DataFrame:
     """(feature, importance) rows, most important first."""
     values = [float(v) for v in model.model.featureImportances.toArray()]
     rows = list(zip(names, values, strict=True))
@@ -193,11 +183,6 @@ def feature_importances(spark: SparkSession, model: ForestModel, names: list[str
         F.col("importance").desc(), "feature")
 
 
-def score_column(model_name: str) -> str:
-    """What a model's score means: a probability, a vote share or a margin."""
-    return "margin" if model_name == "Linear SVM" else "vote share" if model_name == "kNN" else "probability"
-
-
 @contextmanager
 def timed(record: dict, name: str):
     """Store the wall-clock seconds of the enclosed action under ``name``."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
@@ -11,18 +13,25 @@ from flowsentry.functions.columns import col, ratio
 SMALL_CURVE = 200_000
 
 
-def _per_model(row: DataFrame, models: list[str], fields: list[str]) -> DataFrame:
-    """Turn one wide row with columns <field>_<i> into one row per model."""
+def _per_model(
+    row: DataFrame, models: list[str], fields: list[str], by: Sequence[str] = ()
+) -> DataFrame:
+    """Turn wide rows with columns <field>_<i> into one row per model."""
     structs = [
         F.struct(F.lit(m).alias("model"), *[F.col(f"{f}_{i}").alias(f) for f in fields])
         for i, m in enumerate(models)
     ]
-    exploded = row.select(F.explode(F.array(*structs)).alias("e"))
-    return exploded.select("e.model", *[F.col(f"e.{f}") for f in fields])
+    exploded = row.select(*by, F.explode(F.array(*structs)).alias("e"))
+    return exploded.select(*by, "e.model", *[F.col(f"e.{f}") for f in fields])
+
 
+def confusion_counts(
+    df: DataFrame, label: str, predictions: dict[str, str], by: Sequence[str] = ()
+) -> DataFrame:
+    """One row per model (and group): tn, fp, fn, tp, testing_rows. All models in one pass.
 
-def confusion_counts(df: DataFrame, label: str, predictions: dict[str, str]) -> DataFrame:
-    """One row per model: tn, fp, fn, tp, testing_rows. All models in one pass."""
+    A null prediction counts nowhere but in testing_rows.
+    """
     y = col(label) == 1
     aggregates = []
     for i, column in enumerate(predictions.values()):
@@ -33,8 +42,8 @@ def confusion_counts(df: DataFrame, label: str, predictions: dict[str, str]) ->
             F.count(F.lit(1)).alias(f"testing_rows_{i}"),
         ]
     return _per_model(
-        df.agg(*aggregates), list(predictions), ["tn", "fp", "fn", "tp", "testing_rows"]
-    )
+        df.groupBy(*by).agg(*aggregates), list(predictions),
+        ["tn", "fp", "fn", "tp", "testing_rows"], by)
 
 
 def confusion_matrix(counts: DataFrame) -> DataFrame:
@@ -80,14 +89,15 @@ def _bounds(df: DataFrame, scores: dict[str, str], buckets: int) -> list[list[fl
 
 
 def ranking_metrics(
-    df: DataFrame, label: str, scores: dict[str, str], buckets: int | None = None
+    df: DataFrame, label: str, scores: dict[str, str], buckets: int | None = None,
+    by: Sequence[str] = (),
 ) -> DataFrame:
-    """ROC AUC (ties count one half) and step-wise average precision per model.
+    """ROC AUC (ties count one half) and step-wise average precision per model and group.
 
     Rows are first counted by distinct score. The score range is cut at approximate
     quantiles, cumulative counts run inside each range in parallel, and the totals of
-    the other ranges come from one small table (models x ranges rows), so no window
-    ever orders a whole column. The result is exact for any cut.
+    the other ranges come from one small table (models x ranges rows per group), so no
+    window ever orders a whole column. The result is exact for any cut.
     """
     if buckets is None:
         buckets = 1 if df.limit(SMALL_CURVE + 1).count() <= SMALL_CURVE else 128
@@ -97,34 +107,36 @@ def ranking_metrics(
                  _bucket(col(c).cast("double"), bounds[i]).alias("b"))
         for i, (m, c) in enumerate(scores.items())
     ]))
+    group = [*by, "model"]
     curve = (
-        df.select(col(label).cast("long").alias("y"), pairs.alias("e"))
-        .groupBy("e.model", "e.b", "e.s")
+        df.select(*by, col(label).cast("long").alias("y"), pairs.alias("e"))
+        .select(*by, "y", "e.model", "e.b", "e.s")
+        .groupBy(*group, "b", "s")
         .agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("q"))
     )
-    ascending = Window.partitionBy("model", "b").orderBy("s")
+    ascending = Window.partitionBy(*group, "b").orderBy("s")
     ranked = curve.select(
-        "model", "b", "p", "q",
+        *group, "b", "p", "q",
         F.sum("p").over(ascending).alias("cp"), F.sum("q").over(ascending).alias("cq"),
     )
-    # Per range: its totals and the sums that need only its own cumulative counts.
-    # With P0, Q0 = positives and negatives in lower ranges, a score with own counts p, q
-    # has Q0 + cq - q negatives below it and, counted from the top, tp = P - P0 - cp + p.
-    totals = curve.groupBy("model", "b").agg(F.sum("p").alias("bp"), F.sum("q").alias("bq"))
-    order = Window.partitionBy("model").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy("model")
+    # With p0, q0 = positives and negatives in lower ranges, a score with own counts p, q
+    # has q0 + cq - q negatives below it and, counted from the top, pt - p0 - cp + p
+    # positives at or above it.
+    totals = curve.groupBy(*group, "b").agg(F.sum("p").alias("bp"), F.sum("q").alias("bq"))
+    order = Window.partitionBy(*group).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*group)
     offsets = totals.select(
-        "model", "b",
+        *group, "b",
         F.coalesce(F.sum("bp").over(order), F.lit(0)).alias("p0"),
         F.coalesce(F.sum("bq").over(order), F.lit(0)).alias("q0"),
         F.sum("bp").over(whole).alias("pt"), F.sum("bq").over(whole).alias("qt"),
     )
-    # At most len(scores) * buckets rows.
-    joined = ranked.join(F.broadcast(offsets), ["model", "b"])
+    # The offsets hold len(scores) * buckets rows per group; Spark broadcasts them by size.
+    joined = ranked.join(offsets, [*group, "b"])
     below = F.col("q0") + F.col("cq") - F.col("q")
     tp = F.col("pt") - F.col("p0") - F.col("cp") + F.col("p")
     reached = tp + F.col("qt") - below
-    return joined.groupBy("model").agg(
+    return joined.groupBy(*group).agg(
         (F.sum(F.col("p") * (below + F.col("q") / 2.0))
          / F.nullif(F.max("pt").cast("double") * F.max("qt"), F.lit(0.0))).alias("roc_auc"),
         F.coalesce(
@@ -136,9 +148,8 @@ def ranking_metrics(
 
 def evaluate(
     df: DataFrame, label: str, predictions: dict[str, str], scores: dict[str, str],
-    buckets: int | None = None,
+    buckets: int | None = None, by: Sequence[str] = (),
 ) -> DataFrame:
-    """All metrics per model: confusion counts, ratios, ROC AUC and average precision."""
-    counted = metrics(confusion_matrix(confusion_counts(df, label, predictions)))
-    ranked = ranking_metrics(df, label, scores, buckets)
-    return counted.join(F.broadcast(ranked), "model")  # one row per model
+    """All metrics per model and group: confusion counts, ratios, ROC AUC, average precision."""
+    counted = metrics(confusion_matrix(confusion_counts(df, label, predictions, by)))
+    return counted.join(ranking_metrics(df, label, scores, buckets, by), [*by, "model"])

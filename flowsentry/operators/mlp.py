@@ -62,13 +62,13 @@ def forward(x: np.ndarray, parts: list[np.ndarray]) -> list[np.ndarray]:
     last = len(parts) // 2 - 1
     for i in range(last + 1):
         z = layers[-1] @ parts[2 * i] + parts[2 * i + 1]
-        layers.append(np.maximum(z, 0) if i < last else 1 / (1 + np.exp(-np.clip(z, -500, 500))))
+        layers.append(np.maximum(z, 0) if i < last else 1 / (1 + np.exp(-np.clip(z, -80, 80))))
     return layers
 
 
 def gradient(x: np.ndarray, y: np.ndarray, parts: list[np.ndarray], alpha: float):
     activations = forward(x, parts)
-    p = np.clip(activations[-1][:, 0], 1e-12, 1 - 1e-12)
+    p = np.clip(activations[-1][:, 0], 1e-7, 1 - 1e-7)
     loss = -float(np.sum(y * np.log(p) + (1 - y) * np.log(1 - p)))
     delta = (activations[-1] - y[:, None]) / len(y)
     grads: list[np.ndarray] = []
@@ -84,14 +84,14 @@ def epoch_task(state: np.ndarray, steps: int, layers: list[int], alpha: float, r
     """The mapInArrow function of one epoch: a task's rows in, one row of results out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, m, v = (a.copy() for a in state.reshape(3, -1))
-        start = unpack(state.reshape(3, -1)[0], layers)
+        w, m, v = state.reshape(3, -1).astype(np.float32)
+        start = unpack(w.copy(), layers)
         rng = np.random.default_rng(seed)
         n = val_n = val_correct = taken = 0
         loss = 0.0
         for batch in batches:
-            x = matrix(batch.column("features")).astype(np.float64)
-            y = batch.column("label").to_numpy(zero_copy_only=False).astype(np.float64)
+            x = matrix(batch.column("features"))
+            y = batch.column("label").to_numpy(zero_copy_only=False).astype(np.float32)
             val = batch.column("is_val").to_numpy(zero_copy_only=False)
             if val.any():
                 val_n += int(val.sum())
@@ -107,10 +107,10 @@ def epoch_task(state: np.ndarray, steps: int, layers: list[int], alpha: float, r
                 m = BETA1 * m + (1 - BETA1) * g
                 v = BETA2 * v + (1 - BETA2) * g * g
                 t = steps + taken
-                scale = rate * math.sqrt(1 - BETA2 ** t) / (1 - BETA1 ** t)
+                scale = np.float32(rate * math.sqrt(1 - BETA2 ** t) / (1 - BETA1 ** t))
                 w = w - scale * m / (np.sqrt(v) + EPSILON)
         totals = [n, n * taken, loss, val_n, val_correct]
-        yield vector_batch(np.concatenate([totals, np.concatenate([w, m, v]) * n]))
+        yield vector_batch(np.concatenate([totals, np.concatenate([w, m, v]).astype(np.float64) * n]))
 
     return run
 
@@ -127,14 +127,14 @@ class NetworkModel:
     best_validation_score: float = 0.0
 
     def attach(self, df: DataFrame, score: str, label: str) -> DataFrame:
-        layers, weights = self.layers, self.weights
+        layers, weights = self.layers, self.weights.astype(np.float32)
 
         @F.arrow_udf("double")
         def probability(features: pa.Array) -> pa.Array:
             if len(features) == 0:
                 return pa.array([], pa.float64())
-            x = matrix(features).astype(np.float64)
-            return pa.array(forward(x, unpack(weights, layers))[-1][:, 0])
+            scores = forward(matrix(features), unpack(weights, layers))[-1][:, 0]
+            return pa.array(scores.astype(np.float64))
 
         return df.withColumn(score, probability("features")).withColumn(
             label, apply_threshold(F.col(score), self.threshold))
@@ -149,7 +149,7 @@ class NetworkModel:
         return spark.createDataFrame(rows, "epoch int, loss double, validation_score double")
 
     def save(self, spark: SparkSession, path: str) -> None:
-        write_json(spark, path, {
+        write_json(spark, path + "/kind", {
             "kind": "network", "layers": self.layers, "threshold": self.threshold,
             "weights": base64.b64encode(self.weights.tobytes()).decode(),
             "history": self.history, "epochs_completed": self.epochs_completed,

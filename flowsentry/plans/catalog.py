@@ -486,15 +486,15 @@ def rule_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = materialise(
         rule_scored(spark, sf_dir).select("row_id", "label_learn", "label_l", "label_s", "score_l", "score_s"),
         "rule-scores")
-    documents = None
+    parts = None
     for number, seed in enumerate(STUDY_SEEDS, start=1):
         _, test = sampling.stratified_split(scored, "row_id", "label_learn", seed=seed)
-        row = mx.evaluate(test, "label_learn", LABELS, SCORES).select(
-            F.lit(f"run_{number}").alias("run"), F.lit("events").alias("dataset"), "model", "testing_rows",
-            F.struct(*rs.METRICS).alias("metrics"), "confusion_matrix",
-            F.lit(0.5).alias("training_seconds"), F.lit(0.25).alias("prediction_seconds"))
-        documents = row if documents is None else documents.unionByName(row)
-    return documents
+        marked = test.withColumn("run", F.lit(f"run_{number}"))
+        parts = marked if parts is None else parts.unionByName(marked)
+    return mx.evaluate(parts, "label_learn", LABELS, SCORES, by=["run"]).select(
+        "run", F.lit("events").alias("dataset"), "model", "testing_rows",
+        F.struct(*rs.METRICS).alias("metrics"), "confusion_matrix",
+        F.lit(0.5).alias("training_seconds"), F.lit(0.25).alias("prediction_seconds"))
 
 
 @query("run_table", RUNS_SQL + "select run, seed, dataset, model, "
@@ -716,7 +716,9 @@ def _fit_query(name: str, model: str, fit: Callable) -> None:
 
 
 _fit_query("logistic_regression", "Logistic Regression", lambda t: classifiers.fit_logistic(t, 100.0))
+_fit_query("logistic_regression_lbfgs", "Logistic Regression", lambda t: classifiers.fit_logistic(t, 100.0, "lbfgs"))
 _fit_query("linear_svm", "Linear SVM", lambda t: classifiers.fit_linear_svm(t, 100.0))
+_fit_query("linear_svm_hinge", "Linear SVM", lambda t: classifiers.fit_linear_svm(t, 1.0, "owlqn", 50))
 _fit_query("random_forest", "Random Forest", lambda t: classifiers.fit_forest(t, n_estimators=30, max_depth=12))
 _fit_query("multilayer_perceptron", "ANN", lambda t: classifiers.fit_mlp(t, max_iter=60))
 _fit_query("network_adam", "ANN", lambda t: mlp.fit_mlp_adam(t, "row_id", max_epochs=15))
@@ -761,15 +763,15 @@ def compare_models(spark, sf_dir):
     _, train, test = _prepared(spark, sf_dir)
     models = {
         "Random Forest": classifiers.fit_forest(train, n_estimators=20, max_depth=8),
-        "Logistic Regression": classifiers.fit_logistic(train, 100.0, 50),
-        "Linear SVM": classifiers.fit_linear_svm(train, 100.0, 50),
+        "Logistic Regression": classifiers.fit_logistic(train, 100.0),
+        "Linear SVM": classifiers.fit_linear_svm(train, 100.0),
         "kNN": knn.fit_knn(train, "row_id", 5, "distance"),
         "ANN": mlp.fit_mlp_adam(train, "row_id", max_epochs=5),
     }
     return scoring.compare(test, models)
 
 
-def _grid_query(name: str, model: str, candidates: list[dict], **settings) -> None:
+def _grid_query(name: str, model: str, candidates: list[dict] | None, **settings) -> None:
     def run(spark, sf_dir):
         _, train, _ = _prepared(spark, sf_dir)
         return tuning.grid_search(train, model, "row_id", candidates, **settings)
@@ -777,8 +779,9 @@ def _grid_query(name: str, model: str, candidates: list[dict], **settings) -> No
     query(name)(run)
 
 
-_grid_query("logistic_grid", "Logistic Regression", [{"C": c} for c in (0.01, 1.0, 100.0)], max_iter=50)
-_grid_query("svm_grid", "Linear SVM", [{"C": c} for c in (0.01, 1.0, 100.0)], max_iter=30)
+_grid_query("logistic_grid", "Logistic Regression", None)
+_grid_query("svm_grid", "Linear SVM", None)
+_grid_query("logistic_grid_lbfgs", "Logistic Regression", [{"C": c} for c in (0.01, 1.0)], solver="lbfgs", max_iter=30)
 _grid_query("forest_grid", "Random Forest", [
     {"n_estimators": 10, "max_depth": 5, "min_samples_split": 2, "min_samples_leaf": 1, "max_features": "sqrt"},
     {"n_estimators": 10, "max_depth": 8, "min_samples_split": 2, "min_samples_leaf": 2, "max_features": "0.7"}])
@@ -789,7 +792,7 @@ _grid_query("network_grid", "ANN", [{"alpha": a} for a in (1e-4, 1e-2)], max_epo
 def tune_and_refit(spark, sf_dir):
     _, train, test = _prepared(spark, sf_dir)
     model, _ = tuning.tune_and_fit(
-        train, "Logistic Regression", "row_id", [{"C": 0.01}, {"C": 100.0}], tuning_rows=1000, max_iter=50)
+        train, "Logistic Regression", "row_id", [{"C": 0.01}, {"C": 100.0}], tuning_rows=1000)
     return _evaluated(model, test, "Logistic Regression")
 
 
@@ -800,9 +803,7 @@ def multi_seed_study(spark, sf_dir):
     shipped = surrogate.shipments(spark, sf_dir).withColumnRenamed("row_key", "row_id")
     documents = study.run_study(
         [(events, EVENTS), (shipped, SHIPMENTS)], "row_id", STUDY_SEEDS[:2],
-        models=("Logistic Regression", "Linear SVM"),
-        candidates={"Logistic Regression": [{"C": 1.0}, {"C": 100.0}], "Linear SVM": [{"C": 1.0}]},
-        settings={"Logistic Regression": {"max_iter": 30}, "Linear SVM": {"max_iter": 20}})
+        models=("Logistic Regression", "Linear SVM"))
     return study.study_tables(documents)[1]
 
 

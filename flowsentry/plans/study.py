@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from flowsentry.functions.columns import col
 from flowsentry.functions.session import materialise
-from flowsentry.operators.classifiers import ForestModel, feature_importances, run_timed
+from flowsentry.operators.classifiers import VectorModel, feature_importances, run_timed
 from flowsentry.operators.cleaning import usable_rows
 from flowsentry.operators.features import TOP_FEATURES, FlowPreprocessor
 from flowsentry.operators.knn import KnnModel
@@ -33,7 +33,7 @@ def prepare(
     training rows, and for the test features.
     """
     labelled = binarise_label(usable_rows(df, profile.features), profile)
-    keys = materialise(labelled.select(col(key), "label"), "keys")
+    keys = materialise(labelled.select(col(key), "label"), "keys", spread=True)
     in_train = split_filter(keys, key, "label", fraction, seed)
     in_balance = balance_filter(keys.filter(in_train), key, "label", seed)
     contract = [col(f) for f in profile.features if f not in (key, "label")]
@@ -92,7 +92,7 @@ def result_document(
         document["training_history"] = {
             "epochs_completed": model.epochs_completed,
             "best_validation_score": model.best_validation_score}
-    if isinstance(model, ForestModel):
+    if isinstance(model, VectorModel) and model.kind == "forest":
         ranked = feature_importances(spark, model, list(selected)).collect()
         document["feature_importances"] = [r.asDict() for r in ranked]
     return spark.createDataFrame([document], RESULT_SCHEMA)
