@@ -18,7 +18,7 @@ from flowsentry.operators.mlp import ARCHITECTURE, NetworkModel
 from flowsentry.operators.sampling import balance_filter, split_filter
 from flowsentry.operators.tuning import tune_and_fit
 from flowsentry.profiles import MODEL_ORDER, STUDY_SEEDS, FlowProfile, binarise_label
-from flowsentry.sources.results import METRICS, RESULT_SCHEMA, TIMINGS, run_table
+from flowsentry.sources.results import METRICS, RESULT_DDL, TIMINGS, run_table
 from flowsentry.sources.store import Detector
 
 
@@ -33,19 +33,23 @@ def prepare(
     training rows, and for the test features.
     """
     labelled = binarise_label(usable_rows(df, profile.features), profile)
-    keys = materialise(labelled.select(col(key), "label"), "keys", spread=True)
+    keys = materialise(labelled.select(col(key), "label"), "keys")
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if keys.rdd.getNumPartitions() < cores:  # a small source: use every core from here on
+        keys = materialise(keys.repartition(cores), "keys")
+        labelled = labelled.repartition(cores)
     in_train = split_filter(keys, key, "label", fraction, seed)
     in_balance = balance_filter(keys.filter(in_train), key, "label", seed)
     contract = [col(f) for f in profile.features if f not in (key, "label")]
     rows = materialise(
-        labelled.filter(in_train & in_balance).select(col(key), "label", *contract), "train-rows", spread=True)
+        labelled.filter(in_train & in_balance).select(col(key), "label", *contract), "train-rows")
     preprocessor = FlowPreprocessor.fit(rows, profile, "label", k, method, seed)
     features = preprocessor.feature_array().alias("features")
     test = labelled.filter(~in_train)
     return (
         preprocessor,
         materialise(rows.select(col(key), "label", features), "train"),
-        materialise(test.select(col(key), "label", features), "test", spread=True),
+        materialise(test.select(col(key), "label", features), "test"),
     )
 
 
@@ -59,8 +63,6 @@ def result_document(
         "folds": tuning["folds"], "scoring": tuning["scoring"],
         "tuning_rows": tuning["tuning_rows"], "tuning_seconds": tuning["tuning_seconds"],
     }
-
-
     parsed = [(json.loads(s["parameters"]), s["mean_f1_score"]) for s in scores]
     if "C" in chosen:
         cv |= {"candidate_C_values": [p["C"] for p, _ in parsed], "selected_C": chosen["C"],
@@ -95,7 +97,7 @@ def result_document(
     if isinstance(model, VectorModel) and model.kind == "forest":
         ranked = feature_importances(spark, model, list(selected)).collect()
         document["feature_importances"] = [r.asDict() for r in ranked]
-    return spark.createDataFrame([document], RESULT_SCHEMA)
+    return spark.createDataFrame([document], RESULT_DDL)
 
 
 def train_and_evaluate(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from flowsentry.profiles import MODEL_ORDER, STUDY_SEEDS, normalise_model_name
 
@@ -36,7 +36,11 @@ confusion_matrix array<array<bigint>>,
 feature_importances array<struct<feature: string, importance: double>>,
 training_seconds double, prediction_seconds double
 """
-RESULT_SCHEMA = T.StructType.fromDDL(RESULT_DDL)
+RESULT_FIELDS = (
+    "dataset", "model", "training_rows", "testing_rows", "input_features", "architecture",
+    "cross_validation", "training_history", "metrics", "decision_threshold", "decision_rule",
+    "confusion_matrix", "feature_importances", "training_seconds", "prediction_seconds",
+)
 
 
 def seed_of(run):
@@ -53,7 +57,7 @@ def write_results(results: DataFrame, path: str, mode: str = "append") -> None:
 
 def read_documents(spark: SparkSession, path: str, pattern: str = "*_results.json") -> DataFrame:
     """Every result document under a folder tree, with the run taken from its path."""
-    reader = spark.read.schema(RESULT_SCHEMA).option("multiLine", True)
+    reader = spark.read.schema(RESULT_DDL).option("multiLine", True)
     found = reader.json(path, recursiveFileLookup=True, pathGlobFilter=pattern)
     run = F.regexp_extract(F.col("_metadata.file_path"), r"run[=_](?:run_)?(\d+)", 1)
     return found.withColumn("run", F.concat(F.lit("run_"), run))
@@ -82,7 +86,7 @@ def run_order(table: DataFrame) -> DataFrame:
 
 def summarise_results(documents: DataFrame) -> DataFrame:
     """Per run and model, a map from dataset to its result document."""
-    fields = [f.name for f in RESULT_SCHEMA.fields if f.name in documents.columns]
+    fields = [f for f in RESULT_FIELDS if f in documents.columns]
     entry = F.struct(F.col("dataset").alias("key"), F.struct(*fields).alias("value"))
     # One entry per dataset.
     return documents.groupBy("run", "model").agg(
