@@ -55,12 +55,21 @@ def materialise(df: DataFrame, label: str = "table", spread: bool = False) -> Da
     over all of them; larger tables are left as they are.
     """
     back = _write(df, label)
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if spread and back.rdd.getNumPartitions() < cores:
-        back = _write(back.repartition(cores), label)
+    if spread:
+        wider = spread_small(back)
+        back = back if wider is back else _write(wider, label)
     return back
 
 
+def spread_small(scan: DataFrame) -> DataFrame:
+    """Deal a file scan out over all cores if its files fill fewer partitions than that.
+
+    Only small sources are shuffled; pass a plain scan, whose partitions are known.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def _write(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)

@@ -43,9 +43,9 @@ def _float_columns(df: DataFrame) -> set[str]:
     return {f.name for f in df.schema.fields if isinstance(f.dataType, FLOATS)}
 
 
-def null_infinities(df: DataFrame) -> DataFrame:
+def null_infinities(df: DataFrame, known_finite: Sequence[str] = ()) -> DataFrame:
     """Replace plus and minus infinity by null in every floating column."""
-    floats = _float_columns(df)
+    floats = _float_columns(df) - set(known_finite)
     return df.select(
         *[F.when(~col(n).isin(INF, -INF), col(n)).alias(n) if n in floats else col(n)
           for n in df.columns]
@@ -71,7 +71,7 @@ def usable_rows(df: DataFrame, features: Sequence[str]) -> DataFrame:
     require_features(trimmed, features)
     floats = _float_columns(trimmed)
     checks = [is_finite(col(f)) if f in floats else col(f).isNotNull() for f in features]
-    return null_infinities(trimmed.filter(reduce(and_, checks)))
+    return null_infinities(trimmed.filter(reduce(and_, checks)), features)
 
 
 def require_nonempty(df: DataFrame) -> DataFrame:

@@ -8,7 +8,9 @@ cut-off is a plain filter, so splitting a table needs no shuffle of its rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
+from fractions import Fraction
 from functools import reduce
 from operator import or_
 
@@ -39,9 +41,14 @@ def _prefix_counts(df: DataFrame, open_prefixes: set, level: int) -> dict:
 
 
 def _in_prefixes(prefixes: set, level: int) -> Column:
-    return reduce(
-        or_, [(F.col("c") == c) & (F.substring("h", 1, level * DIGITS) == p) for c, p in prefixes]
-    )
+    """Rows of the given (class, prefix) pairs; the hash is computed once per row."""
+    pair = F.concat_ws(":", F.col("c").cast("string"), F.substring("h", 1, level * DIGITS))
+    return pair.isin(*[_class_text(c) + ":" + p for c, p in prefixes])
+
+
+def _class_text(c) -> str:
+    """A class value as Spark casts it to a string."""
+    return str(c).lower() if isinstance(c, bool) else str(c)
 
 
 def hash_cutoffs(
@@ -107,13 +114,33 @@ def _below(order: Column, by: Column, cutoffs: dict, which: int = 0) -> Column:
     return order <= cut
 
 
+def proportional_shares(sizes: dict, n: int) -> dict:
+    """Split n over the classes by size: floors first, then the largest remainders."""
+    total = sum(sizes.values())
+    if n >= total:
+        return dict(sizes)
+    shares = {c: n * s // total for c, s in sizes.items()}
+    by_remainder = sorted(sizes, key=lambda c: (-(n * sizes[c] % total), str(c)))
+    for c in by_remainder[: n - sum(shares.values())]:
+        shares[c] += 1
+    return shares
+
+
+def split_shares(sizes: dict, fraction: float = 0.7) -> dict:
+    """Training rows per class: the test part is rounded up as a whole, then the training
+    rows are shared out over the classes by size."""
+    total = sum(sizes.values())
+    train = total - math.ceil((1 - Fraction(str(fraction))) * total)
+    return proportional_shares(sizes, train)
+
+
 def split_filter(
     df: DataFrame, key: str, label: str, fraction: float = 0.7, seed: int = 42
 ) -> Column:
-    """True for training rows: floor(fraction * n) rows of each class of ``df``."""
+    """True for the training rows of a stratified split of ``df``."""
     order = hash_order(col(key), seed)
     cutoffs = hash_cutoffs(
-        df, order, col(label), lambda n: {c: [int(s * fraction)] for c, s in n.items()}
+        df, order, col(label), lambda n: {c: [s] for c, s in split_shares(n, fraction).items()}
     )
     return _below(order, col(label), cutoffs)
 
@@ -121,7 +148,7 @@ def split_filter(
 def stratified_split(
     df: DataFrame, key: str, label: str, fraction: float = 0.7, seed: int = 42
 ) -> tuple[DataFrame, DataFrame]:
-    """Train and test frames; the train part holds floor(fraction * n) rows of each class."""
+    """Train and test frames that keep the class shares, of exact size (split_shares)."""
     inside = split_filter(df, key, label, fraction, seed)
     return df.filter(inside), df.filter(~inside)
 
@@ -138,18 +165,6 @@ def undersample(df: DataFrame, key: str, label: str, seed: int = 42) -> DataFram
     return df.filter(balance_filter(df, key, label, seed))
 
 
-def proportional_shares(sizes: dict, n: int) -> dict:
-    """Split n over the classes by size: floors first, then the largest remainders."""
-    total = sum(sizes.values())
-    if n >= total:
-        return dict(sizes)
-    shares = {c: n * s // total for c, s in sizes.items()}
-    by_remainder = sorted(sizes, key=lambda c: (-(n * sizes[c] % total), str(c)))
-    for c in by_remainder[: n - sum(shares.values())]:
-        shares[c] += 1
-    return shares
-
-
 def subsample(
     df: DataFrame, n: int, key: str, label: str | None = None, seed: int = 42
 ) -> DataFrame:

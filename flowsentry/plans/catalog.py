@@ -307,8 +307,16 @@ def _ranked_sql(source: str, label: str, key: str, prefix: str) -> str:
             f"count(*) over (partition by {label}) as size from {source}")
 
 
-@query("stratified_split", f"""with {F_SQL}, k as ({_ranked_sql('f', 'label_learn', 'row_id', '42-')})
-select row_id, label_learn, case when rank <= floor(size * 0.7) then 'train' else 'test' end as part from k""")
+def _share_sql(source: str, label: str) -> str:
+    """Training rows per class of a 70 % split: test rows rounded up, largest remainders first."""
+    return f"""h as (select {label}, base + (row_number() over (order by rest desc, {label}) <= t - sum(base) over ())::int as share
+  from (select {label}, size * t // n as base, size * t % n as rest, t from (
+    select {label}, count(*) as size, (sum(count(*)) over ())::bigint as n, (sum(count(*)) over () * 7 // 10)::bigint as t
+    from {source} group by {label})))"""
+
+
+@query("stratified_split", f"""with {F_SQL}, {_share_sql('f', 'label_learn')}, k as ({_ranked_sql('f', 'label_learn', 'row_id', '42-')})
+select row_id, label_learn, case when rank <= share then 'train' else 'test' end as part from k join h using (label_learn)""")
 def stratified_split(spark, sf_dir):
     df = surrogate.events(spark, sf_dir).select("row_id", "label_learn")
     train, test = sampling.stratified_split(df, "row_id", "label_learn")
@@ -458,10 +466,10 @@ def ranking_metrics_tied(spark, sf_dir):
 
 _SEEDS_SQL = "values " + ", ".join(f"('run_{i}', {s})" for i, s in enumerate(STUDY_SEEDS, 1))
 # Per run: the events' test part, scored by the two rules; metrics of each.
-RUNS_SQL = f"""with {SCALED_SQL}, seeds(run, seed) as ({_SEEDS_SQL}),
-k as (select run, seed, p.*, row_number() over (partition by run, label_learn order by md5(concat(seed, '-', row_id))) as rank,
-        count(*) over (partition by run, label_learn) as size from p cross join seeds),
-t as (select * from k where rank > floor(size * 0.7)),
+RUNS_SQL = f"""with {SCALED_SQL}, seeds(run, seed) as ({_SEEDS_SQL}), {_share_sql('p', 'label_learn')},
+k as (select run, seed, p.*, row_number() over (partition by run, label_learn order by md5(concat(seed, '-', row_id))) as rank
+        from p cross join seeds),
+t as (select * from k join h using (label_learn) where rank > share),
 q as (select run, seed, 'Logistic Regression' as model, label_learn as y, label_l as p, score_l as s from t
   union all select run, seed, 'Linear SVM', label_learn, label_s, score_s from t),
 c as (select run, seed, model, count(*) filter (where y = 0 and p = 0) as tn, count(*) filter (where y = 0 and p = 1) as fp,
@@ -588,14 +596,14 @@ def best_candidate(spark, sf_dir):
         "candidate", "parameters", r6("mean_f1_score"))
 
 
-STABILITY_SQL = f"""with {USABLE_SQL}, seeds(seed) as (values {", ".join(f"({s})" for s in STUDY_SEEDS)}),
-k as (select seed, u.*, row_number() over (partition by seed, label_learn order by md5(concat(seed, '-', row_id))) as rank,
-        count(*) over (partition by seed, label_learn) as size from u cross join seeds),
-t as (select * from k where rank <= floor(size * 0.7)),
+STABILITY_SQL = f"""with {USABLE_SQL}, {_share_sql('u', 'label_learn')}, seeds(seed) as (values {", ".join(f"({s})" for s in STUDY_SEEDS)}),
+k as (select seed, u.*, row_number() over (partition by seed, label_learn order by md5(concat(seed, '-', row_id))) as rank
+        from u cross join seeds),
+t as (select * from k join h using (label_learn) where rank <= share),
 o as ({_anova_sql('t', 'label_learn', RAW_COLUMNS, 'seed')}),
-h as (select *, row_number() over (partition by seed order by f_score desc, feature) as place from o)
+g as (select *, row_number() over (partition by seed order by f_score desc, feature) as place from o)
 select 'events' as dataset, feature, count(*) as times_selected, round(avg(f_score), 3) as mean_importance
-from h where place <= 3 group by feature"""
+from g where place <= 3 group by feature"""
 
 
 @query("selection_stability", STABILITY_SQL)
@@ -616,9 +624,10 @@ def selection_stability(spark, sf_dir):
 
 # ---- nearest neighbours ----------------------------------------------------------------
 
-KNN_SQL = f"""with {SCALED_SQL}, k as ({_ranked_sql('s', 'label_learn', 'row_id', '42-')}),
-a as (select row_id as id, label_learn as label, x0, x1, x2 from k where rank <= floor(size * 0.7)),
-b as (select row_id as qid, x0, x1, x2 from k where rank > floor(size * 0.7)),
+KNN_SQL = f"""with {SCALED_SQL}, {_share_sql('s', 'label_learn')}, k as (
+  select * from ({_ranked_sql('s', 'label_learn', 'row_id', '42-')}) join h using (label_learn)),
+a as (select row_id as id, label_learn as label, x0, x1, x2 from k where rank <= share),
+b as (select row_id as qid, x0, x1, x2 from k where rank > share),
 d as (select qid, id, label, (b.x0 - a.x0) * (b.x0 - a.x0) + (b.x1 - a.x1) * (b.x1 - a.x1) + (b.x2 - a.x2) * (b.x2 - a.x2) as d2
   from b cross join a),
 n as (select *, row_number() over (partition by qid order by d2, id) as rank from d qualify rank <= 15)
@@ -679,11 +688,10 @@ def knn_grid(spark, sf_dir):
         "f1_score", F.round("f1_score", 6))
 
 
-@query("embedding_neighbours", """with e as (select vec_id, label, embedding as v from embeddings),
-k as (select *, row_number() over (partition by label order by md5(concat('42-', vec_id::varchar))) as rank,
-      count(*) over (partition by label) as size from e),
-a as (select vec_id as id, v from k where rank <= floor(size * 0.7)),
-b as (select vec_id as qid, v from k where rank > floor(size * 0.7)),
+@query("embedding_neighbours", f"""with e as (select vec_id, label, embedding as v from embeddings),
+{_share_sql('e', 'label')}, k as (select * from ({_ranked_sql('e', 'label', 'vec_id', '42-')}) join h using (label)),
+a as (select vec_id as id, v from k where rank <= share),
+b as (select vec_id as qid, v from k where rank > share),
 d as (select qid, id, list_distance(b.v::double[], a.v::double[]) as d
   from b cross join a)
 select qid, rank, round(d, 5) as distance
@@ -747,8 +755,8 @@ def _linear_check(name: str, fit_spark: Callable, fit_own: Callable) -> None:
         both = model.transform(scored).select("mine", F.col("prediction").cast("int").alias("theirs"))
         return both.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("mine") != F.col("theirs")).alias("different"))
 
-    query(name, f"""with {USABLE_SQL}, k as (select label_learn, count(*) as size from u group by label_learn)
-select sum(size - floor(size * 0.7))::bigint as rows, 0::bigint as different from k""")(run)
+    query(name, f"""with {USABLE_SQL}
+select count(*) - count(*) * 7 // 10 as rows, 0::bigint as different from u""")(run)
 
 
 _linear_check("logistic_expression", lambda n: classifiers.logistic_estimator(1.0, n, 50),

@@ -42,7 +42,7 @@ from lineitem
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = spark.read.parquet(f"{sf_dir}/events.parquet")
-    k = F.regexp_extract("props", "([0-9]+)", 1)
+    k = F.substring_index(F.substring_index("props", ": ", -1), "}", 1)  # {"k": 42}
     hour = F.hour("ts").cast("double")
     return raw.select(
         F.col("event_id").alias("row_id"), F.col("user_id").cast("double").alias("user_id"), "value",
