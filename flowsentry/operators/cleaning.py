@@ -9,6 +9,7 @@ from operator import and_
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from flowsentry.functions.columns import INF, col, is_finite
+from flowsentry.functions.session import materialise
 
 FLOATS = (T.DoubleType, T.FloatType)
 
@@ -120,7 +121,8 @@ def clean_training(
 ) -> tuple[DataFrame, list[str]]:
     """Distinct training rows, and the features left without constant or repeated columns."""
     kept = [*features, *([label] if label else [])]
-    distinct = usable_rows(df, features).select(*[col(c) for c in kept]).distinct()
+    rows = usable_rows(df, features).select(*[col(c) for c in kept]).distinct()
+    distinct = materialise(rows, "distinct")  # scanned up to four times
     constant = set(constant_columns(distinct, features))
     varying = [f for f in features if f not in constant]
     repeats = repeated_columns(distinct, varying) if varying else {}

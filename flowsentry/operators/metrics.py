@@ -100,7 +100,7 @@ def ranking_metrics(
     window ever orders a whole column. The result is exact for any cut.
     """
     if buckets is None:
-        buckets = 1 if df.limit(SMALL_CURVE + 1).count() <= SMALL_CURVE else 128
+        buckets = 1 if df.count() <= SMALL_CURVE else 128
     bounds = _bounds(df, scores, buckets)
     pairs = F.explode(F.array(*[
         F.struct(F.lit(m).alias("model"), col(c).cast("double").alias("s"),
@@ -114,7 +114,8 @@ def ranking_metrics(
         .groupBy(*group, "b", "s")
         .agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("q"))
     )
-    ascending = Window.partitionBy(*group, "b").orderBy("s")
+    ascending = Window.partitionBy(*group, "b").orderBy("s").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)  # each score occurs once
     ranked = curve.select(
         *group, "b", "p", "q",
         F.sum("p").over(ascending).alias("cp"), F.sum("q").over(ascending).alias("cq"),

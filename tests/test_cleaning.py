@@ -77,6 +77,16 @@ def test_csv_by_name_over_different_headers(spark, tmp_path):
     assert rows == [(1.0, 2.0, "http", "x"), (3.0, 4.0, "-", None)]
 
 
+def test_csv_with_one_header(spark, tmp_path):
+    for i in range(3):
+        write(tmp_path / f"{i}.csv", f" a,b,service\n{i},2,http\n")
+    df = flows.read_flows(spark, str(tmp_path), SMALL, same_header=True)
+    assert sorted(r.a for r in df.collect()) == [0.0, 1.0, 2.0]
+    write(tmp_path / "x.csv", "b, a,service\n1,2,http\n")
+    with pytest.raises(Exception, match="CSV header does not conform"):
+        flows.read_flows(spark, str(tmp_path), SMALL, same_header=True).collect()
+
+
 def test_csv_duplicate_headers(spark, tmp_path):
     write(tmp_path / "d.csv", "a,a, a,b\n1,2,3,4\n")
     assert flows.read_flow_strings(spark, str(tmp_path)).columns == ["a", "a.1", "a.2", "b"]
