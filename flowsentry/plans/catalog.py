@@ -178,7 +178,7 @@ def scored_csv_sink(spark, sf_dir):
 
 
 @query("analyze_file", f"""with {SCALED_SQL}
-select 'Linear SVM' as model, count(*) as rows, count(*) - sum(label_s) as normal, sum(label_s) as attack,
+select 'Linear SVM' as model, count(*) as rows, (count(*) - sum(label_s))::bigint as normal, sum(label_s)::bigint as attack,
        round_even(sum(label_s)::double / count(*) * 100, 2) as attack_rate from p""")
 def analyze_file(spark, sf_dir):
     detector = rule_detector(surrogate.events(spark, sf_dir))
@@ -363,8 +363,8 @@ def linear_scores(spark, sf_dir):
 
 
 SUMMARY_SQL = f"""with {SCALED_SQL},
-c as (select 'Logistic Regression' as model, count(*) as rows, sum(label_l) as attack from p
-  union all select 'Linear SVM', count(*), sum(label_s) from p)
+c as (select 'Logistic Regression' as model, count(*) as rows, sum(label_l)::bigint as attack from p
+  union all select 'Linear SVM', count(*), sum(label_s)::bigint from p)
 """
 
 
@@ -540,7 +540,7 @@ def result_summaries(spark, sf_dir):
 
 
 @query("study_tables_csv", RUNS_SQL + "select dataset, model, round(avg(f1_score), 6) as f1_score_mean, "
-       "round(stddev_samp(f1_score), 6) as f1_score_std, sum(testing_rows) as testing_rows from runs group by dataset, model")
+       "round(stddev_samp(f1_score), 6) as f1_score_std, sum(testing_rows)::bigint as testing_rows from runs group by dataset, model")
 def study_tables_csv(spark, sf_dir):
     runs = materialise(rs.run_table(rule_documents(spark, sf_dir)), "runs")
     path = scratch_path(spark, "study")
@@ -641,7 +641,7 @@ def _knn_parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return sampling.stratified_split(materialise(rows, "rows"), "row_id", "label")
 
 
-@query("knn_neighbours", KNN_SQL + "select qid, rank, id, round(sqrt(d2), 6) as distance, label from n where rank <= 5")
+@query("knn_neighbours", KNN_SQL + "select qid, rank::int as rank, id, round(sqrt(d2), 6) as distance, label from n where rank <= 5")
 def knn_neighbours(spark, sf_dir):
     train, test = _knn_parts(spark, sf_dir)
     return knn.knn_topk(train, test, "row_id", 5).select("qid", "rank", "id", r6("distance"), "label")
@@ -694,7 +694,7 @@ a as (select vec_id as id, v from k where rank <= share),
 b as (select vec_id as qid, v from k where rank > share),
 d as (select qid, id, list_distance(b.v::double[], a.v::double[]) as d
   from b cross join a)
-select qid, rank, round(d, 5) as distance
+select qid, rank::int as rank, round(d, 5) as distance
 from (select *, row_number() over (partition by qid order by d, id) as rank from d qualify rank <= 3)""")
 def embedding_neighbours(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(

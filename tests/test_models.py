@@ -29,7 +29,7 @@ def objective(rows, weights, intercept, c, kind):
     return 0.5 * np.dot(weights, weights) + c * loss.sum()
 
 
-@pytest.mark.parametrize("c", [0.01, 1.0, 1000.0])
+@pytest.mark.parametrize("c", [1.0, 1000.0])
 def test_newton_finds_the_logistic_optimum(data, c):
     rows = data.collect()
     mine = classifiers.fit_logistic(data, c)
