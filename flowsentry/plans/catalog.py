@@ -9,7 +9,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.window import Window
 
 from flowsentry.functions.columns import (
     apply_threshold, col, decode_label, linear_score, narrow_float32,
@@ -205,9 +204,9 @@ from events""")
 def unseen_levels(spark, sf_dir):
     """Levels are learnt from the event types that never reach the lowest value."""
     df = surrogate.events(spark, sf_dir)
-    lowest = df.agg(F.min("value").alias("lowest"))
+    lowest = df.agg(F.min("value")).head()[0]
     by_type = df.groupBy("event_type").agg(F.min("value").alias("low"))
-    known = by_type.join(F.broadcast(lowest), F.col("low") > F.col("lowest")).select("event_type")
+    known = by_type.filter(F.col("low") > lowest).select("event_type")
     profile = FlowProfile("typed", "typed", ("event_type",), ("event_type",))
     return fx.FlowEncoder.fit(known, profile).unseen_counts(df)
 
