@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,7 +42,7 @@ def binary(column: pa.Array) -> pa.Array:
 def slices(batch: pa.RecordBatch, text_col: str) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows whose texts add up to about SLICE_BYTES; one row at least."""
     start = size = 0
-    for row, length in enumerate(pa.compute.binary_length(batch.column(text_col)).to_pylist()):
+    for row, length in enumerate(pc.binary_length(batch.column(text_col)).to_pylist()):
         if size and size + (length or 0) > SLICE_BYTES:
             yield batch.slice(start, row - start)
             start, size = row, 0

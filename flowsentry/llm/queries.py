@@ -7,8 +7,11 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from . import pii
 from .bpe import encode_documents
 from .common import table
+from .language_id import held_out, identify_languages, train_filter
+from .quality_rules import judge_documents
 from .token_files import library_encoder, write_token_files
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -25,12 +28,29 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return written.documents(spark)
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find_personal_data(table(spark, sf_dir, "documents")))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = train_filter(docs.filter(~held_out()), "text", "lang")
+    return identify_languages(docs, model)
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), tokenizer_file())
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
+    "op3_pii": op3_pii,
+    "op5_language_id": op5_language_id,
     "op7_bpe": op7_bpe,
+    "op8_quality_rules": op8_quality_rules,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_pii": pii.ORACLE}
