@@ -39,11 +39,11 @@ def binary(column: pa.Array) -> pa.Array:
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary())
 
 
-def slices(batch: pa.RecordBatch, text_col: str) -> Iterator[pa.RecordBatch]:
-    """The batch in runs of rows whose texts add up to about SLICE_BYTES; one row at least."""
+def slices(batch: pa.RecordBatch, text_col: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows whose texts add up to about ``most`` bytes; one row at least."""
     start = size = 0
     for row, length in enumerate(pc.binary_length(batch.column(text_col)).to_pylist()):
-        if size and size + (length or 0) > SLICE_BYTES:
+        if size and size + (length or 0) > most:
             yield batch.slice(start, row - start)
             start, size = row, 0
         size += length or 0

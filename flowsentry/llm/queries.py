@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import pii
 from .bpe import encode_documents
 from .common import table
+from .decontaminate import hits
 from .language_id import held_out, identify_languages, train_filter
 from .quality_rules import judge_documents
 from .token_files import library_encoder, write_token_files
@@ -28,6 +29,10 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return written.documents(spark)
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_personal_data(table(spark, sf_dir, "documents")))
 
@@ -48,6 +53,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
+    "op2_decontaminate": op2_decontaminate,
     "op3_pii": op3_pii,
     "op5_language_id": op5_language_id,
     "op7_bpe": op7_bpe,
