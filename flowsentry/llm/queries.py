@@ -7,11 +7,12 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import pii
+from . import pii, tool_calls
 from .bpe import encode_documents
 from .common import table
 from .decontaminate import hits
 from .language_id import held_out, identify_languages, train_filter
+from .line_templates import drop_recurring_lines
 from .quality_rules import judge_documents
 from .token_files import library_encoder, write_token_files
 
@@ -51,6 +52,16 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, results = tool_calls.calls_of_conversations(table(spark, sf_dir, "conversations"))
+    return tool_calls.link_calls(calls, results, tool_calls.SCHEMAS)
+
+
+def op10_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return drop_recurring_lines(docs, count_as="n_dropped")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_decontaminate": op2_decontaminate,
@@ -58,5 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_language_id": op5_language_id,
     "op7_bpe": op7_bpe,
     "op8_quality_rules": op8_quality_rules,
+    "op9_tool_calls": op9_tool_calls,
+    "op10_line_templates": op10_line_templates,
 }
-ORACLES: dict[str, str] = {"op3_pii": pii.ORACLE}
+ORACLES: dict[str, str] = {"op3_pii": pii.ORACLE, "op9_tool_calls": tool_calls.ORACLE}
