@@ -11,6 +11,7 @@ from . import cotraining, pii, tool_calls
 from .bpe import encode_documents
 from .common import table
 from .decontaminate import hits
+from .jaccard_join import similar_documents
 from .language_id import held_out, identify_languages, train_filter
 from .line_templates import drop_recurring_lines
 from .quality_rules import judge_documents
@@ -38,6 +39,10 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_personal_data(table(spark, sf_dir, "documents")))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_documents(table(spark, sf_dir, "documents"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = train_filter(docs.filter(~held_out()), "text", "lang")
@@ -71,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_decontaminate": op2_decontaminate,
     "op3_pii": op3_pii,
+    "op4_jaccard_join": op4_jaccard_join,
     "op5_language_id": op5_language_id,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_bpe": op7_bpe,
