@@ -1,23 +1,33 @@
 """Exact k-nearest neighbours over a partitioned training table.
 
-The training rows are cut into blocks of neighbouring rows, each with its bounding box.
-A query first searches the block it lies nearest to, which bounds the distance of its
-k-th neighbour; it then visits only the blocks whose box comes within that bound. Both
-steps are equi-joins on the block number, between packed query rows and one row per
-block. A block visited by very many queries is copied and its queries are spread over
-the copies. Only the best k per query and block leave a task.
-
-Distances are Euclidean in double precision; ties go to the smaller row key.
+The training rows are cut into leaves of a split tree and, within a leaf, along a space-filling
+order into blocks of a fixed number of rows, each with its bounding box. The number of leaves is
+bounded, so their boxes travel with every task; the number of blocks grows with the table, and a
+leaf's block boxes stay with the leaf. A query first searches the nearest blocks that together hold
+k rows, which bounds the distance of its k-th neighbour; it then visits the leaves, and in them the
+blocks, whose box comes within that bound. Queries meet a leaf's boxes or a block's rows by cogroup:
+a task gets a block once, with all queries sent there. A leaf or block visited by very many queries
+is copied and its queries are spread over the copies. Only the best k per query and block leave a
+task.
+
+Box bounds prune well while few of the features matter. In tens of equally important dimensions
+every box may come within the bound, and the exact answer then takes every query to every block.
+
+Distances are Euclidean in double precision; ties go to the smaller row key. Queries are told apart
+by numbers of their own, so their keys may be of any type, repeat, or be null. Training keys may be
+of any type that orders; a null key comes first.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.window import Window
 
 from flowsentry.functions.arrow import matrix
@@ -29,16 +39,18 @@ NEIGHBOURS = (3, 5, 7, 9, 11, 15, 21)
 WEIGHTS = ("uniform", "distance")
 
 BLOCK_ROWS = 2048
-MAX_BLOCKS = 8192
+TOP_LEAVES = 4096  # leaves, whose boxes every task holds
+FLAT_BOXES = 16_384  # up to here the block boxes themselves travel, which saves two shuffles
 SAMPLE_ROWS = 65_536
-QUERIES_PER_COPY = 200_000
+ORDER_DIMENSIONS, ORDER_BITS = 8, 7
+QUERIES_PER_COPY = 100_000
 CELLS = 1 << 21  # entries of a distance matrix held at once
 SLACK = 1 + 1e-9
 
-BLOCK_SCHEMA = "block long, n int, lo binary, hi binary, ids binary, labels binary, x binary"
-PACK_SCHEMA = "block long, nq int, qids binary, q binary, bound binary"
+BLOCK_SCHEMA = "leaf int, block long, n int, lo binary, hi binary, ids binary, labels binary, x binary"
+PACK_SCHEMA = "place long, nq int, qids binary, q binary, bound binary"
 HIT_SCHEMA = "qid long, nn array<struct<d2: double, id: long, label: int>>"
-HOME_SCHEMA = "nq int, home long, qids binary, q binary, bound binary, nn binary"
+NO_KEY = -(1 << 63)  # stands for a null key of whole numbers
 HIT = np.dtype([("row", np.int64), ("d2", np.float64), ("id", np.int64), ("label", np.int32)])
 HIT_TYPE = pa.list_(pa.struct([("d2", pa.float64()), ("id", pa.int64()), ("label", pa.int32())]))
 
@@ -96,50 +108,80 @@ def leaf_of(nodes: list[tuple]):
     return leaf
 
 
+def space_order(sample: np.ndarray):
+    """An Arrow UDF giving each feature array its place on a curve through the widest dimensions.
+
+    The bits of the cell numbers are interleaved, so rows near each other on the curve are near
+    each other in space.
+    """
+    use = np.argsort(-sample.std(axis=0))[:ORDER_DIMENSIONS] if len(sample) else np.zeros(0, int)
+    low = sample.min(axis=0)[use] if len(sample) else np.zeros(0)
+    wide = np.maximum(sample.max(axis=0)[use] - low, 1e-30) if len(sample) else np.ones(0)
+
+    @F.arrow_udf("long")
+    def place(features: pa.Array) -> pa.Array:
+        x = matrix(features)
+        out = np.zeros(len(x), np.int64)
+        if len(x) and len(use):
+            top = (1 << ORDER_BITS) - 1
+            cell = np.clip((x[:, use] - low) / wide * top, 0, top).astype(np.int64)
+            for bit in reversed(range(ORDER_BITS)):
+                for j in range(len(use)):
+                    out = out << 1 | (cell[:, j] >> bit & 1)
+        return pa.array(out)
+
+    return place
+
+
 def pack_blocks(block_rows: int):
-    """Cut rows that arrive sorted by leaf into blocks; a block never mixes leaves."""
+    """Cut rows that arrive sorted by leaf into blocks of block_rows to twice as many.
 
-    def block(ids, labels, x) -> dict:
-        return {"block": int(ids[0]), "n": len(ids), "lo": x.min(0).tobytes(),
-                "hi": x.max(0).tobytes(), "ids": ids.tobytes(), "labels": labels.tobytes(),
-                "x": np.ascontiguousarray(x).tobytes()}
+    A block never mixes leaves; only a leaf that is smaller gives a smaller block.
+    """
+
+    def block(part: int, number: int, leaf: int, ids, labels, x) -> dict:
+        return {"leaf": int(leaf), "block": part << 33 | number, "n": len(ids),
+                "lo": x.min(0).tobytes(), "hi": x.max(0).tobytes(), "ids": ids.tobytes(),
+                "labels": labels.tobytes(), "x": np.ascontiguousarray(x).tobytes()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        part, number, held = TaskContext.get().partitionId(), 0, None
+
+        def cut(rows, keep: int) -> tuple:
+            """Blocks of the rows but for the last ones, of which at least ``keep`` stay."""
+            nonlocal number
+            made, at, end = [], 0, len(rows[0])
+            while end - at > keep:
+                size = end - at if not keep and end - at < 2 * block_rows else block_rows
+                made.append(block(part, number, rows[0][at], *(p[at:at + size] for p in rows[1:])))
+                number, at = number + 1, at + size
+            return made, tuple(p[at:] for p in rows)
+
         for batch in batches:
             if batch.num_rows == 0:
                 continue
             new = (batch.column("leaf").to_numpy(), batch.column("id").to_numpy(),
                    batch.column("label").to_numpy(), matrix(batch.column("features")))
             held = new if held is None else tuple(np.concatenate(p) for p in zip(held, new))
-            leaf = held[0]
-            starts = [0, *(np.flatnonzero(np.diff(leaf)) + 1), len(leaf)]
-            out = []
+            starts = [0, *(np.flatnonzero(np.diff(held[0])) + 1), len(held[0])]
             for a, b in zip(starts, starts[1:]):
-                last = b == len(leaf)
-                while b - a >= block_rows or (a < b and not last):
-                    e = min(b, a + block_rows)
-                    out.append(block(*(p[a:e] for p in held[1:])))
-                    a = e
-                if last:
-                    held = tuple(p[a:] for p in held)
-            if out:
-                yield pa.RecordBatch.from_pylist(out, BLOCK_ARROW)
+                last = b == len(held[0])
+                out, rest = cut(tuple(p[a:b] for p in held), 2 * block_rows if last else 0)
+                if out:
+                    yield pa.RecordBatch.from_pylist(out, BLOCK_ARROW)
+            held = rest
         if held is not None and len(held[0]):
-            yield pa.RecordBatch.from_pylist([block(*held[1:])], BLOCK_ARROW)
+            yield pa.RecordBatch.from_pylist(cut(held, 0)[0], BLOCK_ARROW)
 
     return run
 
 
 BLOCK_ARROW = pa.schema([
-    ("block", pa.int64()), ("n", pa.int32()), ("lo", pa.binary()), ("hi", pa.binary()),
-    ("ids", pa.binary()), ("labels", pa.binary()), ("x", pa.binary())])
+    ("leaf", pa.int32()), ("block", pa.int64()), ("n", pa.int32()), ("lo", pa.binary()),
+    ("hi", pa.binary()), ("ids", pa.binary()), ("labels", pa.binary()), ("x", pa.binary())])
 PACK_ARROW = pa.schema([
-    ("block", pa.int64()), ("nq", pa.int32()), ("qids", pa.binary()), ("q", pa.binary()),
+    ("place", pa.int64()), ("nq", pa.int32()), ("qids", pa.binary()), ("q", pa.binary()),
     ("bound", pa.binary())])
-HOME_ARROW = pa.schema([
-    ("nq", pa.int32()), ("home", pa.int64()), ("qids", pa.binary()), ("q", pa.binary()),
-    ("bound", pa.binary()), ("nn", pa.binary())])
 
 
 def box_distances(q: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -212,20 +254,63 @@ def floats(data: bytes, width: int) -> np.ndarray:
     return np.frombuffer(data, np.float32).reshape(-1, width).astype(np.float64)
 
 
+@dataclass
+class Boxes:
+    """Bounding boxes by number, and the rows in each."""
+
+    names: np.ndarray
+    n: np.ndarray
+    lo: np.ndarray
+    hi: np.ndarray
+
+    @classmethod
+    def of(cls, table: pa.Table, name: str) -> Boxes:
+        def stacked(column: str) -> np.ndarray:
+            return np.stack([np.frombuffer(b, np.float32) for b in table.column(column).to_pylist()]).astype(np.float64)
+
+        order = np.argsort(table.column(name).to_numpy(), kind="stable")
+        return cls(table.column(name).to_numpy()[order].astype(np.int64), table.column("n").to_numpy()[order],
+                   stacked("lo")[order], stacked("hi")[order])
+
+    def route(self, q: np.ndarray, bound: np.ndarray, k: int | None) -> list[tuple[int, np.ndarray]]:
+        """(box, queries) to visit: the nearest boxes that hold k rows together, or, without k,
+        all within the bound."""
+        picked = []
+        for part in chunks(len(q), len(self.names)):
+            near = box_distances(q[part].astype(np.float64), self.lo, self.hi)
+            if k is None:
+                take = near <= bound[part, None] * SLACK
+            else:
+                order = np.argsort(near, axis=1, kind="stable")
+                before = np.cumsum(self.n[order], axis=1) - self.n[order]
+                take = np.zeros(near.shape, bool)
+                np.put_along_axis(take, order, before < k, axis=1)
+            picked += [(b, np.flatnonzero(take[:, b]) + part.start) for b in np.flatnonzero(take.any(0))]
+        return picked
+
+
+def _leaf_box(group: pa.Table) -> pa.Table:
+    """The box of all blocks of a leaf."""
+    boxes = Boxes.of(group, "block")
+    return pa.table({
+        "leaf": group.column("leaf").slice(0, 1), "n": pa.array([int(boxes.n.sum())]),
+        "lo": pa.array([boxes.lo.min(0).astype(np.float32).tobytes()], pa.binary()),
+        "hi": pa.array([boxes.hi.max(0).astype(np.float32).tobytes()], pa.binary())})
+
+
 @dataclass
 class KnnIndex:
-    """Blocks of training rows and, on the driver, one bounding box per block.
+    """Blocks of training rows; on the driver the boxes of the leaves, or of few blocks.
 
-    The number of blocks is bounded by MAX_BLOCKS plus one per leaf and partition seam,
-    whatever the size of the training table; blocks grow instead.
+    ``names`` gives the keys of row numbers where keys are no whole numbers.
     """
 
     blocks: DataFrame
     k_max: int
     width: int
-    names: np.ndarray
-    lo: np.ndarray
-    hi: np.ndarray
+    leaves: Boxes
+    flat: Boxes | None
+    names: DataFrame | None = None
 
     @classmethod
     def fit(
@@ -237,160 +322,140 @@ class KnnIndex:
         Of rows with equal features only the k_max with the smallest keys can ever be
         among the nearest, so the others are left out before anything is packed.
         """
+        rows = train.select(col(key).alias("key"), F.col("label").cast("int").alias("label"), "features")
+        names = None
+        if isinstance(train.schema[key].dataType, T.IntegralType):
+            rows = rows.select(F.coalesce(F.col("key").cast("long"), F.lit(NO_KEY)).alias("id"), "label", "features")
+        else:  # numbers in the order of the keys
+            ordered = rows.repartitionByRange("key").sortWithinPartitions("key")
+            rows = materialise(ordered.withColumn("id", F.monotonically_increasing_id()), "knn-numbered")
+            names, rows = rows.select("id", "key"), rows.select("id", "label", "features")
         same = Window.partitionBy("features").orderBy("id")
-        rows = train.select(
-            col(key).cast("long").alias("id"), F.col("label").cast("int").alias("label"), "features")
         rows = materialise(
             rows.withColumn("r", F.row_number().over(same)).filter(F.col("r") <= k_max).drop("r"),
             "knn-rows", spread=True)
         n = rows.count()
         if n == 0:
             raise ValueError("cannot index an empty training frame")
-        leaves = max(1, min(MAX_BLOCKS, -(-n // block_rows)))
-        block_rows = max(block_rows, -(-2 * n // leaves))
-        fraction = min(1.0, 1.5 * SAMPLE_ROWS / n)
-        sample = rows.select("features").sample(fraction, seed).limit(SAMPLE_ROWS).toArrow()
-        points = matrix(sample.column("features"))
-        leaf = leaf_of(split_space(points.astype(np.float64), leaves) if len(points) else [])
+        leaves = max(1, min(TOP_LEAVES, n // block_rows))
+        fraction = min(1.0, SAMPLE_ROWS / n)
+        sample = rows.select("features").sample(fraction, seed).toArrow()
+        points = matrix(sample.column("features")).astype(np.float64)
+        leaf = leaf_of(split_space(points, leaves) if len(points) else [])
         parts = max(1, min(leaves, rows.sparkSession.sparkContext.defaultParallelism * 4))
         packed = (
-            rows.withColumn("leaf", leaf("features"))
-            .repartitionByRange(parts, "leaf", "id").sortWithinPartitions("leaf", "id")
+            rows.withColumns({"leaf": leaf("features"), "place": space_order(points)("features")})
+            .repartitionByRange(parts, "leaf").sortWithinPartitions("leaf", "place", "id")
             .select("leaf", "id", "label", "features")
             .mapInArrow(pack_blocks(block_rows), BLOCK_SCHEMA)
         )
-        return cls.over(materialise(packed, "knn-blocks"), k_max)
+        return cls.over(materialise(packed, "knn-blocks"), k_max, names)
 
     @classmethod
-    def over(cls, blocks: DataFrame, k_max: int) -> KnnIndex:
-        boxes = blocks.select("block", "lo", "hi").toArrow()
-        lo = np.stack([np.frombuffer(b, np.float32) for b in boxes.column("lo").to_pylist()])
-        hi = np.stack([np.frombuffer(b, np.float32) for b in boxes.column("hi").to_pylist()])
-        return cls(blocks, k_max, lo.shape[1], boxes.column("block").to_numpy(),
-                   lo.astype(np.float64), hi.astype(np.float64))
-
-    def _homes(self):
-        """Pack queries by the block they lie nearest to."""
-        names, lo, hi = self.names, self.lo, self.hi
-
+    def over(cls, blocks: DataFrame, k_max: int, names: DataFrame | None = None) -> KnnIndex:
+        boxes = blocks.select("leaf", "block", F.col("n").cast("long").alias("n"), "lo", "hi")
+        found = boxes.groupBy("leaf").applyInArrow(_leaf_box, "leaf int, n long, lo binary, hi binary")
+        leaves = Boxes.of(found.toArrow(), "leaf")
+        flat = Boxes.of(boxes.toArrow(), "block") if boxes.count() <= FLAT_BOXES else None
+        return cls(blocks, k_max, leaves.lo.shape[1], leaves, flat, names)
+
+    def _pack(self, queries: DataFrame, boxes: Boxes, k: int | None) -> DataFrame:
+        """Pack (qid, features, bound) rows by the boxes they go to."""
         def run(batches):
             for batch in batches:
-                if batch.num_rows == 0:
-                    continue
-                qids = batch.column("qid").to_numpy()
-                q32 = matrix(batch.column("features"))
-                q = q32.astype(np.float64)
-                home = np.concatenate(
-                    [box_distances(q[p], lo, hi).argmin(1) for p in chunks(len(q), len(lo))])
-                unbounded = np.full(len(q), np.inf)
-                pick = [(b, np.flatnonzero(home == b)) for b in np.unique(home)]
-                yield packs(names, pick, qids, q32, unbounded)
-
-        return run
-
-    def _spread(self, queries: DataFrame) -> DataFrame:
-        """Join packed queries with their blocks, copying blocks that many queries visit."""
-        copies = F.broadcast(  # at most one row per block
-            queries.groupBy("block").agg(F.sum("nq").alias("visits"))
-            .select("block", F.ceil(F.col("visits") / QUERIES_PER_COPY).cast("int").alias("copies"))
-        )
-        blocks = (
-            self.blocks.select("block", "ids", "labels", "x").join(copies, "block")
-            .withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("copies")
-        )
-        salted = queries.join(copies, "block").withColumn(
+                if batch.num_rows:
+                    q, bound = matrix(batch.column("features")), batch.column("bound").to_numpy()
+                    yield packs(boxes.names, boxes.route(q, bound, k), batch.column("qid").to_numpy(), q, bound)
+
+        return materialise(queries.mapInArrow(run, PACK_SCHEMA), "knn-packs")
+
+    def _meet(self, packed: DataFrame, side: DataFrame, task: Callable, schema: str) -> DataFrame:
+        """Bring the packs sent to each place together with that place's rows, once per copy."""
+        copies = packed.groupBy("place").agg(F.sum("nq").alias("visits")).select(
+            "place", F.ceil(F.col("visits") / QUERIES_PER_COPY).cast("int").alias("copies"))
+        right = side.join(copies, "place").withColumn(
+            "copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("copies")
+        left = packed.join(copies, "place").withColumn(
             "copy", F.pmod(F.xxhash64("qids"), F.col("copies")).cast("int")).drop("copies")
-        # Without a hint a small table of blocks is broadcast and a large one is shuffled.
-        return salted.join(blocks, ["block", "copy"])
+        by = ["place", "copy"]
+        return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(task, schema)
 
-    def _search_home(self, k: int):
+    def _to_blocks(self, queries: DataFrame, k: int | None) -> DataFrame:
+        """Packs by block, straight or by way of the leaves."""
+        if self.flat is not None:
+            return self._pack(queries, self.flat, k)
         width = self.width
 
-        def run(batches):
-            for batch in batches:
-                for row in batch.to_pylist():
-                    q, x = floats(row["q"], width), floats(row["x"], width)
-                    ids, labels = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["labels"], np.int32)
-                    hits = nearest(q, np.full(len(q), np.inf), x, ids, labels, k)
-                    bound = np.full(len(q), np.inf)
-                    if len(x) >= k:
-                        bound = hits["d2"].reshape(len(q), k)[:, k - 1]
-                    yield pa.RecordBatch.from_pylist([{
-                        "nq": len(q), "home": row["block"], "qids": row["qids"], "q": row["q"],
-                        "bound": np.ascontiguousarray(bound).tobytes(), "nn": hits.tobytes()}], HOME_ARROW)
-
-        return run
-
-    def _route(self):
-        """Send each query on to every other block that may hold a nearer row."""
-        names, lo, hi, width = self.names, self.lo, self.hi, self.width
+        def route(left: pa.Table, right: pa.Table) -> pa.Table:
+            qids, q, bound = unpacked(left, width)
+            boxes = Boxes.of(right, "block")
+            return pa.Table.from_batches([packs(boxes.names, boxes.route(q, bound, k), qids, q, bound)])
 
-        def run(batches):
-            for batch in batches:
-                rows = batch.to_pylist()
-                if not rows:
-                    continue
-                q32 = np.concatenate([np.frombuffer(r["q"], np.float32).reshape(-1, width) for r in rows])
-                qids = np.concatenate([np.frombuffer(r["qids"], np.int64) for r in rows])
-                bound = np.concatenate([np.frombuffer(r["bound"]) for r in rows])
-                home = np.repeat([r["home"] for r in rows], [r["nq"] for r in rows])
-                for p in chunks(len(q32), len(lo)):
-                    near = box_distances(q32[p].astype(np.float64), lo, hi) <= bound[p, None] * SLACK
-                    near &= names[None, :] != home[p, None]
-                    pick = [(b, np.flatnonzero(near[:, b])) for b in np.flatnonzero(near.any(0))]
-                    if pick:
-                        yield packs(names, pick, qids[p], q32[p], bound[p])
-
-        return run
-
-    def _search(self, k: int):
+        boxes = self.blocks.select(
+            F.col("leaf").cast("long").alias("place"), "block", F.col("n").cast("long").alias("n"), "lo", "hi")
+        return materialise(self._meet(self._pack(queries, self.leaves, k), boxes, route, PACK_SCHEMA), "knn-packs")
+
+    def _hits(self, packed: DataFrame, k: int) -> DataFrame:
+        """The best k rows of each visited block per query."""
         width = self.width
 
-        def run(batches):
-            for batch in batches:
-                for row in batch.to_pylist():
-                    q, x = floats(row["q"], width), floats(row["x"], width)
-                    ids, labels = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["labels"], np.int32)
-                    hits = nearest(q, np.frombuffer(row["bound"]), x, ids, labels, k)
-                    if len(hits):
-                        yield hit_batch(np.frombuffer(row["qids"], np.int64), hits)
+        def search(left: pa.Table, right: pa.Table) -> pa.Table:
+            if not left.num_rows or not right.num_rows:
+                return pa.Table.from_batches([hit_batch(np.zeros(0, np.int64), np.zeros(0, HIT))])
+            qids, q, bound = unpacked(left, width)
+            row = right.slice(0, 1).to_pylist()[0]
+            hits = nearest(q.astype(np.float64), bound, floats(row["x"], width), np.frombuffer(row["ids"], np.int64),
+                           np.frombuffer(row["labels"], np.int32), k)
+            return pa.Table.from_batches([hit_batch(qids, hits)])
 
-        return run
+        blocks = self.blocks.select(F.col("block").alias("place"), "ids", "labels", "x")
+        return self._meet(packed, blocks, search, HIT_SCHEMA)
 
-    def search(self, queries: DataFrame, key: str, k: int | None = None) -> DataFrame:
-        """(qid, nn) with the k nearest training rows, ordered by distance, then key."""
+    def search(self, queries: DataFrame, qid: str, k: int | None = None) -> DataFrame:
+        """(qid, nn) with the k nearest training rows, ordered by distance, then key.
+
+        ``qid`` is a column of unique numbers; ``numbered`` makes one. ``queries`` is read twice.
+        """
         k = self.k_max if k is None else k
         if k > self.k_max:
             raise ValueError(f"the index serves at most {self.k_max} neighbours")
-        asked = queries.select(col(key).cast("long").alias("qid"), "features")
-        homes = materialise(asked.mapInArrow(self._homes(), PACK_SCHEMA), "knn-homes")
-        first = materialise(
-            self._spread(homes).select("block", "qids", "q", "ids", "labels", "x")
-            .mapInArrow(self._search_home(k), HOME_SCHEMA), "knn-first")
-        routed = materialise(
-            first.select("nq", "home", "qids", "q", "bound").mapInArrow(self._route(), PACK_SCHEMA),
-            "knn-routed")
-        near = self._spread(routed).select("qids", "q", "bound", "ids", "labels", "x").mapInArrow(
-            self._search(k), HIT_SCHEMA)
-        home_hits = first.select("qids", "nn").mapInArrow(unpack_hits, HIT_SCHEMA)
-        # A query has at most one list of k rows per block.
-        merged = F.slice(F.array_sort(F.flatten(F.collect_list("nn"))), 1, k)
-        return home_hits.unionByName(near).groupBy("qid").agg(merged.alias("nn"))
+        asked = queries.select(col(qid).cast("long").alias("qid"), "features")
+        anywhere = asked.withColumn("bound", F.lit(float("inf")))
+        first = self._hits(self._to_blocks(anywhere, k), k)
+        # The home blocks of a query hold few rows more than k, so these lists are short.
+        distances = F.array_sort(F.flatten(F.collect_list(F.transform("nn", lambda h: h["d2"]))))
+        bounds = first.groupBy("qid").agg(
+            F.coalesce(F.get(distances, F.lit(k - 1)), F.lit(float("inf"))).alias("bound"))
+        near = self._hits(self._to_blocks(asked.join(materialise(bounds, "knn-bounds"), "qid"), None), k)
+        rows = near.select("qid", F.explode("nn").alias("h")).select("qid", "h")
+        best = Window.partitionBy("qid").orderBy("h.d2", "h.id")  # a group limit cuts before the shuffle
+        kept = rows.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k)
+        return kept.groupBy("qid").agg(F.array_sort(F.collect_list("h")).alias("nn"))
+
+    def key_of(self, rows: DataFrame, column: str = "id") -> DataFrame:
+        """Replace row numbers by the training keys they stand for."""
+        if self.names is None:
+            return rows.withColumn(column, F.when(F.col(column) != NO_KEY, F.col(column)))
+        names = self.names.select(F.col("id").alias(column), "key")
+        return rows.join(names, column).drop(column).withColumnRenamed("key", column)
+
+
+def numbered(df: DataFrame, name: str = "_query") -> DataFrame:
+    """The rows with a unique number each, written once so that the numbers stay."""
+    return materialise(df.withColumn(name, F.monotonically_increasing_id()), "knn-queries")
 
 
 def packs(names, pick, qids, q32, bound) -> pa.RecordBatch:
     return pa.RecordBatch.from_pylist([
-        {"block": int(names[b]), "nq": len(i), "qids": qids[i].tobytes(),
+        {"place": int(names[b]), "nq": len(i), "qids": qids[i].tobytes(),
          "q": np.ascontiguousarray(q32[i]).tobytes(), "bound": bound[i].tobytes()}
         for b, i in pick], PACK_ARROW)
 
 
-def unpack_hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for row in batch.to_pylist():
-            hits = np.frombuffer(row["nn"], HIT)
-            if len(hits):
-                yield hit_batch(np.frombuffer(row["qids"], np.int64), hits)
+def unpacked(table: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query numbers, features and bounds of packed rows."""
+    qids, q, bound = (b"".join(table.column(c).to_pylist()) for c in ("qids", "q", "bound"))
+    return np.frombuffer(qids, np.int64), np.frombuffer(q, np.float32).reshape(-1, width), np.frombuffer(bound)
 
 
 def vote_share(nn: Column, k: int, weights: str) -> Column:
@@ -421,42 +486,58 @@ def vote(share: Column) -> Column:
 
 @dataclass
 class KnnModel:
-    """Nearest-neighbour classifier; rows to score must carry the key column."""
+    """Nearest-neighbour classifier over an index."""
 
     index: KnnIndex
     k: int
     weights: str
-    key: str
 
     def attach(self, df: DataFrame, score: str, label: str) -> DataFrame:
-        voted = self.index.search(df, self.key, self.k).select(
-            F.col("qid"), vote_share(F.col("nn"), self.k, self.weights).alias(score))
-        joined = df.join(voted, col(self.key).cast("long") == F.col("qid")).drop("qid")
-        return joined.withColumn(label, vote(F.col(score)))
+        if df.isStreaming:
+            raise ValueError("a neighbour search needs whole batches: score streams with score_batches")
+        asked = numbered(df)
+        voted = self.index.search(asked, "_query", self.k).select(
+            F.col("qid").alias("_query"), vote_share(F.col("nn"), self.k, self.weights).alias(score))
+        return asked.join(voted, "_query").drop("_query").withColumn(label, vote(F.col(score)))
 
     def save(self, spark: SparkSession, path: str) -> None:
-        self.index.blocks.write.mode("overwrite").parquet(path + "/blocks")
+        """Into a folder of its own, so that a model may be saved over the one it was loaded from."""
+        folder = f"index-{uuid.uuid4().hex}"
+        self.index.blocks.write.parquet(f"{path}/{folder}/blocks")
+        if self.index.names is not None:
+            self.index.names.write.parquet(f"{path}/{folder}/names")
         write_json(spark, path + "/kind", {
-            "kind": "knn", "k": self.k, "weights": self.weights, "key": self.key,
-            "k_max": self.index.k_max})
+            "kind": "knn", "k": self.k, "weights": self.weights, "k_max": self.index.k_max,
+            "folder": folder, "named": self.index.names is not None})
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str, d: dict) -> KnnModel:
+        folder = f"{path}/{d['folder']}"
+        names = spark.read.parquet(folder + "/names") if d["named"] else None
+        index = KnnIndex.over(spark.read.parquet(folder + "/blocks"), d["k_max"], names)
+        return cls(index, d["k"], d["weights"])
 
 
 def fit_knn(train: DataFrame, key: str, k: int = 5, weights: str = "uniform") -> KnnModel:
-    return KnnModel(KnnIndex.fit(train, key, k), k, weights, key)
+    return KnnModel(KnnIndex.fit(train, key, k), k, weights)
 
 
 def knn_topk(train: DataFrame, queries: DataFrame, key: str, k: int) -> DataFrame:
-    """Neighbours as rows (qid, rank, id, distance, label)."""
-    found = KnnIndex.fit(train, key, k).search(queries, key, k)
-    return found.select("qid", F.posexplode("nn").alias("pos", "h")).select(
-        "qid", (F.col("pos") + 1).alias("rank"), F.col("h.id").alias("id"),
+    """Neighbours as rows (qid, rank, id, distance, label), a set of k per query row.
+
+    ``qid`` is the query's key; query rows of equal or null key give rows each.
+    """
+    asked, index = numbered(queries.select(col(key).alias("qkey"), "features")), KnnIndex.fit(train, key, k)
+    found = index.search(asked, "_query", k).select("qid", F.posexplode("nn").alias("pos", "h")).select(
+        F.col("qid").alias("_query"), (F.col("pos") + 1).alias("rank"), F.col("h.id").alias("id"),
         F.sqrt("h.d2").alias("distance"), F.col("h.label").alias("label"))
+    named = index.key_of(found).join(asked.select("_query", F.col("qkey").alias("qid")), "_query")
+    return named.select("qid", "rank", "id", "distance", "label")
 
 
 def knn_predict(
     train: DataFrame, queries: DataFrame, key: str, k: int = 5, weights: str = "uniform"
 ) -> DataFrame:
-    """(qid, share, prediction) for every query row."""
-    share = vote_share(F.col("nn"), k, weights)
-    found = KnnIndex.fit(train, key, k).search(queries, key, k)
-    return found.select("qid", share.alias("share")).withColumn("prediction", vote(F.col("share")))
+    """(qid, share, prediction) for every query row; qid is the query's key."""
+    asked = queries.select(col(key).alias("qid"), "features")
+    return fit_knn(train, key, k, weights).attach(asked, "share", "prediction").drop("features")

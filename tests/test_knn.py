@@ -45,11 +45,54 @@ def test_search_equals_brute_force(spark, kind, block_rows):
     queries = [(1000 + i, [float(v) for v in x]) for i, x in enumerate(points(rng, 90, 4, kind))]
     t, q = frames(spark, train, queries)
     index = knn.KnnIndex.fit(t, "id", 7, block_rows=block_rows)
-    assert (len(index.names) > 4) == (block_rows == 16)
+    assert (len(index.flat.names) > 4) == (block_rows == 16)
     got = {r.qid: [(h.d2, h.id, h.label) for h in r.nn] for r in index.search(q, "id", 7).collect()}
     assert got == brute(train, queries, 7)
 
 
+def test_two_levels_give_the_same_answer(spark, monkeypatch):
+    monkeypatch.setattr(knn, "FLAT_BOXES", 0)
+    monkeypatch.setattr(knn, "TOP_LEAVES", 5)
+    rng = np.random.default_rng(8)
+    train = [(int(i), int(rng.integers(2)), [float(v) for v in x]) for i, x in enumerate(points(rng, 600, 3, "spread"))]
+    queries = [(1000 + i, [float(v) for v in x]) for i, x in enumerate(points(rng, 70, 3, "grid"))]
+    t, q = frames(spark, train, queries)
+    index = knn.KnnIndex.fit(t, "id", 6, block_rows=16)
+    assert index.flat is None and len(index.leaves.names) <= 5
+    sizes = [r.n for r in index.blocks.select("n").collect()]
+    assert max(sizes) < 32 and len(sizes) > 18
+    got = {r.qid: [(h.d2, h.id, h.label) for h in r.nn] for r in index.search(q, "id", 6).collect()}
+    assert got == brute(train, queries, 6)
+
+
+def test_home_block_below_k(spark):
+    rng = np.random.default_rng(9)
+    train = [(int(i), 0, [float(v) for v in x]) for i, x in enumerate(points(rng, 60, 2, "spread"))]
+    queries = [(i, [0.1 * i, 0.5]) for i in range(8)]
+    t, q = frames(spark, train, queries)
+    got = {r.qid: [(h.d2, h.id, h.label) for h in r.nn] for r in knn.KnnIndex.fit(t, "id", 21, 4).search(q, "id").collect()}
+    assert got == brute(train, queries, 21)
+
+
+def test_repeated_null_and_text_keys(spark):
+    train = spark.createDataFrame(
+        [("b", 0, [0.0, 0.0]), ("a", 1, [0.0, 0.0]), (None, 1, [1.0, 1.0]), ("c", 0, [1.0, 1.0])],
+        "id string, label int, features array<float>")
+    queries = spark.createDataFrame(
+        [("x", [0.0, 0.0]), ("x", [1.0, 1.0]), (None, [0.0, 0.1]), (None, [1.0, 0.9])], "id string, features array<float>")
+    votes = knn.knn_predict(train, queries, "id", 1).collect()
+    assert sorted((str(r.qid), r.prediction) for r in votes) == [("None", 1), ("None", 1), ("x", 1), ("x", 1)]
+    rows = knn.knn_topk(train, queries, "id", 2).collect()
+    assert sorted((str(r.qid), r["rank"], str(r.id), r.label) for r in rows) == [
+        ("None", 1, "None", 1), ("None", 1, "a", 1), ("None", 2, "b", 0), ("None", 2, "c", 0),
+        ("x", 1, "None", 1), ("x", 1, "a", 1), ("x", 2, "b", 0), ("x", 2, "c", 0)]
+    numbers = spark.createDataFrame([(None, 1, [0.0]), (5, 0, [1.0])], "id long, label int, features array<float>")
+    asked = spark.createDataFrame([(7, [0.0]), (7, [1.0])], "id long, features array<float>")
+    shares = sorted(r.share for r in knn.knn_predict(numbers, asked, "id", 1).collect())
+    assert shares == [0.0, 1.0]
+    assert {r.id for r in knn.knn_topk(numbers, asked, "id", 1).collect()} == {None, 5}
+
+
 def test_busy_blocks_are_copied(spark, monkeypatch):
     monkeypatch.setattr(knn, "QUERIES_PER_COPY", 5)
     rng = np.random.default_rng(3)
