@@ -70,6 +70,13 @@ def spread_small(scan: DataFrame) -> DataFrame:
     return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
 
 
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete the scratch tables of this application: call it once their results are stored."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(
+        os.path.join(scratch_root(spark), "flowsentry", spark.sparkContext.applicationId))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def _write(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)

@@ -34,7 +34,7 @@ FOREST_CANDIDATES = (
     {"n_estimators": 200, "max_depth": 30, "min_samples_split": 2, "min_samples_leaf": 2, "max_features": "0.7"},
     {"n_estimators": 250, "max_depth": 30, "min_samples_split": 5, "min_samples_leaf": 2, "max_features": "0.7"},
 )
-MAX_DEPTH = 30  # the deepest tree Spark ML grows; stands in for "no limit"
+MAX_DEPTH = 30  # the deepest tree Spark ML grows; what "no limit" comes to
 VECTOR = "_vector"
 
 
@@ -50,6 +50,8 @@ class LinearModel:
     intercept: float
     probability: bool
     threshold: float
+    converged: bool = True
+    scans: int | None = None  # of the table, where the solver counts them
 
     def attach(self, df: DataFrame, score: str, label: str) -> DataFrame:
         z = linear_score(F.col("features"), self.weights, self.intercept)
@@ -109,17 +111,29 @@ def forest_estimator(
     n_estimators: int = 150, max_depth: int | None = 20, min_samples_split: int = 2,
     min_samples_leaf: int = 1, max_features: str = "sqrt", seed: int = 42,
 ) -> RandomForestClassifier:
-    """Spark ML has no minimum split size; a split of m rows needs leaves of at least 1, so
-    ``min_samples_split`` is kept in the recorded parameters only."""
+    """Spark ML has no minimum split size beyond two leaves of ``min_samples_leaf`` rows, and grows
+    trees of MAX_DEPTH at most; ``applied_parameters`` tells what comes of a request."""
     del min_samples_split
+    if max_depth is not None and max_depth > MAX_DEPTH:
+        raise ValueError(f"trees grow to a depth of {MAX_DEPTH} at most")
     return RandomForestClassifier(
         featuresCol=VECTOR, labelCol="label", numTrees=n_estimators,
-        maxDepth=MAX_DEPTH if max_depth is None else min(max_depth, MAX_DEPTH),
+        maxDepth=MAX_DEPTH if max_depth is None else max_depth,
         minInstancesPerNode=min_samples_leaf, featureSubsetStrategy=max_features, seed=seed,
         maxMemoryInMB=1024, cacheNodeIds=True,
     )
 
 
+def applied_parameters(model: str, parameters: dict) -> dict:
+    """The parameters that a fit really used, as result documents record them."""
+    if model != "Random Forest":
+        return dict(parameters)
+    depth = parameters.get("max_depth")
+    return parameters | {
+        "max_depth": MAX_DEPTH if depth is None else depth,
+        "min_samples_split": max(2, 2 * parameters.get("min_samples_leaf", 1))}
+
+
 def training_frame(train: DataFrame) -> DataFrame:
     return with_vector(train.select(F.col("label").cast("double").alias("label"), "features"))
 
@@ -129,9 +143,11 @@ def newton_models(
 ) -> list[LinearModel]:
     """Models of several penalties and folds, fitted together over shared scans."""
     probability = kind == "logistic"
+    found = solve(table, problems, kind, max_scans)
     return [
-        LinearModel([float(v) for v in w[:-1]], float(w[-1]), probability, 0.5 if probability else 0.0)
-        for w in solve(table, problems, kind, max_scans)
+        LinearModel([float(v) for v in w[:-1]], float(w[-1]), probability, 0.5 if probability else 0.0,
+                    bool(ok), found.scans)
+        for w, ok in zip(found.weights, found.converged)
     ]
 
 
@@ -140,22 +156,25 @@ def _all_rows(train: DataFrame) -> DataFrame:
 
 
 def fit_logistic(
-    train: DataFrame, c: float = 1.0, solver: str = "newton", max_iter: int = 1000
+    train: DataFrame, c: float = 1.0, solver: str = "newton", max_iter: int | None = None
 ) -> LinearModel:
-    """``newton`` scans the data about ten times; ``lbfgs`` suits very wide features."""
+    """``newton`` scans the data about ten times; ``lbfgs`` suits very wide features.
+
+    ``max_iter`` bounds the scans or iterations; the model says whether it converged.
+    """
     if solver == "newton":
-        return newton_models(_all_rows(train), [Problem(c)], "logistic")[0]
-    model = logistic_estimator(c, train.count(), max_iter).fit(training_frame(train))
+        return newton_models(_all_rows(train), [Problem(c)], "logistic", max_iter or MAX_SCANS)[0]
+    model = logistic_estimator(c, train.count(), max_iter or 1000).fit(training_frame(train))
     return LinearModel([float(w) for w in model.coefficients], float(model.intercept), True, 0.5)
 
 
 def fit_linear_svm(
-    train: DataFrame, c: float = 1.0, solver: str = "newton", max_iter: int = 200
+    train: DataFrame, c: float = 1.0, solver: str = "newton", max_iter: int | None = None
 ) -> LinearModel:
-    """Squared hinge loss with ``newton``, plain hinge loss with ``owlqn``."""
+    """Squared hinge loss with ``newton``, plain hinge loss with ``owlqn``; see fit_logistic."""
     if solver == "newton":
-        return newton_models(_all_rows(train), [Problem(c)], "squared_hinge")[0]
-    model = svm_estimator(c, train.count(), max_iter).fit(training_frame(train))
+        return newton_models(_all_rows(train), [Problem(c)], "squared_hinge", max_iter or MAX_SCANS)[0]
+    model = svm_estimator(c, train.count(), max_iter or 200).fit(training_frame(train))
     return LinearModel([float(w) for w in model.coefficients], float(model.intercept), False, 0.0)
 
 

@@ -8,9 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from flowsentry.functions.columns import col, ratio
-
-# Below this many rows a score curve is ranked in one window partition.
-SMALL_CURVE = 200_000
+from flowsentry.functions.session import materialise
 
 
 def _per_model(
@@ -69,51 +67,27 @@ def metrics(counts: DataFrame) -> DataFrame:
     return counts.withColumns(metric_columns())
 
 
-def _bucket(score: Column, bounds: list[float], base: int = 0) -> Column:
-    """Index of the score among sorted bounds, as a balanced tree of comparisons."""
-    if not bounds:
-        return F.lit(base)
-    middle = len(bounds) // 2
-    return F.when(
-        score <= F.lit(bounds[middle]), _bucket(score, bounds[:middle], base)
-    ).otherwise(_bucket(score, bounds[middle + 1:], base + middle + 1))
-
-
-def _bounds(df: DataFrame, scores: dict[str, str], buckets: int) -> list[list[float]]:
-    if buckets <= 1:
-        return [[] for _ in scores]
-    at = [i / buckets for i in range(1, buckets)]
-    wide = df.select(*[col(c).cast("double").alias(f"s{i}") for i, c in enumerate(scores.values())])
-    cuts = wide.approxQuantile([f"s{i}" for i in range(len(scores))], at, 1 / (4 * buckets))
-    return [sorted(set(c)) for c in cuts]
-
-
 def ranking_metrics(
-    df: DataFrame, label: str, scores: dict[str, str], buckets: int | None = None,
-    by: Sequence[str] = (),
+    df: DataFrame, label: str, scores: dict[str, str], by: Sequence[str] = (),
 ) -> DataFrame:
     """ROC AUC (ties count one half) and step-wise average precision per model and group.
 
-    Rows are first counted by distinct score. The score range is cut at approximate
-    quantiles, cumulative counts run inside each range in parallel, and the totals of
-    the other ranges come from one small table (models x ranges rows per group), so no
-    window ever orders a whole column. The result is exact for any cut.
+    Rows are first counted by distinct score; for that each row is read once and gives a row per
+    model. The counts are range-partitioned by score and written; cumulative counts run inside
+    each range in parallel, and the totals of the other ranges come from one small table, so no
+    window ever orders a whole column. The number of ranges follows the size of the curve.
     """
-    if buckets is None:
-        buckets = 1 if df.count() <= SMALL_CURVE else 128
-    bounds = _bounds(df, scores, buckets)
     pairs = F.explode(F.array(*[
-        F.struct(F.lit(m).alias("model"), col(c).cast("double").alias("s"),
-                 _bucket(col(c).cast("double"), bounds[i]).alias("b"))
-        for i, (m, c) in enumerate(scores.items())
-    ]))
+        F.struct(F.lit(m).alias("model"), col(c).cast("double").alias("s")) for m, c in scores.items()]))
     group = [*by, "model"]
-    curve = (
+    counts = (
         df.select(*by, col(label).cast("long").alias("y"), pairs.alias("e"))
-        .select(*by, "y", "e.model", "e.b", "e.s")
-        .groupBy(*group, "b", "s")
+        .select(*by, "y", "e.model", "e.s")
+        .groupBy(*group, "s")
         .agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("q"))
     )
+    curve = materialise(
+        counts.repartitionByRange(*group, "s").withColumn("b", F.spark_partition_id()), "score-curve")
     ascending = Window.partitionBy(*group, "b").orderBy("s").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)  # each score occurs once
     ranked = curve.select(
@@ -132,7 +106,7 @@ def ranking_metrics(
         F.coalesce(F.sum("bq").over(order), F.lit(0)).alias("q0"),
         F.sum("bp").over(whole).alias("pt"), F.sum("bq").over(whole).alias("qt"),
     )
-    # The offsets hold len(scores) * buckets rows per group; Spark broadcasts them by size.
+    # The offsets hold a row per range, model and group; Spark broadcasts them by size.
     joined = ranked.join(offsets, [*group, "b"])
     below = F.col("q0") + F.col("cq") - F.col("q")
     tp = F.col("pt") - F.col("p0") - F.col("cp") + F.col("p")
@@ -149,8 +123,8 @@ def ranking_metrics(
 
 def evaluate(
     df: DataFrame, label: str, predictions: dict[str, str], scores: dict[str, str],
-    buckets: int | None = None, by: Sequence[str] = (),
+    by: Sequence[str] = (),
 ) -> DataFrame:
     """All metrics per model and group: confusion counts, ratios, ROC AUC, average precision."""
     counted = metrics(confusion_matrix(confusion_counts(df, label, predictions, by)))
-    return counted.join(ranking_metrics(df, label, scores, buckets, by), [*by, "model"])
+    return counted.join(ranking_metrics(df, label, scores, by), [*by, "model"])

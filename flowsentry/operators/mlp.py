@@ -15,6 +15,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from flowsentry.functions.arrow import matrix, sum_over_tasks, vector_batch
@@ -28,9 +29,12 @@ ARCHITECTURE = {
     "learning_rate_init": 0.001, "maximum_epochs": 150, "early_stopping": True,
     "validation_fraction": 0.1, "n_iter_no_change": 10,
 }
+# Candidate penalties.
 ALPHA_VALUES = (1e-5, 1e-4, 1e-3, 1e-2)
+# Workers that train side by side between two averagings. The trained weights depend on this
+# setting and on nothing else of the cluster, so it is stored with the model.
+TASKS = 8
 BETA1, BETA2, EPSILON, TOLERANCE = 0.9, 0.999, 1e-8, 1e-4
-MIN_STEPS = 16
 TOTALS = 5  # rows, rows * steps, loss, validation rows, correct validation rows
 
 
@@ -125,6 +129,7 @@ class NetworkModel:
     history: list[dict] = field(default_factory=list)
     epochs_completed: int = 0
     best_validation_score: float = 0.0
+    tasks: int = TASKS
 
     def attach(self, df: DataFrame, score: str, label: str) -> DataFrame:
         layers, weights = self.layers, self.weights.astype(np.float32)
@@ -153,18 +158,22 @@ class NetworkModel:
             "kind": "network", "layers": self.layers, "threshold": self.threshold,
             "weights": base64.b64encode(self.weights.tobytes()).decode(),
             "history": self.history, "epochs_completed": self.epochs_completed,
-            "best_validation_score": self.best_validation_score,
+            "best_validation_score": self.best_validation_score, "tasks": self.tasks,
         })
 
     @classmethod
     def from_document(cls, d: dict) -> NetworkModel:
         weights = np.frombuffer(base64.b64decode(d["weights"]))
         return cls(d["layers"], weights, d["threshold"], d["history"], d["epochs_completed"],
-                   d["best_validation_score"])
+                   d["best_validation_score"], d["tasks"])
 
 
 def _training_table(train: DataFrame, key: str, seed: int, fraction: float, tasks: int) -> DataFrame:
-    """Training rows with a validation mark, spread evenly and in hashed order, written once."""
+    """Training rows with a validation mark, in ``tasks`` partitions, each in hashed order.
+
+    A row's partition and place follow from its key alone. The table is written once; the
+    partitions are kept by the executors and rebuilt from it if one is lost.
+    """
     order = hash_order(col(key), seed, "validate")
     cutoffs = hash_cutoffs(
         train, order, F.col("label"),
@@ -176,8 +185,9 @@ def _training_table(train: DataFrame, key: str, seed: int, fraction: float, task
     marked = train.select(
         "features", F.col("label").cast("int").alias("label"), is_val.alias("is_val"),
         hash_order(col(key), seed, "shuffle").alias("h"))
-    spread = marked.repartition(tasks, "h").sortWithinPartitions("h").drop("h")
-    return materialise(spread, "network-training")
+    table = materialise(marked, "network-training")
+    placed = table.repartitionById(tasks, F.pmod(F.xxhash64("h"), F.lit(tasks)).cast("int"))
+    return placed.sortWithinPartitions("h").drop("h").persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def fit_mlp_adam(
@@ -188,29 +198,23 @@ def fit_mlp_adam(
     learning_rate: float = ARCHITECTURE["learning_rate_init"],
     validation_fraction: float = ARCHITECTURE["validation_fraction"],
     patience: int = ARCHITECTURE["n_iter_no_change"],
-    tasks: int | None = None,
+    tasks: int = TASKS,
 ) -> NetworkModel:
     """Train until the validation accuracy has not improved for ``patience`` epochs.
 
-    ``tasks`` is the number of parallel workers; by default the cluster's parallelism, but
-    few enough that each takes MIN_STEPS steps between two averagings. The driver only
-    ever holds weights, which do not grow with the data.
+    ``tasks`` is the number of parallel workers; the same number gives the same weights on
+    any cluster. The driver only ever holds weights, which do not grow with the data.
     """
-    spark = train.sparkSession
-    if tasks is None:
-        useful = train.count() // (MIN_STEPS * batch_size)
-        tasks = max(1, min(useful, spark.sparkContext.defaultParallelism))
     table = _training_table(train, key, seed, validation_fraction, tasks)
     layers = [len(table.select("features").head().features), *hidden, 1]
     weights = initial_weights(layers, seed)
     state = np.concatenate([weights, np.zeros(2 * len(weights))])
-    model = NetworkModel(layers, weights)
-    parts = table.rdd.getNumPartitions()
+    model = NetworkModel(layers, weights, tasks=tasks)
     best, best_weights, waited, steps = -1.0, weights, 0, 0
     # Job e scores the weights that epoch e-1 produced, so one more job ends the last epoch.
     for epoch in range(max_epochs + 1):
         run = epoch_task(state, steps, layers, alpha, learning_rate, batch_size, seed + epoch)
-        sums = sum_over_tasks(table, run, parts)
+        sums = sum_over_tasks(table, run, tasks)
         n, weighted_steps, cost, val_n, val_correct = sums[:TOTALS]
         accuracy = val_correct / val_n if val_n else 0.0
         if epoch:
@@ -225,5 +229,6 @@ def fit_mlp_adam(
         loss = cost / n
         state = sums[TOTALS:] / n
         steps += round(weighted_steps / n)
+    table.unpersist()
     model.weights, model.best_validation_score = np.array(best_weights), float(best)
     return model

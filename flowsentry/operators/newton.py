@@ -33,6 +33,15 @@ class Problem:
     without_fold: int | None = None
 
 
+@dataclass(frozen=True)
+class Solution:
+    """Weights per problem, whether each converged, and the scans taken."""
+
+    weights: np.ndarray
+    converged: np.ndarray
+    scans: int
+
+
 def with_intercept(x: np.ndarray) -> np.ndarray:
     return np.hstack([x.astype(np.float64), np.ones((len(x), 1))])
 
@@ -73,9 +82,11 @@ def scan_task(weights: np.ndarray, folds_out: list, kind: str):
     return run
 
 
-def solve(table: DataFrame, problems: Sequence[Problem], kind: str, max_scans: int = MAX_SCANS) -> np.ndarray:
+def solve(table: DataFrame, problems: Sequence[Problem], kind: str, max_scans: int = MAX_SCANS) -> Solution:
     """Weights (intercept last) of every problem over a table of (features, label, fold).
 
+    ``table`` is scanned about a dozen times: pass a written one.
+
     A Newton step that does not lower a problem's objective is halved in the next scan;
     problems that have converged take no further part.
     """
@@ -86,10 +97,9 @@ def solve(table: DataFrame, problems: Sequence[Problem], kind: str, max_scans: i
     ridge[-1] = 0
     best = np.zeros((len(problems), width))
     trial, step, value = best.copy(), best.copy(), np.full(len(problems), np.inf)
-    active = list(range(len(problems)))
-    for _ in range(max_scans):
-        if not active:
-            break
+    active, scans = list(range(len(problems))), 0
+    while active and scans < max_scans:
+        scans += 1
         task = scan_task(trial[active], [problems[p].without_fold for p in active], kind)
         sums = sum_over_tasks(rows, task, parts).reshape(len(active), -1)
         still = []
@@ -111,7 +121,9 @@ def solve(table: DataFrame, problems: Sequence[Problem], kind: str, max_scans: i
             trial[p] = best[p] + step[p]
             still.append(p)
         active = still
-    return best
+    converged = np.ones(len(problems), bool)
+    converged[active] = False
+    return Solution(best, converged, scans)
 
 
 def held_out_task(weights: np.ndarray, folds_out: list):

@@ -23,6 +23,7 @@ MD5_DIGITS = 32
 BUCKET_ROWS = 2000
 MAX_CLASSES = 1000
 BELOW_ALL, ABOVE_ALL = "", "g"
+REPEATED = "equal row keys lie on both sides of a cut, so its size cannot be exact; keys must be unique"
 
 
 def _prefix_counts(df: DataFrame, open_prefixes: set, level: int) -> dict:
@@ -33,9 +34,8 @@ def _prefix_counts(df: DataFrame, open_prefixes: set, level: int) -> dict:
         "c", F.substring("h", 1, level * DIGITS).alias("p"),
         F.substring("h", level * DIGITS + 1, DIGITS).alias("d"),
     ).count()
-    limit = max(len(open_prefixes), MAX_CLASSES) * 16**DIGITS
     result: dict = {}
-    for row in counts.limit(limit).collect():
+    for row in counts.collect():  # 4096 per class or open prefix
         result.setdefault((row.c, row.p), {})[row.d] = row["count"]
     return result
 
@@ -60,10 +60,11 @@ def hash_cutoffs(
     below every row, a rank beyond the class one above every row.
     """
     hashed = df.select(by.alias("c"), order.alias("h")).filter(F.col("c").isNotNull())
+    classes = hashed.groupBy("c").count().limit(MAX_CLASSES + 1).collect()
+    if len(classes) > MAX_CLASSES:
+        raise ValueError(f"more than {MAX_CLASSES} classes")
     counts = _prefix_counts(hashed, set(), 0)
     sizes = {c: sum(d.values()) for (c, _), d in counts.items()}
-    if len(sizes) > MAX_CLASSES:
-        raise ValueError(f"more than {MAX_CLASSES} classes")
     wanted = ranks(sizes)
     result: dict = {c: [None] * len(w) for c, w in wanted.items()}
     pending = []
@@ -82,8 +83,8 @@ def hash_cutoffs(
             for digits, size in sorted(counts[(c, prefix)].items()):
                 if rank <= size:
                     item = [c, i, prefix + digits, rank]
-                    if len(item[2]) >= MD5_DIGITS:  # equal keys: the hash itself is the cut-off
-                        result[c][i] = item[2]
+                    if len(item[2]) >= MD5_DIGITS:
+                        raise ValueError(REPEATED)
                     else:
                         (final if size <= BUCKET_ROWS else deeper).append((item, level + 1))
                     break
@@ -102,6 +103,8 @@ def hash_cutoffs(
             buckets.setdefault(row.c, []).append(row.h)
         for (c, i, prefix, rank), _ in final:
             members = sorted(h for h in buckets[c] if h.startswith(prefix))
+            if members[rank - 1] == members[min(rank, len(members) - 1)] and rank < len(members):
+                raise ValueError(REPEATED)
             result[c][i] = members[rank - 1]
     return result
 
@@ -148,9 +151,12 @@ def split_filter(
 def stratified_split(
     df: DataFrame, key: str, label: str, fraction: float = 0.7, seed: int = 42
 ) -> tuple[DataFrame, DataFrame]:
-    """Train and test frames that keep the class shares, of exact size (split_shares)."""
+    """Train and test frames that keep the class shares, of exact size (split_shares).
+
+    Rows without a label belong to neither.
+    """
     inside = split_filter(df, key, label, fraction, seed)
-    return df.filter(inside), df.filter(~inside)
+    return df.filter(inside), df.filter(~inside & col(label).isNotNull())
 
 
 def balance_filter(df: DataFrame, key: str, label: str, seed: int = 42) -> Column:
@@ -180,7 +186,10 @@ def subsample(
 def assign_folds(
     df: DataFrame, key: str, label: str, folds: int = 3, seed: int = 42, output: str = "fold"
 ) -> DataFrame:
-    """Number rows 0..folds-1 so that every class is spread evenly over the folds."""
+    """Number rows 0..folds-1 so that every class is spread evenly over the folds.
+
+    Rows without a label get no fold.
+    """
     order = hash_order(col(key), seed, "fold")
     cutoffs = hash_cutoffs(
         df, order, col(label),
@@ -189,4 +198,4 @@ def assign_folds(
     fold = F.lit(folds - 1)
     for i in reversed(range(folds - 1)):
         fold = F.when(_below(order, col(label), cutoffs, i), F.lit(i)).otherwise(fold)
-    return df.withColumn(output, fold.cast("int"))
+    return df.withColumn(output, F.when(col(label).isNotNull(), fold.cast("int")))

@@ -17,7 +17,7 @@ from flowsentry.operators.metrics import evaluate
 from flowsentry.operators.mlp import ARCHITECTURE, NetworkModel
 from flowsentry.operators.sampling import balance_filter, split_filter
 from flowsentry.operators.tuning import tune_and_fit
-from flowsentry.profiles import MODEL_ORDER, STUDY_SEEDS, FlowProfile, binarise_label
+from flowsentry.profiles import DOCUMENT_NAME_OF, MODEL_ORDER, STUDY_SEEDS, FlowProfile, binarise_label
 from flowsentry.sources.results import METRICS, RESULT_DDL, TIMINGS, run_table
 from flowsentry.sources.store import Detector
 
@@ -29,10 +29,11 @@ def prepare(
     """Clean, split, balance the training part, fit the preprocessing and write both parts.
 
     Everything is fitted on training rows only; the test part keeps its natural shares.
+    Rows without a label are left out.
     The source is read three times: for the keys the sampling works on, for the balanced
     training rows, and for the test features.
     """
-    labelled = binarise_label(usable_rows(df, profile.features), profile)
+    labelled = binarise_label(usable_rows(df, profile.features), profile).filter(F.col("label").isNotNull())
     keys = materialise(labelled.select(col(key), "label"), "keys")
     cores = df.sparkSession.sparkContext.defaultParallelism
     if keys.rdd.getNumPartitions() < cores:  # a small source: use every core from here on
@@ -79,18 +80,18 @@ def result_document(
         else:
             cv["selected_parameters"] = chosen
     document = {
-        "dataset": profile.artifact, "model": name, "training_rows": training_rows,
+        "dataset": profile.artifact, "model": DOCUMENT_NAME_OF.get(name, name), "training_rows": training_rows,
         "testing_rows": evaluation["testing_rows"], "input_features": len(selected),
         "cross_validation": cv, "metrics": {m: evaluation[m] for m in METRICS},
         "confusion_matrix": evaluation["confusion_matrix"],
         "training_seconds": tuning["training_seconds"], "prediction_seconds": prediction_seconds,
     }
     if isinstance(model, KnnModel):
-        document["decision_rule"] = "class with the largest vote share"
+        document["decision_rule"] = "argmax_probability"
     else:
         document["decision_threshold"] = model.threshold
     if isinstance(model, NetworkModel):
-        document["architecture"] = dict(ARCHITECTURE)
+        document["architecture"] = ARCHITECTURE | {"tasks": model.tasks}
         document["training_history"] = {
             "epochs_completed": model.epochs_completed,
             "best_validation_score": model.best_validation_score}

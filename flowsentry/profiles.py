@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 MODEL_ORDER = ("Random Forest", "Logistic Regression", "Linear SVM", "kNN", "ANN")
 COMPARE_ALL = "Compare all models"
 DOCUMENT_NAMES = {"k-Nearest Neighbors": "kNN", "Artificial Neural Network": "ANN"}
+DOCUMENT_NAME_OF = {short: long for long, short in DOCUMENT_NAMES.items()}
 
 # Seeds of the repeated study, in run order.
 STUDY_SEEDS = (42, 13, 2027, 21, 8)

@@ -114,9 +114,23 @@ def test_cutoffs_descend_into_large_buckets(keyed, monkeypatch):
     assert sampling.stratified_split(keyed, "id", "label")[0].orderBy("id").collect() == expected
 
 
-def test_equal_keys_end(spark):
+def test_equal_keys_over_a_cut_are_refused(spark):
     same = spark.range(50).select(F.lit(1).alias("id"), F.lit(0).alias("label"))
-    assert sampling.subsample(same, 10, "id", "label").count() in (0, 50)
+    with pytest.raises(ValueError, match="unique"):
+        sampling.subsample(same, 10, "id", "label")
+    assert sampling.subsample(same, 50, "id", "label").count() == 50
+
+
+def test_rows_without_label_are_in_no_part(spark):
+    df = spark.range(100).select("id", F.when(F.col("id") % 10 > 0, (F.col("id") % 2).cast("int")).alias("label"))
+    train, test = sampling.stratified_split(df, "id", "label")
+    assert train.count() + test.count() == 90
+    assert sampling.assign_folds(df, "id", "label").filter("label is null and fold is not null").count() == 0
+
+
+def test_too_many_classes_are_refused_first(spark):
+    with pytest.raises(ValueError, match="classes"):
+        sampling.stratified_split(spark.range(2000).select("id", F.col("id").alias("label")), "id", "label")
 
 
 def test_median_agrees_with_numpy(keyed):

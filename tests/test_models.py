@@ -8,7 +8,7 @@ from flowsentry.operators import classifiers, knn, mlp, newton, tuning
 from flowsentry.operators.sampling import assign_folds
 from flowsentry.plans import study, surrogate
 from flowsentry.plans.analyze import analyze
-from flowsentry.profiles import COMPARE_ALL, MODEL_ORDER
+from flowsentry.profiles import COMPARE_ALL, DOCUMENT_NAMES, MODEL_ORDER
 from flowsentry.sources import results as rs, store
 from flowsentry.streaming import scoring as streams
 
@@ -53,7 +53,7 @@ def test_newton_svm_has_no_descent_direction(data):
 def test_many_problems_equal_single_fits(data):
     folded = assign_folds(data, "id", "label")
     problems = [newton.Problem(1.0, 0), newton.Problem(10.0, 2)]
-    together = newton.solve(folded, problems, "logistic")
+    together = newton.solve(folded, problems, "logistic").weights
     for problem, weights in zip(problems, together):
         alone = classifiers.fit_logistic(folded.filter(F.col("fold") != problem.without_fold), problem.c)
         assert list(weights) == pytest.approx([*alone.weights, alone.intercept], rel=1e-5)
@@ -76,6 +76,27 @@ def test_network_learns_and_repeats(spark, data):
     assert fits[0].training_history(spark).head().epochs_completed == 12
 
 
+def test_network_depends_on_tasks_alone(spark, data):
+    first = mlp.fit_mlp_adam(data, "id", max_epochs=3, tasks=3)
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    again = mlp.fit_mlp_adam(data.repartition(5), "id", max_epochs=3, tasks=3)
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert first.tasks == 3 and np.array_equal(first.weights, again.weights)
+    assert not np.array_equal(first.weights, mlp.fit_mlp_adam(data, "id", max_epochs=3, tasks=1).weights)
+
+
+def test_newton_says_whether_it_converged(data):
+    full, cut = classifiers.fit_logistic(data, 1.0), classifiers.fit_logistic(data, 1.0, max_iter=2)
+    assert full.converged and full.scans > 2 and not cut.converged and cut.scans == 2
+
+
+def test_recorded_forest_parameters_are_those_applied():
+    applied = classifiers.applied_parameters("Random Forest", dict(classifiers.FOREST_CANDIDATES[3]))
+    assert applied["max_depth"] == 30 and applied["min_samples_split"] == 2
+    with pytest.raises(ValueError):
+        classifiers.forest_estimator(max_depth=31)
+
+
 def test_network_stops_early(data):
     assert mlp.fit_mlp_adam(data, "id", max_epochs=40, patience=1, tasks=1).epochs_completed < 40
 
@@ -125,8 +146,8 @@ def trained(spark, sf_dir):
 def test_result_documents(spark, trained, tmp_path):
     detector, documents = trained
     rs.write_results(documents.withColumn("run", F.lit("run_2")), str(tmp_path / "r"))
-    back = rs.read_documents(spark, str(tmp_path / "r"), "*.json")
-    rows = {r.model: r for r in back.collect()}
+    back = rs.read_documents(spark, str(tmp_path / "r"))
+    rows = {DOCUMENT_NAMES.get(r.model, r.model): r for r in back.collect()}
     assert set(rows) == set(MODEL_ORDER) and {r.run for r in rows.values()} == {"run_2"}
     forest, network = rows["Random Forest"], rows["ANN"]
     assert len(forest.feature_importances) == forest.input_features == 6
