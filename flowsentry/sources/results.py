@@ -17,7 +17,7 @@ RESULT_DDL = """
 dataset string, model string, training_rows bigint, testing_rows bigint, input_features int,
 architecture struct<hidden_layers: array<int>, activation: string, optimizer: string,
   batch_size: int, learning_rate_init: double, maximum_epochs: int, early_stopping: boolean,
-  validation_fraction: double, n_iter_no_change: int>,
+  validation_fraction: double, n_iter_no_change: int, tasks: int>,
 cross_validation struct<folds: int, scoring: string, tuning_rows: int,
   candidate_C_values: array<double>, candidate_alpha_values: array<double>,
   mean_f1_scores: map<string, double>, selected_C: double, selected_alpha: double,
@@ -49,18 +49,28 @@ def seed_of(run):
     return F.get(F.array(*[F.lit(s) for s in STUDY_SEEDS]), number - 1)
 
 
-def write_results(results: DataFrame, path: str, mode: str = "append") -> None:
-    """Result documents as JSON, in folders by run, model and dataset."""
-    folders = results.withColumns({"model_dir": F.col("model"), "dataset_dir": F.col("dataset")})
-    folders.write.partitionBy("run", "model_dir", "dataset_dir").json(path, mode=mode)
+def write_results(results: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Result documents as JSON, in folders <run>/<dataset>_results by model.
 
+    The default replaces what a former run of the same study has left under ``path``.
+    """
+    folders = results.withColumns({
+        "run_dir": F.col("run"), "model_dir": F.col("model"),
+        "document": F.concat("dataset", F.lit("_results"))})
+    folders.write.partitionBy("run_dir", "model_dir", "document").json(path, mode=mode)
 
-def read_documents(spark: SparkSession, path: str, pattern: str = "*_results.json") -> DataFrame:
-    """Every result document under a folder tree, with the run taken from its path."""
+
+def read_documents(spark: SparkSession, path: str, pattern: str = "*.json") -> DataFrame:
+    """Every result document under a folder tree, with the run taken from its path.
+
+    Documents are told by "_results" in their path, so they may come from ``write_results`` or be
+    single files <run>/.../<dataset>_results.json; other JSON files beside them are left out.
+    """
     reader = spark.read.schema(RESULT_DDL).option("multiLine", True)
     found = reader.json(path, recursiveFileLookup=True, pathGlobFilter=pattern)
-    run = F.regexp_extract(F.col("_metadata.file_path"), r"run[=_](?:run_)?(\d+)", 1)
-    return found.withColumn("run", F.concat(F.lit("run_"), run))
+    file = F.col("_metadata.file_path")
+    run = F.regexp_extract(file, r"run(?:_dir)?[=_](?:run_)?(\d+)", 1)
+    return found.withColumn("run", F.concat(F.lit("run_"), run)).filter(file.rlike(r"_results(\.json$|/)"))
 
 
 def run_table(documents: DataFrame) -> DataFrame:
@@ -72,7 +82,7 @@ def run_table(documents: DataFrame) -> DataFrame:
     )
 
 
-def read_results(spark: SparkSession, root: str, pattern: str = "*_results.json") -> DataFrame:
+def read_results(spark: SparkSession, root: str, pattern: str = "*.json") -> DataFrame:
     """The run table of a whole study, over all runs, models and datasets."""
     return run_table(read_documents(spark, root, pattern))
 
@@ -81,7 +91,8 @@ def run_order(table: DataFrame) -> DataFrame:
     """Run-table order: run, then model and dataset."""
     position = F.array_position(
         F.array(*[F.lit(m) for m in (MODEL_ORDER[1], MODEL_ORDER[0], *MODEL_ORDER[2:])]), F.col("model"))
-    return table.orderBy("run", position, "dataset")
+    number = F.regexp_extract("run", r"(\d+)$", 1).cast("int")  # run_10 comes after run_2
+    return table.orderBy(number, "run", position, "dataset")
 
 
 def summarise_results(documents: DataFrame) -> DataFrame:
