@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cotraining, pii, tool_calls
+from . import cotraining, pii, sql, tool_calls
 from .bpe import encode_documents
 from .common import table
 from .decontaminate import hits
@@ -84,4 +84,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_tool_calls": op9_tool_calls,
     "op10_line_templates": op10_line_templates,
 }
-ORACLES: dict[str, str] = {"op3_pii": pii.ORACLE, "op9_tool_calls": tool_calls.ORACLE}
+ORACLES: dict[str, str] = {
+    "op2_decontaminate": sql.DECONTAMINATE,
+    "op3_pii": pii.ORACLE,
+    "op4_jaccard_join": sql.JACCARD,
+    "op9_tool_calls": tool_calls.ORACLE,
+}
