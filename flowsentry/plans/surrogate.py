@@ -22,6 +22,16 @@ SHIPMENTS = FlowProfile(
     categoricals=("l_returnflag", "l_linestatus"),
     preview=("l_returnflag", "l_linestatus", "l_quantity"), label="label",
 )
+# Shipments with as many model inputs as a recorded flow model has.
+WIDE = FlowProfile(
+    name="wide shipments", artifact="wide_shipments",
+    features=(
+        "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber", "l_orderkey", "l_partkey",
+        "l_suppkey", "unit_price", "net_price", "gross_price", "tax_paid", "rebate", "day_of_year",
+        "weekday", "l_returnflag", "l_linestatus"),
+    categoricals=("l_returnflag", "l_linestatus"),
+    preview=("l_returnflag", "l_linestatus", "l_quantity"), label="label",
+)
 
 EVENTS_SQL = """
 select event_id as row_id, user_id::double as user_id, value,
@@ -61,3 +71,19 @@ def shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus",
         (F.col("l_quantity") * (1 - F.col("l_discount")) > 40).cast("int").alias("label"),
     )
+
+
+def wide_shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shipments with further measures of each row: 20 encoded columns in all."""
+    raw = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    price, rest = F.col("l_extendedprice"), 1 - F.col("l_discount")
+    return raw.select(
+        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("row_key"),
+        "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus",
+        *[F.col(c).cast("double").alias(c) for c in ("l_linenumber", "l_orderkey", "l_partkey", "l_suppkey")],
+        (price / F.col("l_quantity")).alias("unit_price"), (price * rest).alias("net_price"),
+        (price * rest * (1 + F.col("l_tax"))).alias("gross_price"), (price * F.col("l_tax")).alias("tax_paid"),
+        (price * F.col("l_discount")).alias("rebate"),
+        F.dayofyear("l_shipdate").cast("double").alias("day_of_year"), F.weekday("l_shipdate").cast("double").alias("weekday"),
+        (F.col("l_quantity") * rest > 40).cast("int").alias("label"),
+    )
