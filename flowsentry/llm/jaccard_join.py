@@ -11,10 +11,11 @@ set's n tokens; two sets that link share a prefix token under any order that is
   bits at most) and then the prefixes under the other orders are checked before verification.
 * What is left is verified on the whole sets.
 
-Equal sets are one class throughout. Within a posting list pairs are not spelt out: in each round
-one member, the hub, is compared with the others; members already in one component need no
-comparison. Only for lists that still hold several components after ROUNDS are the pairs between
-components compared, so that no link between components is lost.
+Equal sets are one class throughout. In a posting list of up to SHORT members all pairs are compared
+by size and bitmap. Within a longer list pairs are not spelt out: in each round one member, the hub,
+is compared with the others; members already in one component need no comparison. Only for lists that
+still hold several components after ROUNDS are the pairs between components compared, so that no link
+between components is lost.
 """
 
 from __future__ import annotations
@@ -36,7 +37,9 @@ from .shingles import mix, shingle_sets
 PERCENT = 75
 HOT = 8  # a token in this many prefixes of the plain order goes behind
 MOST_HOT = 1 << 21  # tokens whose frequency class is broadcast (9 bytes each); the most frequent
+SHORT = 48
 ROUNDS = 5
+SHARD_BYTES = 1 << 20  # of text whose shingles are computed at a time
 BITMAP = 8  # 64-bit words
 ORDERS = (np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344), np.uint64(0xA4093822299F31D0))
 BLOOM_BITS = 26
@@ -101,7 +104,7 @@ def _sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in slices(batch, "text"):
+            for piece in slices(batch, "text", SHARD_BYTES):
                 sets = shingle_sets(binary(piece.column("text")).to_pylist())
                 prints = np.array([fingerprint(s) for s in sets], np.int64).reshape(-1, 2)
                 bits = np.array([_parity(s) for s in sets], np.int64).reshape(-1, BITMAP)
@@ -123,7 +126,7 @@ def _token_classes(docs: DataFrame, id_col: str, text_col: str) -> TokenClasses:
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in slices(batch, "text"):
+            for piece in slices(batch, "text", SHARD_BYTES):
                 sets = {s.tobytes(): s for s in shingle_sets(binary(piece.column("text")).to_pylist())}.values()
                 found = [plain_prefix(s, 0) for s in sets]
                 keys, n = np.unique(np.concatenate(found or [np.zeros(0, np.uint64)]), return_counts=True)
@@ -153,7 +156,7 @@ def _shared_postings(docs: DataFrame, classes: TokenClasses, id_col: str, text_c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in slices(batch, "text"):
+            for piece in slices(batch, "text", SHARD_BYTES):
                 sets = {s.tobytes(): s for s in shingle_sets(binary(piece.column("text")).to_pylist()) if len(s)}.values()
                 found = [(*shared.value.prefix(s), fingerprint(s)) for s in sets]
                 sizes = [len(keys) for keys, _, _ in found]
@@ -187,7 +190,7 @@ def _shared_postings(docs: DataFrame, classes: TokenClasses, id_col: str, text_c
 
 
 def _candidate_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(f1, f2, tokens, p1, p2) of documents whose id is among ``wanted`` (doc_id).
+    """(f1, f2, tokens) of documents whose id is among ``wanted`` (doc_id).
 
     The ids go into a Bloom filter of fixed size (8 MB); a few sets too many do no harm, since the
     result is joined on the set's fingerprint.
@@ -204,54 +207,63 @@ def _candidate_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: s
         for batch in batches:
             slot = batch.column("slot").to_numpy()
             held = (shared.value[slot // 64] >> (slot % 64).astype(np.uint64)) & np.uint64(1) > 0
-            for piece in slices(batch.filter(pa.array(held)), "text"):
+            for piece in slices(batch.filter(pa.array(held)), "text", SHARD_BYTES):
                 sets = list({s.tobytes(): s for s in shingle_sets(binary(piece.column("text")).to_pylist())}.values())
                 prints = np.array([fingerprint(s) for s in sets], np.int64).reshape(-1, 2)
                 yield pa.RecordBatch.from_pydict({
                     "f1": pa.array(prints[:, 0]), "f2": pa.array(prints[:, 1]),
-                    "tokens": pa.array([s.tobytes() for s in sets], pa.binary()),
-                    "p1": pa.array([np.sort(plain_prefix(s, 1)).tobytes() for s in sets], pa.binary()),
-                    "p2": pa.array([np.sort(plain_prefix(s, 2)).tobytes() for s in sets], pa.binary())})
+                    "tokens": pa.array([s.tobytes() for s in sets], pa.binary())})
 
     source = docs.select(F.pmod(F.xxhash64(id_col), F.lit(size)).alias("slot"), F.col(text_col).alias("text"))
-    return source.mapInArrow(run, "f1 long, f2 long, tokens binary, p1 binary, p2 binary")
+    return source.mapInArrow(run, "f1 long, f2 long, tokens binary")
 
 
-def _common(a: bytes, b: bytes) -> int:
-    return len(np.intersect1d(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), assume_unique=True))
+def _common(a: np.ndarray, b: np.ndarray) -> int:
+    return len(np.intersect1d(a, b, assume_unique=True))
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The other orders' prefixes first, then the whole sets."""
+    """The other orders' prefixes first, then the whole sets; linked pairs pass."""
     for batch in batches:
-        sides = [batch.column(c).to_pylist() for c in ("p1_a", "p1_b", "p2_a", "p2_b", "tokens_a", "tokens_b")]
         linked = []
-        for p1_a, p1_b, p2_a, p2_b, a, b in zip(*sides):
-            ok = _common(p1_a, p1_b) > 0 and _common(p2_a, p2_b) > 0
+        for a, b in zip(batch.column("tokens_a").to_pylist(), batch.column("tokens_b").to_pylist()):
+            a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+            ok = all(_common(plain_prefix(a, k), plain_prefix(b, k)) for k in range(1, len(ORDERS)))
             if ok:
                 both = _common(a, b)
-                ok = 100 * both >= PERCENT * ((len(a) + len(b)) // 8 - both)
+                ok = 100 * both >= PERCENT * (len(a) + len(b) - both)
             linked.append(ok)
-        yield pa.RecordBatch.from_pydict({"a": batch.column("a"), "b": batch.column("b"), "linked": pa.array(linked, pa.bool_())})
+        yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, linked) for pairs of class ids a < b that sizes and bitmaps let through."""
-    bits = [f"b{k}" for k in range(BITMAP)]
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) of class ids that link."""
+    first = sets.select(F.col("id").alias("a"), F.col("tokens").alias("tokens_a"))
+    second = sets.select(F.col("id").alias("b"), F.col("tokens").alias("tokens_b"))
+    return pairs.join(first, "a").join(second, "b").mapInArrow(_verify, "a long, b long")
 
-    def side(frame: DataFrame, columns: list[str], name: str) -> DataFrame:
-        return frame.select(F.col("id").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in columns))
 
-    small = ["n", *bits]
-    near = pairs.join(side(classes, small, "a"), "a").join(side(classes, small, "b"), "b")
-    apart = sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in bits), F.lit(0))
-    # 100 i >= 75 (n + m - i) allows (n + m) / 7 tokens, so bits, of difference.
-    near = near.filter(
-        (100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b"))
-        & ((100 + PERCENT) * apart <= (100 - PERCENT) * (F.col("n_a") + F.col("n_b")))).select("a", "b")
-    whole = ["tokens", "p1", "p2"]
-    full = near.join(side(sets, whole, "a"), "a").join(side(sets, whole, "b"), "b")
-    return full.mapInArrow(_verify, "a long, b long, linked boolean")
+_BITS = [f"b{k}" for k in range(BITMAP)]
+
+
+def _may_link() -> Column:
+    """Sizes and bitmaps of columns n, b0, ... and n_, b0_, ... allow a link.
+
+    100 i >= 75 (n + m - i) leaves at most (n + m) / 7 tokens, so bits, of difference.
+    """
+    apart = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}_"))) for c in _BITS), F.lit(0))
+    return ((100 * F.least("n", "n_") >= PERCENT * F.greatest("n", "n_"))
+            & ((100 + PERCENT) * apart <= (100 - PERCENT) * (F.col("n") + F.col("n_"))))
+
+
+def _other(rows: DataFrame) -> DataFrame:
+    """The same rows as the second side of a join by token."""
+    return rows.select("token", *(F.col(c).alias(f"{c}_") for c in rows.columns if c != "token"))
+
+
+def _pairs(left: DataFrame, right: DataFrame, condition: Column) -> DataFrame:
+    found = left.join(right, (left["token"] == right["token"]) & condition & _may_link())
+    return found.select(F.least("id", "id_").alias("a"), F.greatest("id", "id_").alias("b")).distinct()
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -281,58 +293,56 @@ def connected_components(edges: DataFrame) -> DataFrame:
         edges.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
 
 
-def _link_classes(postings: DataFrame, classes: DataFrame, sets: DataFrame, rounds: int) -> DataFrame:
-    """(id, component) of the classes that link to others. ``postings``: token, id."""
-    links = None
-    placed = postings.withColumn("component", F.col("id"))
+def _link_long_lists(postings: DataFrame, links: DataFrame, sets: DataFrame, rounds: int) -> DataFrame:
+    """Links found so far and those between members of long lists, as (a, b), enough for all
+    components. ``postings``: token, id, n and bitmap."""
     for number in range(rounds + 1):
+        components = materialise(connected_components(links), "components")
+        links = components.select(F.col("id").alias("a"), F.col("component").alias("b"))
+        placed = postings.join(components, "id", "left").withColumn("component", F.coalesce("component", "id"))
         # Lists whose members all are in one component are done.
         spread = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"))
         active = materialise(placed.join(spread.filter("low != high").select("token"), "token"), "active")
         if active.isEmpty():
             break
         if number < rounds:
-            # A hub by a different order each round; its component comes along by a second look-up.
-            salt = F.lit(int(np.int64(mix(np.array([number + 1], np.uint64))[0] >> np.uint64(1))))
+            # The hub is the smallest id under another scrambling each round.
+            salt = F.lit(int(mix(np.array([number + 1], np.uint64))[0] >> np.uint64(1)))
             hubs = active.groupBy("token").agg(F.min(F.col("id").bitwiseXOR(salt)).alias("h")).select(
-                "token", F.col("h").bitwiseXOR(salt).alias("hub"))
-            of_hub = active.select("token", F.col("id").alias("hub"), F.col("component").alias("other"))
-            hubs = hubs.join(of_hub, ["token", "hub"])
-            pairs = active.join(hubs, "token").filter("component != other").select(
-                F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+                "token", F.col("h").bitwiseXOR(salt).alias("id"))
+            pairs = _pairs(active, _other(active.join(hubs, ["token", "id"])), F.col("component") != F.col("component_"))
         else:
-            rest = active.select("token", F.col("id").alias("other_id"), F.col("component").alias("other"))
-            pairs = active.join(rest, "token").filter("component < other").select(
-                F.least("id", "other_id").alias("a"), F.greatest("id", "other_id").alias("b")).distinct()
-        found = materialise(_verified(pairs, classes, sets), "verified")
-        new = found.filter("linked").select("a", "b")
-        links = new if links is None else links.unionByName(new)
-        components = materialise(connected_components(links), "components")
-        links = components.select(F.col("id").alias("a"), F.col("component").alias("b"))
-        placed = postings.join(components, "id", "left").select(
-            "token", "id", F.coalesce("component", "id").alias("component"))
-    if links is None:
-        return postings.select("id", F.col("id").alias("component")).limit(0)
-    return links.select(F.col("a").alias("id"), F.col("b").alias("component"))
+            pairs = _pairs(active, _other(active), F.col("component") < F.col("component_"))
+        links = links.unionByName(materialise(_verified(pairs, sets), "verified"))
+    else:
+        links = connected_components(links).select(F.col("id").alias("a"), F.col("component").alias("b"))
+    return links
 
 
 def _components(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, k1, k2, f1, f2, n, ...) and, by f1 and f2, the component of every class with a
     word: its label and its smallest (doc_id, k1, k2)."""
     rows = materialise(_sketches(docs, id_col, text_col), "sketches")
-    bits = [F.first(f"b{k}").alias(f"b{k}") for k in range(BITMAP)]
+    bits = [F.first(c).alias(c) for c in _BITS]
     classes = rows.filter("n > 0").groupBy("f1", "f2").agg(
         F.min(F.struct("doc_id", "k1", "k2")).alias("least"), F.first("n").alias("n"), *bits)
     classes = materialise(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
     tokens = _token_classes(docs, id_col, text_col)
     postings = _shared_postings(docs, tokens, id_col, text_col).join(classes.select("f1", "f2", "id"), ["f1", "f2"])
     postings = materialise(postings.select("token", "id").distinct(), "postings")
-    wanted = classes.join(postings.select("id").distinct(), "id", "left_semi")
-    sets = _candidate_sets(docs, wanted.select(F.col("least.doc_id").alias("doc_id")), id_col, text_col)
+    sizes = postings.groupBy("token").agg(F.count("*").alias("members"))
+    rich = materialise(postings.join(sizes, "token").join(classes.select("id", "n", *_BITS), "id"), "rich")
+    short = rich.filter(F.col("members") <= SHORT).drop("members")
+    long = rich.filter(F.col("members") > SHORT).drop("members")
+    pairs = materialise(_pairs(short, _other(short), F.col("id") < F.col("id_")), "pairs")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).unionByName(long.select("id")).distinct()
+    wanted = materialise(classes.join(ids, "id", "left_semi").select("id", "f1", "f2", F.col("least.doc_id").alias("doc_id")), "wanted")
+    sets = _candidate_sets(docs, wanted.select("doc_id"), id_col, text_col).join(wanted.drop("doc_id"), ["f1", "f2"])
     # A class may be met in several documents; one set of it is enough.
-    sets = sets.groupBy("f1", "f2").agg(*(F.first(c).alias(c) for c in ("tokens", "p1", "p2")))
-    sets = materialise(sets.join(wanted.select("f1", "f2", "id"), ["f1", "f2"]).drop("f1", "f2"), "sets")
-    linked = _link_classes(postings, classes, sets, ROUNDS)
+    sets = materialise(sets.groupBy("id").agg(F.first("tokens").alias("tokens")), "sets")
+    links = materialise(_verified(pairs, sets), "verified")
+    links = _link_long_lists(long, links, sets, ROUNDS)
+    linked = materialise(links.select(F.col("a").alias("id"), F.col("b").alias("component")), "linked")
     named = classes.select("f1", "f2", "id", "least").join(linked, "id", "left").withColumn(
         "component", F.coalesce("component", "id"))
     first = named.groupBy("component").agg(F.min("least").alias("first"))
