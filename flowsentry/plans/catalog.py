@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from flowsentry.functions.columns import (
-    apply_threshold, col, decode_label, linear_score, narrow_float32,
+    apply_threshold, decode_label, linear_score, narrow_float32,
 )
 from flowsentry.functions.session import materialise, scratch_path
 from flowsentry.operators import classifiers, cleaning, features as fx, knn, metrics as mx
