@@ -28,10 +28,15 @@ def fresh(name: str, *frames: DataFrame) -> str:
     return name
 
 
-def row_key(id_col: str, text_col: str) -> Column:
-    """Equal for repeated rows only: 128 hash bits of id and text, nulls told apart from empty."""
+def row_hashes(id_col: str, text_col: str) -> tuple[Column, Column]:
+    """Two hashes that only repeated rows have in common; nulls are told apart from empty texts."""
     parts = [F.col(id_col).cast("string"), F.col(id_col).isNull(), F.col(text_col), F.col(text_col).isNull()]
-    return F.concat_ws(":", F.hex(F.xxhash64(*parts)), F.hex(F.xxhash64(F.lit(7), *parts)))
+    return F.xxhash64(*parts), F.xxhash64(F.lit(7), *parts)
+
+
+def row_key(id_col: str, text_col: str) -> Column:
+    """The two hashes of a row as one text."""
+    return F.concat_ws(":", *map(F.hex, row_hashes(id_col, text_col)))
 
 
 def binary(column: pa.Array) -> pa.Array:

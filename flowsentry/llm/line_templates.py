@@ -15,12 +15,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowsentry.functions.session import materialise
 
-from .common import binary, fresh, slices
+from .common import binary, fresh, row_hashes, slices
 
 LEAD = 3
 SIMILAR = 0.8
@@ -37,39 +37,45 @@ def _mix(value: np.ndarray) -> np.ndarray:
     return value ^ (value >> np.uint64(29))
 
 
-class _Tokens:
+class _Numbers(dict):
     """Numbers of tokens: a 64-bit hash that is the same in every task; a bounded cache of them."""
 
-    def __init__(self, limit: int = 300_000):
-        self.known: dict[bytes, int] = {}
-        self.limit = limit
-
-    def number(self, token: bytes) -> int:
-        found = self.known.get(token)
-        if found is None:
-            if len(self.known) >= self.limit:
-                self.known.clear()
-            field = not token.isalpha() and any(d in token for d in _DIGITS)
-            found = self.known[token] = xxhash.xxh64_intdigest(_FIELD if field else token)
-        return found
-
+    limit = 300_000
 
-def parse(data: bytes, tokens: _Tokens) -> Iterator[tuple[int, np.ndarray]]:
-    """(place of the line, token numbers) of every line with LEAST_TOKENS tokens or more."""
-    number = tokens.number
-    for place, line in enumerate(data.split(b"\n")):
-        parts = line.split()
-        if len(parts) >= LEAST_TOKENS:
-            yield place, np.fromiter(map(number, parts), np.uint64, len(parts))
+    def __missing__(self, token: bytes) -> int:
+        if len(self) >= self.limit:
+            self.clear()
+        field = not token.isalpha() and any(d in token for d in _DIGITS)
+        found = self[token] = xxhash.xxh64_intdigest(_FIELD if field else token)
+        return found
 
 
-def _keys(codes: np.ndarray) -> tuple[int, int]:
-    """Hashes of the path to the leaf (count, leading tokens) and of the whole line."""
-    weight = _mix(np.arange(1, len(codes) + 1, dtype=np.uint64) * _SEED)
-    mixed = _mix(codes * weight + _SEED)
-    lead = _mix(mixed[:LEAD].sum(keepdims=True) + np.uint64(len(codes)))
-    whole = _mix(mixed.sum(keepdims=True) + lead)
-    return int(lead.view(np.int64)[0]), int(whole.view(np.int64)[0])
+def parse(texts: list[bytes | None], numbers: _Numbers) -> tuple[np.ndarray, ...]:
+    """Of every line with LEAST_TOKENS tokens or more: its text, its place there, its number of
+    tokens; and all their token numbers in a row."""
+    row, place, size, tokens = [], [], [], []
+    for k, data in enumerate(texts):
+        for at, line in enumerate((data or b"").split(b"\n")):
+            parts = line.split()
+            if len(parts) >= LEAST_TOKENS:
+                row.append(k)
+                place.append(at)
+                size.append(len(parts))
+                tokens += parts
+    codes = np.fromiter(map(numbers.__getitem__, tokens), np.uint64, len(tokens))
+    return np.array(row, np.int64), np.array(place, np.int32), np.array(size, np.int64), codes
+
+
+def _keys(size: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of each line's path to its leaf (count, leading tokens) and of the whole line."""
+    if not len(size):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    first = np.cumsum(size) - size
+    within = np.arange(len(codes)) - np.repeat(first, size)
+    mixed = _mix(codes * _mix((within + 1).astype(np.uint64) * _SEED) + _SEED)
+    lead = _mix(sum(mixed[first + k] for k in range(LEAD)) + size.astype(np.uint64))
+    whole = _mix(np.add.reduceat(mixed, first) + lead)
+    return lead.view(np.int64), whole.view(np.int64)
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -78,34 +84,23 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = _Tokens()
+        numbers = _Numbers()
         for batch in batches:
             for piece in slices(batch, "text"):
-                row, place, leaf, line, shape = [], [], [], [], []
-                for k, data in enumerate(binary(piece.column("text")).to_pylist()):
-                    for at, codes in parse(data or b"", tokens):
-                        a, b = _keys(codes)
-                        row.append(k)
-                        place.append(at)
-                        leaf.append(a)
-                        line.append(b)
-                        shape.append((codes >> np.uint64(48)).astype(np.uint16).tobytes())
-                taken = pa.array(row, pa.int64())
-                columns = {c: piece.column(c).take(taken) for c in ("k1", "k2", "doc_id")}
+                row, place, size, codes = parse(binary(piece.column("text")).to_pylist(), numbers)
+                leaf, line = _keys(size, codes)
+                shape = (codes >> np.uint64(48)).astype(np.uint16)
+                ends = np.append(0, np.cumsum(2 * size)).astype(np.int32)
+                shapes = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(shape)])
+                columns = {c: piece.column(c).take(pa.array(row)) for c in ("k1", "k2", "doc_id")}
                 yield pa.RecordBatch.from_pydict(columns | {
-                    "place": pa.array(place, pa.int32()), "leaf": pa.array(leaf, pa.int64()),
-                    "line": pa.array(line, pa.int64()), "shape": pa.array(shape, pa.binary())})
+                    "place": pa.array(place), "leaf": pa.array(leaf), "line": pa.array(line), "shape": shapes})
 
-    source = docs.select(*_row(id_col, text_col), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    k1, k2 = row_hashes(id_col, text_col)
+    source = docs.select(k1.alias("k1"), k2.alias("k2"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return source.mapInArrow(run, f"k1 long, k2 long, doc_id {kind}, place int, leaf long, line long, shape binary")
 
 
-def _row(id_col: str, text_col: str) -> list[Column]:
-    """Two hashes that only repeated rows have in common."""
-    parts = [F.col(id_col).cast("string"), F.col(id_col).isNull(), F.col(text_col), F.col(text_col).isNull()]
-    return [F.xxhash64(*parts).alias("k1"), F.xxhash64(F.lit(7), *parts).alias("k2")]
-
-
 def _agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Puts lines that are like their leaf's most frequent line under its template."""
     for batch in batches:
@@ -163,7 +158,7 @@ def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """
     k1, k2 = fresh("k1", docs), fresh("k2", docs)
     places = fresh("places", docs)
-    a, b = _row(id_col, text_col)
+    a, b = row_hashes(id_col, text_col)
     keyed = docs.withColumns({k1: a, k2: b})
     gone = recurring_lines(docs, id_col, text_col, least_docs).toDF(k1, k2, places)
     joined = keyed.join(gone, [k1, k2], "left").select(*[F.col(f"`{c}`") for c in docs.columns], places)
