@@ -4,16 +4,19 @@ Two documents link when 100 * |A and B| >= 75 * |A or B|. Candidates must share
 prefixes under several global token orders. A prefix holds the first n - ceil(3 n / 4) + 1 of a
 set's n tokens; two sets that link share a prefix token under any order that is the same for all.
 
+* The smaller of two sets needs its first n - ceil(6 n / 7) + 1 tokens only ("early" ones), since
+  the two must have 6/7 of its tokens in common at least, over what the larger one has.
 * The first order puts rare tokens first: tokens that fill many prefixes of a plain hash order go
   behind, the most frequent last. It generates the candidates. A posting whose token nobody shares
-  is dropped before anything is joined.
+  is dropped before anything is joined, and of lists with the same members one is kept.
 * Sizes and parity bitmaps (each token flips one bit, so sets that differ in d tokens differ in d
   bits at most) and then the prefixes under the other orders are checked before verification.
 * What is left is verified on the whole sets.
 
 Equal sets are one class throughout. In a posting list of up to SHORT members all pairs are compared
 by size and bitmap. Within a longer list pairs are not spelt out: in each round one member, the hub,
-is compared with the others; members already in one component need no comparison. Only for lists that
+is compared with the others; members already in one component need no comparison. The first rounds
+take the same hub for lists that share it, later ones another for every list. Only for lists that
 still hold several components after ROUNDS are the pairs between components compared, so that no link
 between components is lost.
 """
@@ -21,6 +24,7 @@ between components is lost.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from hashlib import blake2b
 
 import numpy as np
@@ -31,16 +35,16 @@ from pyspark.sql import functions as F
 
 from flowsentry.functions.session import materialise
 
-from .common import binary, fresh, slices
+from .common import binary, fresh, row_hashes, slices
 from .shingles import mix, shingle_sets
 
 PERCENT = 75
 HOT = 8  # a token in this many prefixes of the plain order goes behind
 MOST_HOT = 1 << 21  # tokens whose frequency class is broadcast (9 bytes each); the most frequent
 SHORT = 48
-ROUNDS = 5
+ROUNDS, COMMON_ROUNDS = 5, 2
 SHARD_BYTES = 1 << 20  # of text whose shingles are computed at a time
-BITMAP = 8  # 64-bit words
+BITMAP, FOLDED = 32, 8  # 64-bit words of a set's bitmap; folded to so many for short lists
 ORDERS = (np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344), np.uint64(0xA4093822299F31D0))
 BLOOM_BITS = 26
 SALTS = 64
@@ -50,6 +54,11 @@ def prefix_length(n: int) -> int:
     return n - -(-PERCENT * n // 100) + 1 if n else 0
 
 
+def early_length(n: int) -> int:
+    """Prefix of the smaller set: 100 i >= 75 (n + m - i) and m >= n leave i >= 6/7 n."""
+    return n - -(-2 * PERCENT * n // (100 + PERCENT)) + 1 if n else 0
+
+
 def fingerprint(tokens: np.ndarray) -> tuple[int, int]:
     """128 bits that only equal sets have in common."""
     return tuple(np.frombuffer(blake2b(tokens.tobytes(), digest_size=16).digest(), np.int64).tolist())
@@ -84,7 +93,7 @@ class TokenClasses:
 
 
 def _parity(tokens: np.ndarray) -> np.ndarray:
-    bits = np.bincount((tokens >> np.uint64(64 - 9)).astype(np.int64), minlength=64 * BITMAP) & 1
+    bits = np.bincount((tokens >> np.uint64(64 - 11)).astype(np.int64), minlength=64 * BITMAP) & 1
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
@@ -92,15 +101,10 @@ def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
 
-def _row(id_col: str, text_col: str) -> tuple[Column, Column]:
-    parts = [F.col(id_col).cast("string"), F.col(id_col).isNull(), F.col(text_col), F.col(text_col).isNull()]
-    return F.xxhash64(*parts), F.xxhash64(F.lit(7), *parts)
-
-
 def _sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """A row per document: doc_id, k1, k2 (the row), f1, f2 (its set), n, and the bitmap."""
     kind = docs.schema[id_col].dataType.simpleString()
-    k1, k2 = _row(id_col, text_col)
+    k1, k2 = row_hashes(id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -147,7 +151,7 @@ def _token_classes(docs: DataFrame, id_col: str, text_col: str) -> TokenClasses:
 
 
 def _shared_postings(docs: DataFrame, classes: TokenClasses, id_col: str, text_col: str) -> DataFrame:
-    """(token, f1, f2) of the first order's prefixes, for the tokens that two sets or more have.
+    """(token, f1, f2, early) of the first order's prefixes, for the tokens that two sets or more have.
 
     Postings are dealt out by token, a hot token's over SALTS places, and sorted there, so that a
     token nobody shares is seen from its neighbours without holding a list.
@@ -164,13 +168,16 @@ def _shared_postings(docs: DataFrame, classes: TokenClasses, id_col: str, text_c
                 hot = np.concatenate([h for _, h, _ in found] or [np.zeros(0, bool)])
                 keys = np.concatenate([k for k, _, _ in found] or [np.zeros(0, np.uint64)])
                 salt = np.where(hot, 1 + (prints[:, 0] % SALTS), 0).astype(np.int8)
+                # Keys come in the order of the prefix, so the early ones lead.
+                early = np.concatenate([np.arange(len(k)) < early_length(len(s)) for (k, _, _), s in zip(found, sets)]
+                                       or [np.zeros(0, bool)])
                 yield pa.RecordBatch.from_pydict({
-                    "token": pa.array(keys.view(np.int64)), "salt": pa.array(salt),
+                    "token": pa.array(keys.view(np.int64)), "salt": pa.array(salt), "early": pa.array(early.astype(np.int8)),
                     "f1": pa.array(prints[:, 0].copy()), "f2": pa.array(prints[:, 1].copy())})
 
     def keep_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["token", "f1", "f2", "salt"]
-        held, alike = [np.zeros(0, np.int64)] * 4, False  # the last row, and is it like the one before it
+        names = ["token", "f1", "f2", "early", "salt"]
+        held, alike = [np.zeros(0, np.int64)] * 5, False  # the last row, and is it like the one before it
         for batch in batches:
             rows = [np.append(h, batch.column(c).to_numpy()) for h, c in zip(held, names)]
             new = np.append(True, np.any([np.diff(r) != 0 for r in rows[:3]], axis=0)) if len(rows[0]) else np.zeros(0, bool)
@@ -178,15 +185,15 @@ def _shared_postings(docs: DataFrame, classes: TokenClasses, id_col: str, text_c
             if not len(rows[0]):
                 continue
             follows = np.append(alike, rows[0][1:] == rows[0][:-1])
-            shared = (follows | np.append(follows[1:], False) | (rows[3] > 0))[:-1]
-            yield pa.RecordBatch.from_arrays([pa.array(r[:-1][shared]) for r in rows[:3]], names=names[:3])
+            shared = (follows | np.append(follows[1:], False) | (rows[4] > 0))[:-1]
+            yield pa.RecordBatch.from_arrays([pa.array(r[:-1][shared].astype(np.int64)) for r in rows[:4]], names=names[:4])
             held, alike = [r[-1:] for r in rows], bool(follows[-1])
-        last = alike or len(held[3]) and held[3][0] > 0
-        yield pa.RecordBatch.from_arrays([pa.array(r[:1 if last else 0]) for r in held[:3]], names=names[:3])
+        last = alike or len(held[4]) and held[4][0] > 0
+        yield pa.RecordBatch.from_arrays([pa.array(r[:1 if last else 0].astype(np.int64)) for r in held[:4]], names=names[:4])
 
-    postings = _source(docs, id_col, text_col).mapInArrow(run, "token long, salt byte, f1 long, f2 long")
+    postings = _source(docs, id_col, text_col).mapInArrow(run, "token long, salt byte, early byte, f1 long, f2 long")
     spread = postings.repartition("token", "salt").sortWithinPartitions("token", "f1", "f2")
-    return spread.mapInArrow(keep_shared, "token long, f1 long, f2 long")
+    return spread.mapInArrow(keep_shared, "token long, f1 long, f2 long, early long")
 
 
 def _candidate_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -244,15 +251,23 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 _BITS = [f"b{k}" for k in range(BITMAP)]
+_FEW = [f"c{k}" for k in range(FOLDED)]
+
+
+def _folded() -> list[Column]:
+    """The bitmap of fewer bits: a bit is the parity of those it stands for."""
+    return [reduce(lambda a, b: a.bitwiseXOR(b), [F.col(c) for c in _BITS[k::FOLDED]]).alias(name) for k, name in enumerate(_FEW)]
 
 
-def _may_link() -> Column:
-    """Sizes and bitmaps of columns n, b0, ... and n_, b0_, ... allow a link.
+def _may_link(bits: list[str]) -> Column:
+    """Sizes, bitmaps and prefixes of the columns of two sides allow a link.
 
     100 i >= 75 (n + m - i) leaves at most (n + m) / 7 tokens, so bits, of difference.
     """
-    apart = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}_"))) for c in _BITS), F.lit(0))
-    return ((100 * F.least("n", "n_") >= PERCENT * F.greatest("n", "n_"))
+    apart = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}_"))) for c in bits), F.lit(0))
+    smaller = (F.col("n") < F.col("n_")) | ((F.col("n") == F.col("n_")) & (F.col("id") < F.col("id_")))
+    return ((F.when(smaller, F.col("early")).otherwise(F.col("early_")) > 0)
+            & (100 * F.least("n", "n_") >= PERCENT * F.greatest("n", "n_"))
             & ((100 + PERCENT) * apart <= (100 - PERCENT) * (F.col("n") + F.col("n_"))))
 
 
@@ -261,8 +276,8 @@ def _other(rows: DataFrame) -> DataFrame:
     return rows.select("token", *(F.col(c).alias(f"{c}_") for c in rows.columns if c != "token"))
 
 
-def _pairs(left: DataFrame, right: DataFrame, condition: Column) -> DataFrame:
-    found = left.join(right, (left["token"] == right["token"]) & condition & _may_link())
+def _pairs(left: DataFrame, right: DataFrame, condition: Column, bits: list[str]) -> DataFrame:
+    found = left.join(right, (left["token"] == right["token"]) & condition & _may_link(bits))
     return found.select(F.least("id", "id_").alias("a"), F.greatest("id", "id_").alias("b")).distinct()
 
 
@@ -308,11 +323,14 @@ def _link_long_lists(postings: DataFrame, links: DataFrame, sets: DataFrame, rou
         if number < rounds:
             # The hub is the smallest id under another scrambling each round.
             salt = F.lit(int(mix(np.array([number + 1], np.uint64))[0] >> np.uint64(1)))
+            if number >= COMMON_ROUNDS:
+                salt = F.xxhash64("token", salt)
             hubs = active.groupBy("token").agg(F.min(F.col("id").bitwiseXOR(salt)).alias("h")).select(
                 "token", F.col("h").bitwiseXOR(salt).alias("id"))
-            pairs = _pairs(active, _other(active.join(hubs, ["token", "id"])), F.col("component") != F.col("component_"))
+            hubs = _other(active.join(hubs, ["token", "id"]))
+            pairs = _pairs(active, hubs, F.col("component") != F.col("component_"), _BITS)
         else:
-            pairs = _pairs(active, _other(active), F.col("component") < F.col("component_"))
+            pairs = _pairs(active, _other(active), F.col("component") < F.col("component_"), _BITS)
         links = links.unionByName(materialise(_verified(pairs, sets), "verified"))
     else:
         links = connected_components(links).select(F.col("id").alias("a"), F.col("component").alias("b"))
@@ -329,12 +347,17 @@ def _components(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame,
     classes = materialise(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
     tokens = _token_classes(docs, id_col, text_col)
     postings = _shared_postings(docs, tokens, id_col, text_col).join(classes.select("f1", "f2", "id"), ["f1", "f2"])
-    postings = materialise(postings.select("token", "id").distinct(), "postings")
-    sizes = postings.groupBy("token").agg(F.count("*").alias("members"))
-    rich = materialise(postings.join(sizes, "token").join(classes.select("id", "n", *_BITS), "id"), "rich")
-    short = rich.filter(F.col("members") <= SHORT).drop("members")
-    long = rich.filter(F.col("members") > SHORT).drop("members")
-    pairs = materialise(_pairs(short, _other(short), F.col("id") < F.col("id_")), "pairs")
+    postings = materialise(postings.groupBy("token", "id").agg(F.max("early").alias("early")), "postings")
+    # Lists with the same members and early marks, told by 128 hash bits, give the same pairs.
+    lists = postings.groupBy("token").agg(
+        F.count("*").alias("members"), F.sum("early").alias("earlies"),
+        F.bit_xor(F.xxhash64("id", "early")).alias("x"), F.bit_xor(F.xxhash64("early", "id", F.lit(1))).alias("y"))
+    lists = lists.filter("earlies > 0 and members > 1").groupBy("members", "x", "y").agg(F.min("token").alias("token"))
+    kept = materialise(postings.join(lists.select("token", "members"), "token"), "lists")
+    short = kept.filter(F.col("members") <= SHORT).drop("members").join(classes.select("id", "n", *_folded()), "id")
+    long = kept.filter(F.col("members") > SHORT).drop("members").join(classes.select("id", "n", *_BITS), "id")
+    short, long = materialise(short, "short-lists"), materialise(long, "long-lists")
+    pairs = materialise(_pairs(short, _other(short), F.col("id") < F.col("id_"), _FEW), "pairs")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).unionByName(long.select("id")).distinct()
     wanted = materialise(classes.join(ids, "id", "left_semi").select("id", "f1", "f2", F.col("least.doc_id").alias("doc_id")), "wanted")
     sets = _candidate_sets(docs, wanted.select("doc_id"), id_col, text_col).join(wanted.drop("doc_id"), ["f1", "f2"])
@@ -373,7 +396,7 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     chosen = named.groupBy("component").agg(F.first("first").alias("first")).select("first.k1", "first.k2", F.lit(True).alias("one"))
     empty = rows.filter("n = 0").select("k1", "k2", F.lit(False).alias("one")).distinct()
     k1, k2, one, number = (fresh(c, docs) for c in ("k1", "k2", "one", "number"))
-    a, b = _row(id_col, text_col)
+    a, b = row_hashes(id_col, text_col)
     kept = docs.withColumns({k1: a, k2: b}).join(chosen.unionByName(empty).toDF(k1, k2, one), [k1, k2])
     kept = kept.withColumn(number, F.row_number().over(W.partitionBy(k1, k2).orderBy(F.lit(0))))
     return kept.filter((F.col(number) == 1) | ~F.col(one)).select(*[F.col(f"`{c}`") for c in docs.columns])
