@@ -28,6 +28,7 @@ HASHES, SLOT_BITS = 3, 20
 LEAST_COUNT = 3  # n-grams seen more rarely in a language are not taken
 RATIO = 0.5  # of an n-gram's largest rate over languages, to belong to a language
 MOST_LANGUAGES = 1024
+GRAM_BYTES = 1 << 20  # of text whose n-grams are held at a time: some 150 bytes each
 UNKNOWN = "und"
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
 
@@ -125,7 +126,7 @@ def train_filter(rows: DataFrame, text_col: str, lang_col: str) -> LanguageFilte
     """
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in slices(batch, "text"):
+            for piece in slices(batch, "text", GRAM_BYTES):
                 names = piece.column("lang").to_pylist()
                 known = sorted(set(names))
                 hashes, owner, _ = grams(piece.column("text").to_pylist())
@@ -188,7 +189,7 @@ def identify_languages(docs: DataFrame, model: LanguageFilter, id_col: str = "do
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in slices(batch, "text"):
+            for piece in slices(batch, "text", GRAM_BYTES):
                 names, scores = shared.value.predict(piece.column("text").to_pylist())
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": piece.column("doc_id"), "held_out": piece.column("held_out"),
