@@ -17,12 +17,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import binary, fresh, slices
 
-LABELLED, POOL = 8_000, 6_000  # documents to fit on, and unlabelled ones to exchange, at most
+LABELLED, POOL = 6_000, 4_000  # documents to fit on, and unlabelled ones to exchange, at most
 ROUNDS, EXCHANGED = 4, 300  # pseudo-labels of each class that a view gives in a round
 SURE = 0.95
 HOLDOUT = 0.3  # of the labelled sample, for calibration
@@ -101,9 +102,10 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None,
     weight = np.ones(len(y)) if weight is None else weight
     balance = np.array([weight[y == c].sum() for c in (0, 1)])
     weight = weight / np.maximum(balance, 1e-9)[y.astype(int)] / 2
-    centre = x.mean(axis=0, dtype=np.float64)
-    scale = np.maximum(x.std(axis=0, dtype=np.float64), 1e-6)
-    z = ((x - centre) / scale).astype(np.float32)
+    centre = x.mean(axis=0, dtype=np.float64).astype(np.float32)
+    z = x - centre  # single precision, and one copy at a time: this runs on the driver
+    scale = np.maximum(np.sqrt(np.einsum("ij,ij->j", z, z) / max(1, len(z))), 1e-6).astype(np.float32)
+    z /= scale
     step = 1 / (0.25 * float((weight * (np.einsum("ij,ij->i", z, z) + 1)).sum()) + penalty)
     w = ahead = np.zeros(z.shape[1] + 1)
     for k in range(steps):
@@ -111,7 +113,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None,
         slope = np.append(error.astype(np.float32) @ z, error.sum()) + penalty * np.append(ahead[:-1], 0)
         new = ahead - step * slope
         ahead, w = new + k / (k + 3) * (new - w), new
-    return Logistic(centre.astype(np.float32), scale.astype(np.float32), w[:-1].astype(np.float32), float(w[-1]))
+    return Logistic(centre, scale, w[:-1].astype(np.float32), float(w[-1]))
 
 
 @dataclass(frozen=True)
@@ -200,15 +202,20 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     chosen = F.broadcast(known.withColumn("y", F.col("y").cast("int")).unionByName(pool))
     rows = source.join(chosen, "doc_id").withColumn("key", F.xxhash64("doc_id", "text"))
     found = rows.mapInArrow(run, "y int, key long, t binary, p binary").toArrow()
-    y, key = found["y"].to_numpy(), found["key"].to_numpy()
-    order = np.argsort(key, kind="stable")  # the result must not depend on the order of arrival
-
-    def stacked(name: str, width: int) -> np.ndarray:
-        return np.frombuffer(b"".join(found[name].to_pylist()), np.float32).reshape(-1, width)[order]
-
-    text, page, y = stacked("t", TRIGRAMS + 3), stacked("p", PLACES + 12), y[order]
-    has = y >= 0
-    return co_train(text[has], page[has], y[has], text[~has], page[~has])
+    found = found.sort_by("key")  # the result must not depend on the order of arrival
+
+    def stacked(part: pa.Table, name: str, width: int) -> np.ndarray:
+        out = np.empty((part.num_rows, width), np.float32)
+        for k, value in enumerate(part[name]):
+            out[k] = np.frombuffer(value.as_buffer(), np.float32)
+        return out
+
+    known, other = found.filter(pc.field("y") >= 0), found.filter(pc.field("y") < 0)
+    sides = [stacked(part, name, width) for part in (known, other)
+             for name, width in (("t", TRIGRAMS + 3), ("p", PLACES + 12))]
+    y = known["y"].to_numpy()
+    del found, known, other
+    return co_train(sides[0], sides[1], y, sides[2], sides[3])
 
 
 def score_documents(docs: DataFrame, model: CoTrained | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
