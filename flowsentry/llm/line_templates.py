@@ -4,8 +4,10 @@ The tree has a fixed depth: a line goes by its number of tokens, then by its LEA
 where a token with a digit counts as a variable field. The leaf it reaches is generalised around
 its most frequent line: lines that agree with it in SIMILAR of their tokens, place by place, share
 its template, whose differing places are variable fields; any other line of the leaf is a template
-of its own. A template that occurs in LEAST_DOCS documents or more recurs: its lines are dropped
-from all of them but the first, by id, so that no passage is lost altogether.
+of its own. A template that occurs in LEAST_DOCS documents or more recurs, one of LONG_TOKENS tokens
+or more from LONG_DOCS documents on: its lines are dropped from all of them but the first, by id, so
+that no passage is lost altogether. Lines of fewer than LEAST_TOKENS tokens have no variable fields;
+they recur token for token in SHORT_TIMES as many documents.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowsentry.functions.session import materialise
@@ -26,9 +28,11 @@ LEAD = 3
 SIMILAR = 0.8
 LEAST_DOCS = 5
 LEAST_TOKENS = 5  # shorter lines are too plain to speak of a template
+LONG_TOKENS, LONG_DOCS = 50, 2  # a line this long does not recur by chance
+SHORT_TIMES = 4
 
 _DIGITS = tuple(b"%d" % d for d in range(10))
-_FIELD = b"\x00"
+_FIELD, _PLAIN = b"\x00", b" "  # no token holds a blank
 _SEED = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -45,42 +49,45 @@ class _Numbers(dict):
     def __missing__(self, token: bytes) -> int:
         if len(self) >= self.limit:
             self.clear()
-        field = not token.isalpha() and any(d in token for d in _DIGITS)
+        field = not token.isalpha() and not token.startswith(_PLAIN) and any(d in token for d in _DIGITS)
         found = self[token] = xxhash.xxh64_intdigest(_FIELD if field else token)
         return found
 
 
 def parse(texts: list[bytes | None], numbers: _Numbers) -> tuple[np.ndarray, ...]:
-    """Of every line with LEAST_TOKENS tokens or more: its text, its place there, its number of
-    tokens; and all their token numbers in a row."""
+    """Of every line with a token: its text, its place there, its number of tokens; and all their
+    token numbers in a row. Digits of lines below LEAST_TOKENS count as they are."""
     row, place, size, tokens = [], [], [], []
     for k, data in enumerate(texts):
         for at, line in enumerate((data or b"").split(b"\n")):
             parts = line.split()
-            if len(parts) >= LEAST_TOKENS:
+            if parts:
                 row.append(k)
                 place.append(at)
                 size.append(len(parts))
-                tokens += parts
+                tokens += parts if len(parts) >= LEAST_TOKENS else [_PLAIN + x for x in parts]
     codes = np.fromiter(map(numbers.__getitem__, tokens), np.uint64, len(tokens))
     return np.array(row, np.int64), np.array(place, np.int32), np.array(size, np.int64), codes
 
 
 def _keys(size: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of each line's path to its leaf (count, leading tokens) and of the whole line."""
+    """Hashes of each line's path to its leaf (count, leading tokens) and of the whole line; a line
+    below LEAST_TOKENS is a leaf of its own."""
     if not len(size):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     first = np.cumsum(size) - size
     within = np.arange(len(codes)) - np.repeat(first, size)
     mixed = _mix(codes * _mix((within + 1).astype(np.uint64) * _SEED) + _SEED)
-    lead = _mix(sum(mixed[first + k] for k in range(LEAD)) + size.astype(np.uint64))
+    lead = np.add.reduceat(np.where(within < LEAD, mixed, np.uint64(0)), first)
+    lead = _mix(lead + size.astype(np.uint64))
     whole = _mix(np.add.reduceat(mixed, first) + lead)
+    lead = np.where(size < LEAST_TOKENS, whole, lead)
     return lead.view(np.int64), whole.view(np.int64)
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row per line that may be part of a template: k1, k2 (the row), doc_id, place, leaf,
-    line and shape (16 bits of every token's number)."""
+    """One row per line with a token: k1, k2 (the row), doc_id, place, size (tokens), leaf, line and
+    shape (16 bits of every token's number)."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,11 +101,12 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 shapes = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(shape)])
                 columns = {c: piece.column(c).take(pa.array(row)) for c in ("k1", "k2", "doc_id")}
                 yield pa.RecordBatch.from_pydict(columns | {
-                    "place": pa.array(place), "leaf": pa.array(leaf), "line": pa.array(line), "shape": shapes})
+                    "place": pa.array(place), "size": pa.array(size.astype(np.int32)), "leaf": pa.array(leaf),
+                    "line": pa.array(line), "shape": shapes})
 
     k1, k2 = row_hashes(id_col, text_col)
     source = docs.select(k1.alias("k1"), k2.alias("k2"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return source.mapInArrow(run, f"k1 long, k2 long, doc_id {kind}, place int, leaf long, line long, shape binary")
+    return source.mapInArrow(run, f"k1 long, k2 long, doc_id {kind}, place int, size int, leaf long, line long, shape binary")
 
 
 def _agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,7 +119,13 @@ def _agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(a) == len(b) and (a == b).sum() >= SIMILAR * len(a):
                 line[k] = lead[k]
         yield pa.RecordBatch.from_pydict(
-            {c: batch.column(c) for c in ("k1", "k2", "doc_id", "place", "leaf")} | {"template": pa.array(line)})
+            {c: batch.column(c) for c in ("k1", "k2", "doc_id", "place", "size", "leaf")} | {"template": pa.array(line)})
+
+
+def _need(least_docs: int) -> Column:
+    """How many documents a template of ``size`` tokens must occur in."""
+    return (F.when(F.col("size") >= LONG_TOKENS, min(LONG_DOCS, least_docs))
+            .when(F.col("size") < LEAST_TOKENS, SHORT_TIMES * least_docs).otherwise(least_docs))
 
 
 def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -123,10 +137,11 @@ def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     kind = docs.schema[id_col].dataType.simpleString()
     lines = materialise(_lines(docs, id_col, text_col), "lines")
-    # A template needs least_docs rows in its leaf, so smaller leaves hold none.
+    need = _need(least_docs)
+    # A template needs as many rows in its leaf as documents, so smaller leaves hold none.
     busy = (
-        lines.groupBy("leaf").agg(F.count("*").alias("n"), F.min("k1").alias("a"), F.max("k1").alias("b"))
-        .filter((F.col("n") >= least_docs) & (F.col("a") != F.col("b"))).select("leaf")
+        lines.groupBy("leaf").agg(F.count("*").alias("n"), F.min("k1").alias("a"), F.max("k1").alias("b"), F.min("size").alias("size"))
+        .filter((F.col("n") >= need) & (F.col("a") != F.col("b"))).select("leaf")
     )
     some = materialise(lines.join(busy, "leaf"), "busy-lines")
     best = (
@@ -135,12 +150,13 @@ def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .select("leaf", F.col("best.line").alias("lead_line"), F.col("best.shape").alias("lead_shape"))
     )
     placed = some.join(best, "leaf").mapInArrow(
-        _agree, f"k1 long, k2 long, doc_id {kind}, place int, leaf long, template long")
+        _agree, f"k1 long, k2 long, doc_id {kind}, place int, size int, leaf long, template long")
     placed = materialise(placed, "templates")
     recurring = (
-        placed.select("leaf", "template", "doc_id", "k1", "k2").distinct()
-        .groupBy("leaf", "template").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "k1", "k2")).alias("first"))
-        .filter(F.col("n") >= least_docs).select("leaf", "template", "first")
+        placed.select("leaf", "template", "size", "doc_id", "k1", "k2").distinct()
+        .groupBy("leaf", "template").agg(
+            F.count("*").alias("n"), F.min("size").alias("size"), F.min(F.struct("doc_id", "k1", "k2")).alias("first"))
+        .filter(F.col("n") >= need).select("leaf", "template", "first")
     )
     later = placed.join(recurring, ["leaf", "template"]).filter(
         (F.col("k1") != F.col("first.k1")) | (F.col("k2") != F.col("first.k2")))

@@ -148,6 +148,18 @@ def test_recurring_templates_stay_in_the_first_document(spark):
     assert three[22] == texts[22] and three[30] == "" and three[31] == ""
 
 
+def test_long_lines_recur_from_two_documents_and_short_ones_from_more(spark):
+    def line(n, head):
+        return " ".join([head, *(f"word{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(n - 1))])
+
+    rows = [(1, "first of all\n" + line(50, "long")), (2, line(50, "long") + "\nlast"), (3, line(49, "mid")), (4, line(49, "mid"))]
+    rows += [(100 + k, f"Read more\nat {k}") for k in range(20)] + [(200 + k, "Of 19") for k in range(19)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in line_templates.drop_recurring_lines(docs, least_docs=5).collect()}
+    want = dict(rows) | {2: "last"} | {100 + k: f"at {k}" for k in range(1, 20)}
+    assert got == want
+
+
 def test_line_templates_on_odd_and_empty_tables(odd_docs, no_docs):
     got = line_templates.drop_recurring_lines(odd_docs)
     assert got.columns == odd_docs.columns
