@@ -3,8 +3,8 @@
 The tree has a fixed depth: a line goes by its number of tokens, then by its LEAD leading tokens,
 where a token with a digit counts as a variable field. The leaf it reaches is generalised around
 its most frequent line: lines that agree with it in SIMILAR of their tokens, place by place, share
-its template, whose differing places are variable fields; any other line of the leaf is a template
-of its own. A template that occurs in LEAST_DOCS documents or more recurs, one of LONG_TOKENS tokens
+its template, whose differing places are variable fields. The lines left are generalised around the
+most frequent of them, and so on until too few are left to recur. A template that occurs in LEAST_DOCS documents or more recurs, one of LONG_TOKENS tokens
 or more from LONG_DOCS documents on: its lines are dropped from all of them but the first, by id, so
 that no passage is lost altogether. Lines of fewer than LEAST_TOKENS tokens have no variable fields;
 they recur token for token in SHORT_TIMES as many documents.
@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowsentry.functions.session import materialise
@@ -30,6 +30,7 @@ LEAST_DOCS = 5
 LEAST_TOKENS = 5  # shorter lines are too plain to speak of a template
 LONG_TOKENS, LONG_DOCS = 50, 2  # a line this long does not recur by chance
 SHORT_TIMES = 4
+HEADS, CHUNK = 1_000, 20_000  # distinct lines of a leaf: centres to try in a round, and lines in a task's group
 
 _DIGITS = tuple(b"%d" % d for d in range(10))
 _FIELD, _PLAIN = b"\x00", b" "  # no token holds a blank
@@ -109,17 +110,59 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return source.mapInArrow(run, f"k1 long, k2 long, doc_id {kind}, place int, size int, leaf long, line long, shape binary")
 
 
-def _agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Puts lines that are like their leaf's most frequent line under its template."""
-    for batch in batches:
-        line, lead = batch.column("line").to_numpy().copy(), batch.column("lead_line").to_numpy()
-        shapes, leads = batch.column("shape").to_pylist(), batch.column("lead_shape").to_pylist()
-        for k in np.flatnonzero(line != lead):
-            a, b = np.frombuffer(shapes[k], np.uint16), np.frombuffer(leads[k], np.uint16)
-            if len(a) == len(b) and (a == b).sum() >= SIMILAR * len(a):
-                line[k] = lead[k]
-        yield pa.RecordBatch.from_pydict(
-            {c: batch.column(c) for c in ("k1", "k2", "doc_id", "place", "size", "leaf")} | {"template": pa.array(line)})
+def _generalise(lines: pa.Table) -> pa.Table:
+    """Goes through the heads of a leaf, most frequent first: each that is not yet placed takes all
+    lines like it under its template. Lines like no head get none."""
+    lines = lines.sort_by([("head", "descending"), ("n", "descending"), ("line", "descending")])
+    line, own = lines["line"].to_numpy(), lines["own"].to_numpy()
+    shapes = np.frombuffer(b"".join(lines["shape"].to_pylist()), np.uint16).reshape(len(line), -1)
+    template, left = np.zeros(len(line), np.int64), np.ones(len(line), bool)
+    for k in range(np.count_nonzero(lines["head"].to_numpy())):
+        if left[k]:
+            rest = np.flatnonzero(left)
+            like = rest[(shapes[rest] == shapes[k]).sum(axis=1) >= SIMILAR * shapes.shape[1]]
+            template[like], left[like] = line[k], False
+    lines = lines.select(["leaf", "size", "line", "shape", "n"]).append_column("template", pa.array(template, mask=left))
+    return lines.filter(pa.array(own))
+
+
+def _templates(kinds: DataFrame, least_docs: int) -> DataFrame | None:
+    """leaf, line, template of the distinct lines whose template is another line's; None if no leaf
+    holds two that may recur.
+
+    A round tries the HEADS most frequent lines of every leaf as centres, in that order. Most leaves
+    have fewer and are done in one round; larger ones are dealt out in groups of CHUNK lines that
+    each get the heads. All groups come to the same templates.
+    """
+    by, need = ["leaf", "size"], _need(least_docs)
+    columns = [*by, "line", "shape", "n"]
+    left, found = kinds.filter(F.col("size") >= LEAST_TOKENS), None
+    while True:
+        sizes = left.groupBy(*by).agg(F.count("*").alias("lines"), F.sum("n").alias("rows"))
+        sizes = materialise(sizes.filter((F.col("lines") > 1) & (F.col("rows") >= need)).drop("rows"), "leaves")
+        most = sizes.agg(F.max("lines")).head()[0]
+        if most is None:
+            return found
+        left = left.join(sizes, by)
+        true, false = F.lit(True), F.lit(False)
+        groups = left.filter(F.col("lines") <= HEADS).select(
+            *columns, F.lit(0).alias("part"), true.alias("head"), true.alias("own"))
+        if most > HEADS:
+            large = left.filter(F.col("lines") > HEADS).withColumn("parts", F.ceil(F.col("lines") / CHUNK).cast("int"))
+            rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("n"), F.desc("line")))
+            heads = large.withColumn("rank", rank).filter(F.col("rank") <= HEADS)
+            part = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+            groups = groups.unionByName(heads.select(*columns, part.alias("part"), true.alias("head"), false.alias("own")))
+            part = F.pmod(F.xxhash64("line"), F.col("parts")).cast("int")
+            groups = groups.unionByName(large.select(*columns, part.alias("part"), false.alias("head"), true.alias("own")))
+        done = groups.groupBy(*by, "part").applyInArrow(
+            _generalise, "leaf long, size int, line long, shape binary, n long, template long")
+        done = materialise(done, "generalised")
+        moved = done.filter("template != line").select("leaf", "line", "template")
+        found = moved if found is None else found.unionByName(moved)
+        if most <= HEADS:
+            return found
+        left = done.filter("template is null").select(*columns)
 
 
 def _need(least_docs: int) -> Column:
@@ -132,10 +175,10 @@ def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     least_docs: int = LEAST_DOCS) -> DataFrame:
     """k1, k2 and ``places`` (line numbers to drop) of the rows that lose lines.
 
-    Every step groups by leaf, template or row with partial sums; joins are on the leaf or template,
-    where a hot key lies on one side only, which adaptive execution splits.
+    Every step groups by leaf, template or row with partial sums, and lines are compared once each,
+    however often they occur; joins are on the leaf, line or template, where a hot key lies on one
+    side only, which adaptive execution splits.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
     lines = materialise(_lines(docs, id_col, text_col), "lines")
     need = _need(least_docs)
     # A template needs as many rows in its leaf as documents, so smaller leaves hold none.
@@ -144,14 +187,14 @@ def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .filter((F.col("n") >= need) & (F.col("a") != F.col("b"))).select("leaf")
     )
     some = materialise(lines.join(busy, "leaf"), "busy-lines")
-    best = (
-        some.groupBy("leaf", "line").agg(F.count("*").alias("n"), F.min("shape").alias("shape"))
-        .groupBy("leaf").agg(F.max(F.struct("n", "line", "shape")).alias("best"))
-        .select("leaf", F.col("best.line").alias("lead_line"), F.col("best.shape").alias("lead_shape"))
-    )
-    placed = some.join(best, "leaf").mapInArrow(
-        _agree, f"k1 long, k2 long, doc_id {kind}, place int, size int, leaf long, template long")
-    placed = materialise(placed, "templates")
+    kinds = some.groupBy("leaf", "size", "line").agg(F.count("*").alias("n"), F.min("shape").alias("shape"))
+    placed = some.drop("shape")
+    moved = _templates(materialise(kinds, "kinds"), least_docs)
+    if moved is None:
+        placed = placed.withColumnRenamed("line", "template")
+    else:
+        placed = materialise(placed.join(moved, ["leaf", "line"], "left").withColumn(
+            "template", F.coalesce("template", "line")).drop("line"), "templates")
     recurring = (
         placed.select("leaf", "template", "size", "doc_id", "k1", "k2").distinct()
         .groupBy("leaf", "template").agg(

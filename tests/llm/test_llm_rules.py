@@ -160,6 +160,20 @@ def test_long_lines_recur_from_two_documents_and_short_ones_from_more(spark):
     assert got == want
 
 
+def test_a_leaf_holds_several_templates(spark, monkeypatch):
+    names = [f"{a}{b}" for a in "abcdefghij" for b in "xy"]
+    heads = [f"we have seen here {w} in {w}1 town {w}x and {w}y there {{}}" for w in ("apples", "pears", "plums", "figs")]
+    rows = [(100 * k + j, head.format(name)) for k, head in enumerate(heads) for j, name in enumerate(names[k:k + 9])]
+    rows += [(900 + k, f"we have seen here {n} {n}a {n}b {n}c {n}d {n}e {n}f {n}g") for k, n in enumerate(names)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {i: t if i % 100 == 0 or i >= 900 else "" for i, t in rows}
+    for most in (line_templates.HEADS, 3):  # 3: in rounds, and dealt out in groups
+        monkeypatch.setattr(line_templates, "HEADS", most)
+        monkeypatch.setattr(line_templates, "CHUNK", 20 if most == 3 else 20_000)
+        got = {r.doc_id: r.text for r in line_templates.drop_recurring_lines(docs, least_docs=5).collect()}
+        assert got == want
+
+
 def test_line_templates_on_odd_and_empty_tables(odd_docs, no_docs):
     got = line_templates.drop_recurring_lines(odd_docs)
     assert got.columns == odd_docs.columns
