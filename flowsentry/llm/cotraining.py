@@ -5,25 +5,27 @@ view gives the other the unlabelled documents it is surest about, as pseudo-labe
 view is calibrated on labelled documents that no fit has seen, and a further logistic model on the
 two calibrated log-odds combines them. All documents are then scored in one scan.
 
-Fitting uses a bounded sample (parameters LABELLED and POOL, rows with the lowest hashes of their
-id). The fitted weights have a fixed size and are broadcast.
+Labelled rows are a bounded sample (LABELLED, the lowest hashes of their id, one row per id).
+Pseudo-labels come from all unlabelled documents, which are scored in every round; the driver gets
+the ones exchanged. The fitted weights have a fixed size and are broadcast.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flowsentry.functions.session import materialise
+
 from .common import binary, fresh, slices
 
-LABELLED, POOL = 6_000, 4_000  # documents to fit on, and unlabelled ones to exchange, at most
+LABELLED = 8_000  # labelled documents to fit on, at most
 ROUNDS, EXCHANGED = 4, 300  # pseudo-labels of each class that a view gives in a round
 SURE = 0.95
 HOLDOUT = 0.3  # of the labelled sample, for calibration
@@ -128,29 +130,54 @@ class CoTrained:
         return _sigmoid(odds[:, 0]), _sigmoid(odds[:, 1]), _sigmoid(self.both.odds(odds))
 
 
+# By view: the features of the documents it receives, and their pseudo-labels.
+Received = list[tuple[np.ndarray, np.ndarray]]
+
+
 def co_train(text: np.ndarray, page: np.ndarray, y: np.ndarray, pool_text: np.ndarray, pool_page: np.ndarray,
              seed: int = 0) -> CoTrained | None:
     """Fit on labelled rows ``y`` (0, 1) and unlabelled pools; None without both classes."""
+    pools = [pool_text, pool_page]
+    given = [np.full(len(pool_text), -1) for _ in pools]  # pseudo-labels that each view has received
+
+    def exchange(models: list[Logistic]) -> Received:
+        new = []
+        for k in (1, 0):
+            other, before = 1 - k, given[1 - k].copy()
+            chance = _sigmoid(models[k].odds(pools[k]))
+            for label, sure in ((1, chance), (0, 1 - chance)):
+                free = np.where(given[other] < 0, sure, 0)
+                best = np.argsort(-free, kind="stable")[:EXCHANGED]
+                given[other][best[free[best] >= SURE]] = label
+            has = given[other] != before
+            new.append((pools[other][has], given[other][has]))
+        return new
+
+    return _co_train(text, page, y, exchange, seed)
+
+
+def _co_train(text: np.ndarray, page: np.ndarray, y: np.ndarray, exchange: Callable[[list[Logistic]], Received],
+              seed: int = 0) -> CoTrained | None:
+    """As ``co_train``; ``exchange`` gives the pseudo-labels that the views receive in a round."""
     held = np.random.default_rng(seed).random(len(y)) < HOLDOUT
     if min(np.bincount(y[~held], minlength=2)) < 5 or min(np.bincount(y[held], minlength=2)) < 2:
         return None
-    views, pools = [text, page], [pool_text, pool_page]
-    given = [np.full(len(pool_text), -1) for _ in views]  # pseudo-labels that each view has received
+    views = [text, page]
+    given = [[] for _ in views]
 
     def fitted(k: int) -> Logistic:
-        has = given[k] >= 0
-        x = np.concatenate([views[k][~held], pools[k][has]])
-        target = np.concatenate([y[~held], given[k][has]])
-        return fit_logistic(x, target, np.concatenate([np.ones((~held).sum()), np.full(has.sum(), 0.5)]))
+        x = np.concatenate([views[k][~held], *(rows for rows, _ in given[k])])
+        target = np.concatenate([y[~held], *(label for _, label in given[k])])
+        weight = np.where(np.arange(len(target)) < (~held).sum(), 1.0, 0.5)
+        return fit_logistic(x, target, weight)
 
     models = [fitted(k) for k in range(2)]
-    for _ in range(ROUNDS if len(pool_text) else 0):
-        for k in range(2):
-            chance, other = _sigmoid(models[k].odds(pools[k])), 1 - k
-            for label, sure in ((1, chance), (0, 1 - chance)):
-                free = np.where(given[other] < 0, sure, 0)
-                best = np.argsort(-free, kind="stable")[:EXCHANGED]
-                given[other][best[free[best] >= SURE]] = label
+    for _ in range(ROUNDS):
+        new = exchange(models)
+        if not any(len(label) for _, label in new):
+            break
+        for mine, rows in zip(given, new):
+            mine.append(rows)
         models = [fitted(k) for k in range(2)]
     models = [m.calibrated(v[held], y[held]) for m, v in zip(models, views)]
     odds = np.stack([m.odds(v[held]) for m, v in zip(models, views)], axis=1)
@@ -182,15 +209,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     None if there are too few of either class.
     """
-    source = _narrow(docs, id_col, text_col)
+    about = ("text", "source", "lang", "n_chars")
+    source = _narrow(docs, id_col, text_col).filter("doc_id is not null").withColumn("key", F.xxhash64("doc_id", "text"))
     marked = labels.filter(F.col("quality").isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("doc_id")).agg(
         F.min("quality").alias("y"), F.max("quality").alias("top")).filter("y = top").drop("top")
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    known = marked.orderBy(*order).limit(LABELLED)
-    other = source.select("doc_id").join(labels.select(F.col(id_col).alias("doc_id")), "doc_id", "left_anti")
-    pool = other.filter("doc_id is not null").distinct().orderBy(*order).limit(POOL).withColumn("y", F.lit(-1))
+    known = marked.orderBy(F.xxhash64("doc_id"), F.col("doc_id")).limit(LABELLED).withColumn("y", F.col("y").cast("int"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in slices(batch, "text"):
                 text, page = _views(piece)
@@ -198,24 +223,57 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                     "y": piece.column("y").cast(pa.int32()), "key": piece.column("key"),
                     "t": [x.tobytes() for x in text], "p": [x.tobytes() for x in page]})
 
-    # At most LABELLED + POOL ids, so the broadcast is bounded.
-    chosen = F.broadcast(known.withColumn("y", F.col("y").cast("int")).unionByName(pool))
-    rows = source.join(chosen, "doc_id").withColumn("key", F.xxhash64("doc_id", "text"))
-    found = rows.mapInArrow(run, "y int, key long, t binary, p binary").toArrow()
-    found = found.sort_by("key")  # the result must not depend on the order of arrival
-
-    def stacked(part: pa.Table, name: str, width: int) -> np.ndarray:
-        out = np.empty((part.num_rows, width), np.float32)
-        for k, value in enumerate(part[name]):
-            out[k] = np.frombuffer(value.as_buffer(), np.float32)
-        return out
-
-    known, other = found.filter(pc.field("y") >= 0), found.filter(pc.field("y") < 0)
-    sides = [stacked(part, name, width) for part in (known, other)
-             for name, width in (("t", TRIGRAMS + 3), ("p", PLACES + 12))]
-    y = known["y"].to_numpy()
-    del found, known, other
-    return co_train(sides[0], sides[1], y, sides[2], sides[3])
+    def fetched(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Both views, y and key of one row per id."""
+        rows = rows.groupBy("doc_id").agg(F.min(F.struct("key", *about, "y")).alias("row")).select("row.*")
+        found = rows.mapInArrow(features, "y int, key long, t binary, p binary").toArrow()
+        found = found.sort_by("key")  # the result must not depend on the order of arrival
+        sides = []
+        for name, width in (("t", TRIGRAMS + 3), ("p", PLACES + 12)):
+            out = np.empty((found.num_rows, width), np.float32)
+            for k, value in enumerate(found[name]):
+                out[k] = np.frombuffer(value.as_buffer(), np.float32)
+            sides.append(out)
+        return *sides, found["y"].to_numpy(), found["key"].to_numpy()
+
+    # Ids of any label, also an unclear one, are not exchanged.
+    marked_ids = labels.select(F.col(id_col).alias("doc_id")).distinct()
+    kind = source.schema["doc_id"].dataType.simpleString()
+    given = [[], []]  # keys of the documents that each view has received
+
+    def exchange(models: list[Logistic]) -> Received:
+        shared = docs.sparkSession.sparkContext.broadcast(models)
+
+        def chances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for piece in slices(batch, "text"):
+                    chance = [_sigmoid(m.odds(x)).astype(np.float64) for m, x in zip(shared.value, _views(piece))]
+                    yield pa.RecordBatch.from_pydict({
+                        "doc_id": piece.column("doc_id"), "key": piece.column("key"),
+                        "c0": pa.array(chance[0]), "c1": pa.array(chance[1])})
+
+        scored = source.mapInArrow(chances, f"doc_id {kind}, key long, c0 double, c1 double")
+        scored = scored.groupBy("doc_id").agg(F.min(F.struct("key", "c0", "c1")).alias("row")).select("doc_id", "row.*")
+        scored = materialise(scored.join(marked_ids, "doc_id", "left_anti"), "chances")
+        labels_of = [{}, {}]
+        for k in range(2):
+            for label, sure in ((1, F.col(f"c{k}")), (0, 1 - F.col(f"c{k}"))):
+                free = scored.filter((sure >= SURE) & ~F.col("key").isin(given[1 - k]))
+                best = free.orderBy(sure.desc(), "key").limit(EXCHANGED).select("key").collect()
+                labels_of[1 - k] |= {r.key: label for r in best}
+        for k in range(2):
+            given[k] += labels_of[k]
+        chosen = sorted({*labels_of[0], *labels_of[1]})
+        text, page, _, key = fetched(source.filter(F.col("key").isin(chosen)).withColumn("y", F.lit(-1)))
+        new = []
+        for x, label in zip((text, page), labels_of):
+            has = np.array([k in label for k in key.tolist()], bool)
+            new.append((x[has], np.array([label[k] for k in key[has].tolist()], int)))
+        return new
+
+    # At most LABELLED ids, so the broadcast is bounded.
+    text, page, y, _ = fetched(source.join(F.broadcast(known), "doc_id"))
+    return _co_train(text, page, y, exchange)
 
 
 def score_documents(docs: DataFrame, model: CoTrained | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

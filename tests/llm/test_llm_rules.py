@@ -110,6 +110,32 @@ def test_co_training_learns_from_the_other_view():
     assert cotraining.co_train(a[:60], b[:60], np.ones(60, int), a[60:], b[60:]) is None
 
 
+def test_pseudo_labels_come_from_all_unlabelled_documents(spark, monkeypatch):
+    good, bad = "the calm river runs by old stone mills ", "zzxq $$ qqxz ## "
+    rows = [(k, (good if k % 2 else bad) * (3 + k % 5) + f"n{k}") for k in range(6000)]
+    rows += [(1, rows[1][1])] * 50 + [(5001, rows[5001][1])] * 50 + [(None, good)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(200)], "doc_id long, quality int")
+    seen, taken, plain = [], [], cotraining._co_train
+    monkeypatch.setattr(cotraining, "EXCHANGED", 5_000)
+    monkeypatch.setattr(cotraining, "ROUNDS", 1)
+
+    def spied(text, page, y, exchange):
+        seen.append(len(y))
+
+        def counted(models):
+            new = exchange(models)
+            taken.append(max(len(label) for _, label in new))
+            return new
+
+        return plain(text, page, y, counted)
+
+    monkeypatch.setattr(cotraining, "_co_train", spied)
+    assert cotraining.train(docs, labels) is not None
+    assert cotraining.LABELLED == 8_000 and seen == [200]  # a repeated id is one row
+    assert taken == [5800]  # every other document once
+
+
 def test_classifier_on_odd_and_empty_tables(spark, sf_dir, odd_docs, no_docs):
     labels = table(spark, sf_dir, "labels")
     docs = table(spark, sf_dir, "documents")
