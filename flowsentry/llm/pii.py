@@ -43,11 +43,19 @@ KINDS = (
     Kind("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", ".", 0.5),
     Kind("card", r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){12,18}+(?![ -]?[0-9])", "", 0.7),
     Kind("phone", r"\+[0-9][ ().0-9-]+[0-9]", "+", 0.5),
-    Kind("iban", r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9])++", "", 0.8, base=False),
+    # Zero-width, so that a start within another proposal is seen; takes one sign more than an account has.
+    Kind("iban", r"(?=([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,31}+))(?<=(?:^|[^A-Za-z0-9])[A-Za-z]{0,30})", "", 0.8, base=False),
     Kind("ssn", r"(?<![0-9])[0-9]++-[0-9]++-[0-9]++", "-", 0.3, base=False),
 )
 BOOST, REACH, LEAST = 0.3, 40, 0.6
 
+# Signs of an account number by country (the IBAN registry); others may have 15 to 34.
+IBAN_SIGNS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK",
+    21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU"}
+
 
 def luhn(digits: Column) -> Column:
     """Is the digit string's Luhn sum a multiple of ten?"""
@@ -87,6 +95,57 @@ def confirmed(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
+def _account(ahead_of: Column) -> Column:
+    """The account number that the signs proposed at a place begin with; null if none is confirmed.
+
+    It ends at a word border: after its country's number of signs, else where the run of words ends,
+    else (countries without a number of signs) as late as mod 97 allows.
+    """
+    country = F.left(ahead_of, F.lit(2))
+    signs = F.coalesce(*[F.when(country.isin(names.split()), n) for n, names in IBAN_SIGNS.items()], F.lit(0))
+    words = F.split(ahead_of, " ")
+    # Where the proposal was cut off, its last word may go on, so no account ends with it.
+    cut = F.length(F.replace(ahead_of, F.lit(" "))) == 35
+    whole = F.size(words)
+
+    def ending(k: Column) -> Column:
+        return F.array_join(F.slice(words, 1, k), " ")
+
+    def possible(k: Column) -> Column:
+        number = F.length(F.array_join(F.slice(words, 1, k), ""))
+        return ((signs == 0) | (number == signs) | (k == whole)) & ~(cut & (k == whole)) & confirmed("iban", ending(k))
+
+    ends = F.filter(F.sequence(F.lit(1), whole), possible)
+    exact = F.filter(ends, lambda k: F.length(F.array_join(F.slice(words, 1, k), "")) == signs)
+    return ending(F.coalesce(F.array_max(exact), F.array_max(ends)))
+
+
+def _accounts(kind: Kind, text: Column, found: Column) -> Column:
+    """As ``_spans`` for a pattern of no width: of proposals that overlap, the first confirmed one."""
+    empty = F.expr("cast(array() as array<struct<kind:string,start:int,end:int,score:double>>)")
+    pieces = F.split(text, kind.pattern, -1)
+    # A split leaves out the empty text ahead of a match at the very beginning.
+    pieces = F.when(F.size(pieces) > F.size(found), pieces).otherwise(F.concat(F.array(F.lit("")), pieces))
+    both = F.arrays_zip(found.alias("value"), F.slice(pieces, 1, F.size(found)).alias("ahead"))
+    words = rf"(?i)\b(?:{CONTEXT[kind.name]})"
+
+    def step(state: Column, x: Column) -> Column:
+        start = state["at"] + F.length(x["ahead"])
+        value = F.when(start >= state["end"], _account(x["value"]))
+        end = start + F.length(value)
+        begin = F.greatest(state["end"], start - REACH)
+        near = (F.substring(text, begin + 1, start - begin).rlike(words)
+                | F.substring(text, end + 1, F.lit(REACH)).rlike(words))
+        score = F.least(F.lit(1.0), F.lit(kind.score) + F.when(near, BOOST).otherwise(0.0))
+        span = F.struct(F.lit(kind.name).alias("kind"), start.alias("start"), end.alias("end"), score.alias("score"))
+        return F.struct(
+            start.alias("at"), F.coalesce(end, state["end"]).alias("end"),
+            F.when(value.isNotNull() & (score >= LEAST), F.array_append(state["out"], span)).otherwise(state["out"]).alias("out"))
+
+    begin = F.struct(F.lit(0).alias("at"), F.lit(0).alias("end"), empty.alias("out"))
+    return F.when(F.size(found) > 0, F.aggregate(both, begin, step, lambda state: state["out"])).otherwise(empty)
+
+
 def _spans(kind: Kind, text: Column, found: Column) -> Column:
     """All confirmed matches of the kind as (kind, start, end, score), in order of start."""
     empty = F.expr("cast(array() as array<struct<kind:string,start:int,end:int,score:double>>)")
@@ -121,12 +180,12 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias(text))
     columns = {}
     for kind in KINDS:
-        found = F.regexp_extract_all(F.col(text), F.lit(kind.pattern), F.lit(0))
+        found = F.regexp_extract_all(F.col(text), F.lit(kind.pattern), F.lit(1 if kind.name == "iban" else 0))
         if kind.hint:
             found = F.when(F.contains(F.col(text), F.lit(kind.hint)), found).otherwise(F.expr("cast(array() as array<string>)"))
         columns[f"found_{kind.name}"] = found
     rows = rows.select("doc_id", text, *(c.alias(name) for name, c in columns.items()))
-    spans = [_spans(kind, F.col(text), F.col(f"found_{kind.name}")) for kind in KINDS]
+    spans = [(_accounts if kind.name == "iban" else _spans)(kind, F.col(text), F.col(f"found_{kind.name}")) for kind in KINDS]
     return rows.select("doc_id", F.concat(*spans).alias("spans"))
 
 

@@ -143,6 +143,19 @@ def test_checksums_and_context_decide(spark):
     assert spans[1][0] == ("ssn", 7, 18) and spans[2] == []
 
 
+def test_accounts_end_where_their_number_does(spark):
+    spaced, plain = "GB82 WEST 1234 5698 7654 32", "DE89370400440532013000"
+    texts = [f"{a}{x}{b}" for x in (spaced, plain) for a in ("", "pay ", "IBAN", "NO20 ", "é ")
+             for b in (" Please", " BIC", " 100", " DEUTDEFF", " EUR 100 AND MORE TO COME UNTIL THE END", ";", "")]
+    rows = list(enumerate(texts)) + [(1000, f"{spaced} {plain} {spaced}"), (1001, "GB83 WEST 1234 5698 7654 32 Please")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: [r.text[s.start:s.end] for s in r.spans if s.kind == "iban"]
+             for r in pii.find_personal_data(docs).join(docs, "doc_id").collect()}
+    for k, text in enumerate(texts):
+        assert found[k] == [spaced if spaced in text else plain], text
+    assert found[1000] == [spaced, plain, spaced] and found[1001] == []
+
+
 def test_masking_keeps_the_other_columns(odd_docs):
     rows = {r.doc_id: r.text for r in pii.mask_personal_data(odd_docs).collect()}
     assert rows[7] == "mail me: [email], [phone] or [card] at [ip]" and rows[1] is None
