@@ -10,6 +10,7 @@ corrected count decides.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -24,8 +25,10 @@ from flowsentry.functions.session import materialise
 from .common import slices
 
 SIZES = (2, 3, 4)
-HASHES, SLOT_BITS = 3, 20
-LEAST_COUNT = 3  # n-grams seen more rarely in a language are not taken
+HASHES = 3
+# The filter has 2 ** SLOT_BITS slots, or as many more as FALSE_RATE takes; 2 ** MOST_BITS of 64 languages at most.
+SLOT_BITS, MOST_BITS, FALSE_RATE = 20, 23, 0.05
+LEAST_COUNT = 3  # n-grams seen more rarely in a language are not taken; doubled until the largest filter holds them
 RATIO = 0.5  # of an n-gram's largest rate over languages, to belong to a language
 MOST_LANGUAGES = 1024
 GRAM_BYTES = 1 << 20  # of text whose n-grams are held at a time: some 150 bytes each
@@ -118,11 +121,26 @@ class LanguageFilter:
         return names, np.where(lettered, score, 0.0).tolist()
 
 
+def filter_size(most: list[int], words: int) -> tuple[int, int]:
+    """Bits of a slot's number, and the least count of an n-gram to be taken.
+
+    ``most[k]`` is the number of n-grams of the fullest language that are seen LEAST_COUNT * 2 ** k
+    times; ``words`` is the number of 64-bit words a slot has.
+    """
+    filling = -math.log(1 - FALSE_RATE ** (1 / HASHES))
+    limit = max(SLOT_BITS, MOST_BITS - (words - 1).bit_length())
+    for k, number in enumerate(most):
+        bits = max(SLOT_BITS, math.ceil(math.log2(max(1, HASHES * number / filling))))
+        if bits <= limit:
+            return bits, LEAST_COUNT << k
+    raise ValueError("too many frequent n-grams for the filter")
+
+
 def train_filter(rows: DataFrame, text_col: str, lang_col: str) -> LanguageFilter:
     """Learn from all rows with a text and a language; other columns are not read.
 
     N-grams are counted within each Arrow batch before the shuffle. The driver gets the filter's
-    slots, 2 ** SLOT_BITS at most, and one row per language, MOST_LANGUAGES at most.
+    slots, 2 ** MOST_BITS at most, and one row per language, MOST_LANGUAGES at most.
     """
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -156,21 +174,30 @@ def train_filter(rows: DataFrame, text_col: str, lang_col: str) -> LanguageFilte
                       & (u["n"] >= LEAST_COUNT))
     members = by_gram.select("gram", rates.alias("rates")).select("gram", F.explode(chosen).alias("u"))
 
+    # The largest number of n-grams that a language has, by how often they are seen.
+    levels = range(40)
+    most = (
+        members.groupBy("u.lang").agg(*[F.count_if(F.col("u.n") >= (LEAST_COUNT << k)).alias(f"m{k}") for k in levels])
+        .agg(*[F.max(f"m{k}") for k in levels]).head()
+    )
+    words = -(-len(languages) // 64)
+    bits, least = filter_size([x or 0 for x in most], words)
+
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lang = batch.column("lang").to_numpy()
             bit = (np.uint64(1) << (lang % 64).astype(np.uint64)).view(np.int64)
-            for where in slots(batch.column("gram").to_numpy().view(np.uint64), SLOT_BITS):
+            for where in slots(batch.column("gram").to_numpy().view(np.uint64), bits):
                 yield pa.RecordBatch.from_pydict({"word": pa.array((lang // 64).astype(np.int32)), "slot": pa.array(where), "bit": pa.array(bit)})
 
     set_bits = (
-        members.select("gram", F.col("u.lang").alias("lang")).mapInArrow(place, "word int, slot long, bit long")
+        members.filter(F.col("u.n") >= least).select("gram", F.col("u.lang").alias("lang")).mapInArrow(place, "word int, slot long, bit long")
         .groupBy("word", "slot").agg(F.bit_or("bit").alias("bits")).toArrow()
     )
-    masks = np.zeros((-(-len(languages) // 64), 1 << SLOT_BITS), np.uint64)
+    masks = np.zeros((words, 1 << bits), np.uint64)
     masks[set_bits["word"].to_numpy(), set_bits["slot"].to_numpy()] = set_bits["bits"].to_numpy().view(np.uint64)
     filled = np.array([np.count_nonzero(masks[k // 64] >> np.uint64(k % 64) & np.uint64(1)) for k in range(len(languages))])
-    return LanguageFilter(languages, masks, (filled / (1 << SLOT_BITS)) ** HASHES)
+    return LanguageFilter(languages, masks, (filled / (1 << bits)) ** HASHES)
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -182,7 +209,7 @@ def identify_languages(docs: DataFrame, model: LanguageFilter, id_col: str = "do
     """doc_id, held_out, lang_pred, score for every row, from its text alone.
 
     Null texts and texts without a letter give ``und`` and 0. Repeated rows give a row each. The
-    model has a fixed size (8 MB per 64 languages) and is broadcast.
+    model has a bounded size (8 to 64 MB for 64 languages) and is broadcast.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -47,6 +47,20 @@ def test_filter_returns_all_languages_of_an_ngram(spark):
     assert (counts[1] > 0).all()
 
 
+def test_filter_grows_with_the_ngrams(spark, sf_dir, monkeypatch):
+    docs = table(spark, sf_dir, "documents")
+    monkeypatch.setattr(language_id, "SLOT_BITS", 8)  # as full as a large table makes 2 ** 20 slots
+    model = language_id.train_filter(docs, "text", "lang")
+    assert model.masks.shape[1] > 1 << 12 and (0 < model.false_rate).all() and (model.false_rate <= 0.06).all()
+    rows = language_id.identify_languages(docs, model).join(docs.select("doc_id", "lang"), "doc_id").collect()
+    assert sum(r.lang == r.lang_pred for r in rows) >= 0.95 * len(rows)
+    monkeypatch.setattr(language_id, "MOST_BITS", 12)  # frequent n-grams only
+    model = language_id.train_filter(docs, "text", "lang")
+    assert model.masks.shape[1] <= 1 << 12 and (model.false_rate <= 0.06).all()
+    monkeypatch.undo()
+    assert language_id.filter_size([5_000_000, 1_000_000], 1) == (23, 6)
+
+
 def test_measures_equal_brute_force(spark, sf_dir, odd_docs):
     for docs in (table(spark, sf_dir, "documents"), odd_docs):
         labels = table(spark, sf_dir, "labels")
