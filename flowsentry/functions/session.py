@@ -46,18 +46,21 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return os.path.join(scratch_root(spark), "flowsentry", app, f"{label}-{uuid.uuid4().hex}")
 
 
-def materialise(df: DataFrame, label: str = "table", spread: bool = False) -> DataFrame:
+def materialise(df: DataFrame, label: str = "table", spread: bool = False, by: tuple[str, ...] = ()) -> DataFrame:
     """Write ``df`` once to the shared scratch folder and read it back.
 
     Cuts the lineage before a frame is scanned repeatedly (iterative fits, multi-pass
     metrics). A written table outlives any executor and keeps column pruning. With
     ``spread``, a table that fills fewer partitions than there are cores is dealt out
-    over all of them; larger tables are left as they are.
+    over all of them; larger tables are left as they are. ``by`` names columns with few
+    values that become folders, so that a filter on them reads no other rows.
     """
-    back = _write(df, label)
+    back = _write(df, label, by)
     if spread:
         wider = spread_small(back)
-        back = back if wider is back else _write(wider, label)
+        if wider is not back:
+            narrow, back = back, _write(wider, label)
+            release(narrow)
     return back
 
 
@@ -72,15 +75,27 @@ def spread_small(scan: DataFrame) -> DataFrame:
 
 def drop_scratch(spark: SparkSession) -> None:
     """Delete the scratch tables of this application: call it once their results are stored."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(
-        os.path.join(scratch_root(spark), "flowsentry", spark.sparkContext.applicationId))
+    _delete(spark, os.path.join(scratch_root(spark), "flowsentry", spark.sparkContext.applicationId))
+
+
+def release(df: DataFrame) -> None:
+    """Delete the scratch table that ``materialise`` gave as ``df``, once nothing reads it any more."""
+    path = getattr(df, "_scratch_path", None)
+    if path:
+        _delete(df.sparkSession, path)
+
+
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def _write(df: DataFrame, label: str) -> DataFrame:
+def _write(df: DataFrame, label: str, by: tuple[str, ...] = ()) -> DataFrame:
     path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.partitionBy(*by).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back._scratch_path = path
+    return back
 
 
 def write_json(spark: SparkSession, path: str, document: dict) -> None:
