@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cotraining, pii, sql, tool_calls
+from . import collocations, cotraining, pii, sql, tool_calls, toxicity
 from .bpe import encode_documents
 from .common import table
 from .decontaminate import hits
@@ -16,6 +16,7 @@ from .language_id import held_out, identify_languages, train_filter
 from .line_templates import drop_recurring_lines
 from .quality_rules import judge_documents
 from .token_files import library_encoder, write_token_files
+from .whitening import fit_whitening, whitened_components
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -72,6 +73,20 @@ def op10_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_recurring_lines(docs, count_as="n_dropped")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return whitened_components(vectors, fit_whitening(vectors))
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score_documents(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine_phrases(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_decontaminate": op2_decontaminate,
@@ -83,10 +98,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_tool_calls": op9_tool_calls,
     "op10_line_templates": op10_line_templates,
+    "op11_whitening": op11_whitening,
+    "op12_toxicity": op12_toxicity,
+    "op13_collocations": op13_collocations,
 }
 ORACLES: dict[str, str] = {
     "op2_decontaminate": sql.DECONTAMINATE,
     "op3_pii": pii.ORACLE,
     "op4_jaccard_join": sql.JACCARD,
     "op9_tool_calls": tool_calls.ORACLE,
+    "op13_collocations": collocations.ORACLE,
 }
