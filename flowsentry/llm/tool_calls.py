@@ -1,9 +1,10 @@
 """Tool calls in conversations: linked with results, ordered, validated, written as canonical JSON.
 
 Calls and results are hash-joined by conversation and identifier. Calls that use other calls are
-put into topological levels: a call's level is one more than the highest level it depends on, found
-in rounds over the dependency edges, as many rounds as the longest chain. Arguments are checked
-against the tool's schema. Each message becomes one canonical JSON line: sorted keys, no blanks,
+put into topological levels: a call's level is one more than the highest level it depends on. Levels
+are found in rounds over the dependency edges, all conversations at once: an edge to a call whose level
+is known becomes a number, and an edge to a call with one edge left is replaced by one past it, so that
+a chain of n calls takes about log2(n) rounds. Arguments are checked against the tool's schema. Each message becomes one canonical JSON line: sorted keys, no blanks,
 characters as they are.
 """
 
@@ -13,10 +14,10 @@ import json
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowsentry.functions.session import materialise
+from flowsentry.functions.session import materialise, release, scratch_path
 
 _TYPES = {
     "string": lambda v: isinstance(v, str),
@@ -29,6 +30,9 @@ _TYPES = {
 }
 
 
+_MOST_STEPS = 1 << 40  # edges around a cycle grow longer with every round
+
+
 def valid(value: object, schema: dict) -> bool:
     """The part of JSON Schema that tool arguments use: type, enum, minimum, maximum, properties,
     required, additionalProperties, items. Unknown keywords are ignored."""
@@ -56,23 +60,47 @@ def canonical(value: object) -> str:
 
 
 def _levels(calls: DataFrame, uses: DataFrame) -> DataFrame:
-    """(conv_id, call_id, level) of the calls that no cycle holds up; level 0 uses no other call."""
-    waiting = uses.join(calls.select("conv_id", F.col("call_id").alias("used")), ["conv_id", "used"], "left_semi")
-    waiting = materialise(waiting.distinct(), "uses")
-    free = calls.join(waiting.select("conv_id", "call_id").distinct(), ["conv_id", "call_id"], "left_anti")
-    done = materialise(free.select("conv_id", "call_id", F.lit(0).alias("level")), "level")
-    every, level = done, 0
-    while not waiting.isEmpty():
-        level += 1
-        # An edge is settled once the call it points to has its level.
-        rest = materialise(waiting.join(done.select("conv_id", F.col("call_id").alias("used")), ["conv_id", "used"], "left_anti"), "uses")
-        ready = waiting.select("conv_id", "call_id").distinct().join(
-            rest.select("conv_id", "call_id").distinct(), ["conv_id", "call_id"], "left_anti")
-        done = materialise(ready.withColumn("level", F.lit(level)), "level")
-        if done.isEmpty():  # what is left depends on a cycle
+    """(conv_id, call_id, level) of the calls that no cycle holds up; level 0 uses no other call.
+
+    An open call's level is the greater of ``least`` and, over its edges, the other call's level plus
+    ``steps``. Each round reads the tables that the last one wrote, of a row per open call and per edge.
+    """
+    key, none = ["conv_id", "call_id"], F.lit(0).cast("long")
+    edges = uses.join(calls.select("conv_id", F.col("call_id").alias("used")), ["conv_id", "used"], "left_semi")
+    edges = materialise(edges.distinct().select(*key, "used", F.lit(1).cast("long").alias("steps"), none.alias("least")), "uses")
+    left = edges.groupBy(*key).agg(F.count("*").alias("edges"))
+    state = materialise(calls.withColumn("least", none).join(left, key, "left"), "open-calls")
+    path, number = scratch_path(calls.sparkSession, "levels"), 0
+    while True:
+        # Some open call uses none but known ones, unless all of them depend on a cycle.
+        known = state.filter("edges is null").select(*key, F.col("least").alias("level"))
+        if known.isEmpty():
             break
-        every, waiting = every.unionByName(done), rest
-    return every
+        known.write.parquet(f"{path}/round={number}")
+        met = edges.join(known.withColumnRenamed("call_id", "used"), ["conv_id", "used"], "left")
+        met = materialise(met.withColumn("least", F.greatest("least", F.col("steps") + F.col("level"))), "met")
+        release(edges)
+        rest = F.col("level").isNull()
+        left = met.groupBy(*key).agg(
+            F.max("least").alias("found"), F.count(F.when(rest, 1)).alias("edges"),
+            F.min(F.when(rest, F.struct("used", "steps"))).alias("edge"))
+        before, state = state, materialise(state.filter("edges is not null").select(*key, "least").join(left, key, "left").select(
+            *key, F.greatest("least", "found").alias("least"), F.nullif("edges", F.lit(0)).alias("edges"), "edge"), "open-calls")
+        release(before)
+        passed = state.filter("edges = 1").select(
+            "conv_id", F.col("call_id").alias("used"), F.col("least").alias("lower"),
+            F.col("edge.used").alias("beyond"), F.col("edge.steps").alias("more"))
+        moved = met.filter(rest).join(passed, ["conv_id", "used"], "left").select(
+            *key, F.coalesce("beyond", "used").alias("used"),
+            F.least(F.col("steps") + F.coalesce("more", none), F.lit(_MOST_STEPS)).alias("steps"),
+            F.greatest("least", F.col("steps") + F.col("lower")).alias("least"))
+        edges = materialise(moved.groupBy(*key, "used").agg(F.max("steps").alias("steps"), F.max("least").alias("least")), "uses")
+        release(met)
+        number += 1
+    kinds = ", ".join(f"{c} {calls.schema[c].dataType.simpleString()}" for c in key)
+    if not number:
+        return calls.sparkSession.createDataFrame([], f"{kinds}, level long")
+    return calls.sparkSession.read.schema(f"{kinds}, level long").parquet(*(f"{path}/round={k}" for k in range(number)))
 
 
 def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
@@ -168,8 +196,8 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -
 
 
 # The table of conversations has no tool calls of its own. Each user turn is taken as a call of a
-# tool "reply", which uses the user turns before it, and each assistant turn as a result for the
-# turn in front of it; a system turn is a call of "configure", which takes short texts only.
+# tool "reply", which uses the user or system turn before it, and each assistant turn as a result for
+# the turn in front of it; a system turn is a call of "configure", which takes short texts only.
 SCHEMAS = {
     "reply": {"type": "object", "required": ["text", "words"], "additionalProperties": False,
               "properties": {"text": {"type": "string"}, "words": {"type": "integer", "minimum": 1, "maximum": 60}}},
@@ -178,18 +206,38 @@ SCHEMAS = {
 }
 
 
+def _turns_before(turns: DataFrame) -> DataFrame:
+    """conv_id, turn and the next smaller turn of the conversation, without sorting one in a single task.
+
+    Turns are dealt out by ranges; a conversation's first turn in a range takes the last one of the
+    ranges before, of which there is a row per range and conversation.
+    """
+    ranged = turns.filter("conv_id is not null and turn is not null").distinct().repartitionByRange("conv_id", "turn")
+    ranged = materialise(ranged.withColumn("part", F.spark_partition_id()), "turns")
+    inside = F.lag("turn").over(Window.partitionBy("conv_id", "part").orderBy("turn"))
+    last = ranged.groupBy("conv_id", "part").agg(F.max("turn").alias("last"))
+    carried = last.select("conv_id", "part", F.lag("last").over(Window.partitionBy("conv_id").orderBy("part")).alias("carried"))
+    return ranged.withColumn("inside", inside).join(carried, ["conv_id", "part"]).select(
+        "conv_id", "turn", F.coalesce("inside", "carried").alias("before"))
+
+
 def calls_of_conversations(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Calls and results of a table conv_id, turn, role, text, by the rule above."""
     name = F.when(F.col("role") == "system", "configure").otherwise("reply")
     words = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "[ \\t\\n\\x0B\\f\\r]+"), lambda w: w != ""))
-    call_id = F.concat(F.lit("t"), F.col("turn").cast("string"))
-    turns = F.transform(F.sequence(F.lit(0).cast("long"), F.col("turn") - 1), lambda t: F.concat(F.lit("t"), t.cast("string")))
-    calls = conversations.filter(F.col("role").isin("user", "system")).select(
-        "conv_id", "turn", call_id.alias("call_id"), name.alias("name"),
+
+    def named(turn: Column) -> Column:
+        return F.concat(F.lit("t"), turn.cast("string"))
+
+    asked = conversations.filter(F.col("role").isin("user", "system"))
+    before = _turns_before(asked.select("conv_id", "turn"))
+    calls = asked.select("conv_id", "turn", "role", "text").join(before, ["conv_id", "turn"], "left").select(
+        "conv_id", "turn", named(F.col("turn")).alias("call_id"), name.alias("name"),
         F.to_json(F.struct("text", words.alias("words"))).alias("arguments"),
-        F.when(F.col("turn") > 0, turns).otherwise(F.expr("cast(array() as array<string>)")).alias("uses"))
+        F.when(F.col("before").isNotNull(), F.array(named(F.col("before")))).otherwise(
+            F.expr("cast(array() as array<string>)")).alias("uses"))
     results = conversations.filter(F.col("role") == "assistant").select(
-        "conv_id", "turn", F.concat(F.lit("t"), (F.col("turn") - 1).cast("string")).alias("call_id"), F.col("text").alias("content"))
+        "conv_id", "turn", named(F.col("turn") - 1).alias("call_id"), F.col("text").alias("content"))
     return calls, results
 
 

@@ -253,3 +253,37 @@ def test_tool_calls_are_linked_ordered_and_checked(spark):
 def test_tool_calls_of_an_empty_table(spark, sf_dir):
     calls, results = tool_calls.calls_of_conversations(table(spark, sf_dir, "conversations").limit(0))
     assert tool_calls.link_calls(calls, results, tool_calls.SCHEMAS).count() == 0
+
+
+def test_levels_are_longest_paths(spark):
+    rng = np.random.default_rng(4)
+    uses = {(c, k): {int(x) for x in rng.integers(0, max(1, k), rng.integers(0, 4)) if x < k}
+            for c in range(4) for k in range(12 * c + 1)}
+    uses |= {(9, k): {k - 1} for k in range(1, 70)} | {(9, 0): set()}
+    uses |= {(8, 0): {2}, (8, 1): {0}, (8, 2): {1}, (8, 3): {3}, (8, 4): {1, 5}, (8, 5): set(), (8, 6): {5, 7, 99}, (8, 7): {5}}
+
+    def level(c, k, above=()):
+        if k in above:
+            return None
+        found = [level(c, x, (*above, k)) for x in uses[c, k] if (c, x) in uses]
+        return None if None in found else max(found, default=-1) + 1
+
+    calls = spark.createDataFrame([(c, str(k)) for c, k in uses], "conv_id long, call_id string")
+    edges = spark.createDataFrame([(c, str(k), str(x)) for (c, k), found in uses.items() for x in found] * 2,
+                                  "conv_id long, call_id string, used string")
+    got = {(r.conv_id, int(r.call_id)): r.level for r in tool_calls._levels(calls, edges).collect()}
+    assert got == {(c, k): found for c, k in uses if (found := level(c, k)) is not None}
+
+
+def test_long_conversation(spark):
+    rows = [(1, k, "user" if k % 3 else "assistant", f"turn {k}") for k in range(300)] + [(2, 0, "user", None), (2, 5, "user", "x")]
+    rows += [(None, 1, "user", "x"), (3, None, "user", "x"), (1, 298, "user", "again"), (4, 0, "assistant", "x")]
+    talk = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(7)
+    calls, results = tool_calls.calls_of_conversations(talk.withColumn("name", F.lit("clash")))
+    used = {(r.conv_id, r.turn): r.uses for r in calls.collect()}
+    assert used[1, 4] == ["t2"] and used[1, 2] == ["t1"] and used[1, 1] == [] and used[2, 5] == ["t0"] and used[3, None] == []
+    linked = tool_calls.link_calls(calls, results, tool_calls.SCHEMAS)
+    assert len(linked._jdf.queryExecution().toString()) < 400_000
+    level = {(r.conv_id, r.turn): r.level for r in linked.filter("kind = 'call' and status != 'duplicate'").collect()}
+    assert [level[1, k] for k in range(300) if k % 3] == list(range(200))
+    assert level[2, 5] == 1 and level[3, None] is None
