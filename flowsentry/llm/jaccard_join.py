@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from flowsentry.functions.session import materialise
+from flowsentry.functions.session import materialise, release
 
 from .common import binary, fresh, row_hashes, slices
 from .shingles import mix, shingle_sets
@@ -147,6 +147,7 @@ def _token_classes(docs: DataFrame, id_col: str, text_col: str) -> TokenClasses:
             break
         lowest, total = level, total + size
     found = sized.filter(F.col("class") >= lowest).toArrow()
+    release(hot)
     return TokenClasses(found["token"].to_numpy().view(np.uint64), found["class"].to_numpy().astype(np.uint8))
 
 
@@ -284,8 +285,9 @@ def _pairs(left: DataFrame, right: DataFrame, condition: Column, bits: list[str]
 def connected_components(edges: DataFrame) -> DataFrame:
     """(id, component) for every node of ``edges`` (a, b), component the smallest id reachable.
 
-    Alternating large-star and small-star steps; each writes its edges to the shared folder. A step
-    groups by node with partial minima, so hubs do not gather their neighbours in one task.
+    Alternating large-star and small-star steps; each writes its edges to the shared folder, where only
+    the last ones stay. A step groups by node with partial minima, so hubs do not gather their
+    neighbours in one task.
     """
     def both_ways(e: DataFrame) -> DataFrame:
         return e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -300,24 +302,43 @@ def connected_components(edges: DataFrame) -> DataFrame:
         lowest = every.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = every.filter("b > a").join(lowest, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").distinct()
         large = materialise(large, "large-star")
+        release(edges)
         lowest = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(lowest, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(
             lowest.select("a", F.col("m").alias("b"))).filter("a != b").distinct()
         edges = materialise(small, "small-star")
-    return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(
-        edges.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
+        release(large)
+    found = materialise(edges.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(
+        edges.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()), "components")
+    release(edges)
+    return found
+
+
+def _joined_components(components: DataFrame, links: DataFrame) -> DataFrame:
+    """``components`` (id, component) after the further ``links`` (a, b). Only the links between unlike
+    components are followed; the components they join are renamed."""
+    ends = [components.select(F.col("id").alias(c), F.col("component").alias(f"{c}_")) for c in "ab"]
+    between = links.join(ends[0], "a", "left").join(ends[1], "b", "left").select(
+        F.coalesce("a_", "a").alias("a"), F.coalesce("b_", "b").alias("b"))
+    roots = connected_components(between)
+    renamed = components.join(roots.select(F.col("id").alias("component"), F.col("component").alias("root")), "component", "left")
+    new = roots.join(components.select("id"), "id", "left_anti")
+    joined = materialise(renamed.select("id", F.coalesce("root", "component").alias("component")).unionByName(new), "components")
+    release(roots)
+    release(components)
+    return joined
 
 
 def _link_long_lists(postings: DataFrame, links: DataFrame, sets: DataFrame, rounds: int) -> DataFrame:
-    """Links found so far and those between members of long lists, as (a, b), enough for all
-    components. ``postings``: token, id, n and bitmap."""
+    """(id, component) after the links found so far and those between members of long lists.
+    ``postings``: token, id, n and bitmap."""
+    components, active = connected_components(links), None
     for number in range(rounds + 1):
-        components = materialise(connected_components(links), "components")
-        links = components.select(F.col("id").alias("a"), F.col("component").alias("b"))
-        placed = postings.join(components, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        # Lists whose members all are in one component are done.
-        spread = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-        active = materialise(placed.join(spread.filter("low != high").select("token"), "token"), "active")
+        if active is None:  # else no link was found in the last round
+            placed = postings.join(components, "id", "left").withColumn("component", F.coalesce("component", "id"))
+            # Lists whose members all are in one component are done.
+            spread = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+            active = materialise(placed.join(spread.filter("low != high").select("token"), "token"), "active")
         if active.isEmpty():
             break
         if number < rounds:
@@ -331,20 +352,29 @@ def _link_long_lists(postings: DataFrame, links: DataFrame, sets: DataFrame, rou
             pairs = _pairs(active, hubs, F.col("component") != F.col("component_"), _BITS)
         else:
             pairs = _pairs(active, _other(active), F.col("component") < F.col("component_"), _BITS)
-        links = links.unionByName(materialise(_verified(pairs, sets), "verified"))
-    else:
-        links = connected_components(links).select(F.col("id").alias("a"), F.col("component").alias("b"))
-    return links
+        links = materialise(_verified(pairs, sets), "verified")
+        if not links.isEmpty():
+            components = _joined_components(components, links)
+            release(active)
+            active = None
+        release(links)
+    if active is not None:
+        release(active)
+    return components
 
 
 def _components(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, k1, k2, f1, f2, n, ...) and, by f1 and f2, the component of every class with a
-    word: its label and its smallest (doc_id, k1, k2)."""
+    word: its label and its smallest (doc_id, k1, k2).
+
+    Each table in the shared folder goes as soon as nothing reads it any more."""
     rows = materialise(_sketches(docs, id_col, text_col), "sketches")
     bits = [F.first(c).alias(c) for c in _BITS]
     classes = rows.filter("n > 0").groupBy("f1", "f2").agg(
         F.min(F.struct("doc_id", "k1", "k2")).alias("least"), F.first("n").alias("n"), *bits)
     classes = materialise(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
+    bare = materialise(rows.drop(*_BITS), "rows")
+    release(rows)
     tokens = _token_classes(docs, id_col, text_col)
     postings = _shared_postings(docs, tokens, id_col, text_col).join(classes.select("f1", "f2", "id"), ["f1", "f2"])
     postings = materialise(postings.groupBy("token", "id").agg(F.max("early").alias("early")), "postings")
@@ -354,22 +384,31 @@ def _components(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame,
         F.bit_xor(F.xxhash64("id", "early")).alias("x"), F.bit_xor(F.xxhash64("early", "id", F.lit(1))).alias("y"))
     lists = lists.filter("earlies > 0 and members > 1").groupBy("members", "x", "y").agg(F.min("token").alias("token"))
     kept = materialise(postings.join(lists.select("token", "members"), "token"), "lists")
+    release(postings)
     short = kept.filter(F.col("members") <= SHORT).drop("members").join(classes.select("id", "n", *_folded()), "id")
     long = kept.filter(F.col("members") > SHORT).drop("members").join(classes.select("id", "n", *_BITS), "id")
     short, long = materialise(short, "short-lists"), materialise(long, "long-lists")
+    release(kept)
     pairs = materialise(_pairs(short, _other(short), F.col("id") < F.col("id_"), _FEW), "pairs")
+    release(short)
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).unionByName(long.select("id")).distinct()
     wanted = materialise(classes.join(ids, "id", "left_semi").select("id", "f1", "f2", F.col("least.doc_id").alias("doc_id")), "wanted")
     sets = _candidate_sets(docs, wanted.select("doc_id"), id_col, text_col).join(wanted.drop("doc_id"), ["f1", "f2"])
     # A class may be met in several documents; one set of it is enough.
     sets = materialise(sets.groupBy("id").agg(F.first("tokens").alias("tokens")), "sets")
+    release(wanted)
     links = materialise(_verified(pairs, sets), "verified")
-    links = _link_long_lists(long, links, sets, ROUNDS)
-    linked = materialise(links.select(F.col("a").alias("id"), F.col("b").alias("component")), "linked")
+    release(pairs)
+    linked = _link_long_lists(long, links, sets, ROUNDS)
+    for done in (links, long, sets):
+        release(done)
     named = classes.select("f1", "f2", "id", "least").join(linked, "id", "left").withColumn(
         "component", F.coalesce("component", "id"))
     first = named.groupBy("component").agg(F.min("least").alias("first"))
-    return rows, materialise(named.join(first, "component").select("f1", "f2", "component", "first"), "named")
+    named = materialise(named.join(first, "component").select("f1", "f2", "component", "first"), "named")
+    release(linked)
+    release(classes)
+    return bare, named
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
