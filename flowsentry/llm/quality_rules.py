@@ -93,27 +93,51 @@ def rules() -> list[Rule]:
     ]
 
 
+def chance_of_at_most(rejected: int, n: int, rate: float) -> float:
+    """Chance of ``rejected`` or fewer of n cases at a rate: the incomplete beta function
+    I(1 - rate; n - rejected, rejected + 1) by its continued fraction, of about sqrt(n) terms at most."""
+    if rejected >= n or rate <= 0:
+        return 1.0
+    if rejected < 0 or rate >= 1:
+        return 0.0
+
+    def fraction(x: float, a: float, b: float) -> float:
+        c, d = 1.0, 1 / max(1 - (a + b) * x / (a + 1), 1e-300)
+        out = d
+        for m in range(1, 100_000):
+            for part in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)),
+                         -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+                d = 1 / ((1 + part * d) or 1e-300)
+                c = (1 + part / c) or 1e-300
+                out *= c * d
+            if abs(c * d - 1) < 1e-14:
+                break
+        return out
+
+    a, b, x = n - rejected, rejected + 1, 1 - rate
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log1p(-rate) + b * math.log(rate))
+    # The fraction converges fast on one side of the mean; the other side is its complement.
+    if x < (a + 1) / (a + b + 2):
+        return min(1.0, front * fraction(x, a, b) / a)
+    return max(0.0, 1 - front * fraction(rate, b, a) / b)
+
+
 def upper_bound(rejected: int, n: int, risk: float) -> float:
     """Clopper-Pearson: the largest rate under which ``rejected`` or fewer of n has chance ``risk``."""
     if n == 0 or rejected >= n:
         return 1.0
-
-    def chance(p: float) -> float:  # of rejected or fewer
-        top = math.log1p(-p) * n
-        terms, term = [top], top
-        for k in range(rejected):
-            term += math.log((n - k) / (k + 1)) + math.log(p) - math.log1p(-p)
-            terms.append(term)
-        most = max(terms)
-        return math.exp(most) * math.fsum(math.exp(t - most) for t in terms)
-
     low, high = rejected / n, 1.0
     for _ in range(60):
         middle = (low + high) / 2
-        low, high = (middle, high) if 0 < middle < 1 and chance(middle) > risk else (low, middle)
+        low, high = (middle, high) if chance_of_at_most(rejected, n, middle) > risk else (low, middle)
     return high
 
 
+def within(rejected: int, n: int, rate: float, risk: float) -> bool:
+    """Is the upper bound at most ``rate``? It is just when so few rejections have chance ``risk`` at most."""
+    return 0 < n and rejected <= rate * n and chance_of_at_most(rejected, n, rate) <= risk
+
+
 @dataclass(frozen=True)
 class Settings:
     """``grid`` candidate cutoffs per rule; false rejections allowed to all rules together in a
@@ -154,11 +178,16 @@ def choose_cutoffs(measured: DataFrame, labels: DataFrame, stratum: str, setting
     chosen = {}
     for key, cell in by.items():
         n, beyond = int(cell.sum()), cell[::-1].cumsum()[::-1]
-        # A cutoff at k / grid rejects what lies above it: cells k + 1 and more.
-        passed = [k for k in range(settings.grid)
-                  if upper_bound(int(beyond[k + 1]), n, settings.risk / tests) <= share]
-        if passed:
-            chosen[key] = passed[0] / settings.grid
+        # A cutoff at k / grid rejects what lies above it: cells k + 1 and more, fewer with every k.
+        low, high = 0, settings.grid
+        while low < high:
+            middle = (low + high) // 2
+            if within(int(beyond[middle + 1]), n, share, settings.risk / tests):
+                high = middle
+            else:
+                low = middle + 1
+        if low < settings.grid:
+            chosen[key] = low / settings.grid
     return chosen
 
 

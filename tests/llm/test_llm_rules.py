@@ -1,4 +1,5 @@
 import json
+import math
 import zlib
 
 import numpy as np
@@ -287,3 +288,48 @@ def test_long_conversation(spark):
     level = {(r.conv_id, r.turn): r.level for r in linked.filter("kind = 'call' and status != 'duplicate'").collect()}
     assert [level[1, k] for k in range(300) if k % 3] == list(range(200))
     assert level[2, 5] == 1 and level[3, None] is None
+
+
+def test_binomial_chances_are_exact():
+    for n in (1, 7, 40, 300):
+        for rate in (0.002, 0.1, 0.5, 0.93):
+            for k in range(0, n, max(1, n // 7)):
+                exact = sum(math.comb(n, j) * rate ** j * (1 - rate) ** (n - j) for j in range(k + 1))
+                assert quality_rules.chance_of_at_most(k, n, rate) == pytest.approx(exact, rel=1e-9, abs=1e-14)
+    for n, risk in ((50, 0.05), (4000, 1e-5), (2_000_000, 1e-6)):
+        for k in (0, 1, n // 1000, n // 600, n // 400):
+            assert quality_rules.within(k, n, 0.002, risk) == (quality_rules.upper_bound(k, n, risk) <= 0.002)
+
+
+def test_verdict_of_the_rules_equals_plain_search(spark):
+    """Cutoffs and kept, against a search over all cutoffs with exact bounds."""
+    rng = np.random.default_rng(6)
+    rows = [(k, " ".join(["word%d" % x for x in rng.integers(0, 400, 70)] + ["#"] * int(rng.integers(0, 4)) * (k % 50 == 0)),
+             "en" if k % 3 else "de") for k in range(1500)]
+    rows += [(2000 + k, rows[k][1] + " #" * 60, "en") for k in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(k, int(k < 1500)) for k, _, _ in rows], "doc_id long, quality int")
+    settings = quality_rules.Settings(grid=10, allowed=0.1, risk=0.2)
+    out = {r.doc_id: r for r in quality_rules.judge_documents(docs, labels, settings=settings).collect()}
+
+    def shares(r):
+        n = max(1, r.n_words)
+        lines = 1
+        length = r.word_chars / n
+        return [min(1.0, r.n_symbols / n), r.n_dup_lines / lines, r.n_repeat_words / n, max(0.0, 1 - length / 8), min(1.0, length / 40)]
+
+    strata, cutoffs = {x for _, _, x in rows}, {}
+    for stratum in strata:
+        good = [shares(out[k]) for k, _, x in rows if k < 1500 and x == stratum and not out[k].base_failed]
+        for rule in range(5):
+            for cell in range(10):
+                k = sum(math.ceil(v[rule] * 10) > cell for v in good)
+                tail = sum(math.comb(len(good), j) * 0.02 ** j * 0.98 ** (len(good) - j) for j in range(k + 1))
+                if k <= 0.02 * len(good) and tail <= 0.2 / (len(strata) * 5 * 10):
+                    cutoffs[stratum, rule] = cell / 10
+                    break
+    assert cutoffs
+    for k, _, x in rows:
+        bad = any(v > cutoffs.get((x, rule), 2) for rule, v in enumerate(shares(out[k])))
+        assert out[k].kept == (not out[k].base_failed and not bad)
+    assert not any(out[2000 + k].kept for k in range(10))
