@@ -11,6 +11,7 @@ import hashlib
 import heapq
 import json
 import os
+import re
 from array import array
 from collections.abc import Iterator
 
@@ -19,14 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import ChunkEncoder, byte_alphabet, is_word
+from .chunks import ENTRY_BYTES, LONGEST_PIECE, ChunkEncoder, byte_alphabet, is_word
 from .common import slices
 
 
 class BytePairCoder:
     """Encoder and decoder of a byte-level BPE tokenizer file."""
 
-    def __init__(self, tokenizer_file: str, word_limit: int = 200_000):
+    def __init__(self, tokenizer_file: str, word_limit: int = 48 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -39,6 +40,8 @@ class BytePairCoder:
             pair = self.vocab[left], self.vocab[right]
             self.merges.setdefault(pair, (rank, self.vocab[left + right]))
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        longest_first = sorted(self.special, key=len, reverse=True)
+        self.marks = re.compile("|".join(map(re.escape, longest_first))) if self.special else None
         # Only the rule that cuts text into pre-tokens is the library's.
         self.pre_tokenize = Tokenizer.from_file(tokenizer_file).pre_tokenizer.pre_tokenize_str
         alphabet = byte_alphabet()
@@ -52,8 +55,8 @@ class BytePairCoder:
         for char, byte in alphabet.items():
             self.of_byte[byte] = self.vocab[char]
         self.to_byte = alphabet
-        self.words: dict[bytes, list[int]] = {}
-        self.word_limit = word_limit
+        self.words: dict[bytes, list[int]] = {}  # of word_limit bytes at most
+        self.word_limit, self.word_bytes = word_limit, 0
 
     def merge_word(self, word: bytes) -> list[int]:
         """Ids of one pre-token."""
@@ -85,9 +88,13 @@ class BytePairCoder:
     def _word(self, word: bytes) -> list[int]:
         ids = self.words.get(word)
         if ids is None:
-            if len(self.words) >= self.word_limit:
-                self.words.clear()
-            ids = self.words[word] = self.merge_word(word)
+            ids = self.merge_word(word)
+            if len(word) <= LONGEST_PIECE:
+                self.word_bytes += ENTRY_BYTES + len(word) + 40 * len(ids)
+                if self.word_bytes > self.word_limit:
+                    self.words.clear()
+                    self.word_bytes = 0
+                self.words[word] = ids
         return ids
 
     def _plain(self, text: str) -> list[int]:
@@ -100,11 +107,15 @@ class BytePairCoder:
 
     def encode_piece(self, text: str) -> list[int]:
         """Special tokens' strings become their ids, as in the library."""
-        at, found = min(((at, s) for s in self.special if (at := text.find(s)) >= 0), default=(-1, ""),
-                        key=lambda x: (x[0], -len(x[1])))
-        if at < 0:
-            return self._plain(text) if text else []
-        return [*self._plain(text[:at]), self.special[found], *self.encode_piece(text[at + len(found):])]
+        out, at = [], 0
+        for found in self.marks.finditer(text) if self.marks else ():
+            if at < found.start():
+                out += self._plain(text[at:found.start()])
+            out.append(self.special[found.group()])
+            at = found.end()
+        if at < len(text):
+            out += self._plain(text[at:])
+        return out
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.strings.__getitem__, ids)).decode("utf-8", "replace")

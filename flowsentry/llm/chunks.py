@@ -12,6 +12,8 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
+LONGEST_PIECE = 64  # signs of a piece that is worth keeping
+ENTRY_BYTES = 200  # of an entry besides the text and the ids
 _CUT = "\x00"
 _SAFE = re.compile(r"(?<=[!-~])(?=[ \n][!-~])")
 
@@ -32,25 +34,31 @@ class UnsafePiece(ValueError):
 
 
 class PieceCache(dict):
+    """Encoded pieces, of ``limit`` bytes at most; long ones are not kept."""
+
     def __init__(self, encode_piece: Callable[[str], bytes], limit: int):
-        self.encode_piece, self.limit = encode_piece, limit
+        self.encode_piece, self.limit, self.size = encode_piece, limit, 0
 
     def __missing__(self, piece: str) -> bytes:
         if not piece.isascii() and any(c > "\x7f" and not c.isalnum() for c in piece):
             raise UnsafePiece
-        if len(self) >= self.limit:
-            self.clear()
-        value = self[piece] = self.encode_piece(piece)
+        value = self.encode_piece(piece)
+        if len(piece) <= LONGEST_PIECE:
+            self.size += ENTRY_BYTES + len(piece) + len(value)
+            if self.size > self.limit:
+                self.clear()
+                self.size = 0
+            self[piece] = value
         return value
 
 
 class ChunkEncoder:
     """``encode_piece`` turns a string into bytes; ``encode`` does so for long texts.
 
-    The cache holds ``limit`` pieces; it starts again when full, which costs time only.
+    The cache holds ``limit`` bytes; it starts again when full, which costs time only.
     """
 
-    def __init__(self, encode_piece: Callable[[str], bytes], limit: int = 600_000):
+    def __init__(self, encode_piece: Callable[[str], bytes], limit: int = 128 << 20):
         self.encode_piece = encode_piece
         self.cache = PieceCache(encode_piece, limit)
 

@@ -221,7 +221,7 @@ def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     keyed = docs.withColumns({k1: a, k2: b})
     gone = recurring_lines(docs, id_col, text_col, least_docs).toDF(k1, k2, places)
     joined = keyed.join(gone, [k1, k2], "left").select(*[F.col(f"`{c}`") for c in docs.columns], places)
-    number = count_as and fresh(count_as) or None
+    number = count_as and fresh(count_as, docs) or None
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

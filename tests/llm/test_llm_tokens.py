@@ -38,6 +38,14 @@ def test_both_encoders_equal_the_library(texts):
         assert coder.decode(want) == LIBRARY.decode(want, skip_special_tokens=False)
 
 
+def test_long_runs_of_special_tokens_and_long_pieces():
+    coder = bpe.BytePairCoder(PATH, word_limit=2000)
+    encoder = coder.chunk_encoder()
+    for text in ("<|endoftext|>" * 5000, "x<|endoftext|>" * 3000 + "<|endoftex", "ab<|endoftext|> cd " * 500, "Zm9v" * 5000):
+        assert coder.encode_piece(text) == np.frombuffer(encoder.encode(text), "<u4").tolist() == ids_of(text)
+    assert all(len(piece) <= 64 for piece in encoder.cache) and coder.word_bytes <= 2000
+
+
 def test_encode_documents(spark, sf_dir, odd_docs, no_docs):
     for docs in (table(spark, sf_dir, "documents"), odd_docs):
         want = []
