@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowsentry.functions.session import materialise
+from flowsentry.functions.session import materialise, release
 
 from .common import binary, fresh, slices
 
@@ -98,21 +98,31 @@ class Logistic:
                         float(fit.bias - slope * fit.centre[0]))
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, penalty: float = PENALTY,
+def fit_logistic(x: np.ndarray | list[np.ndarray], y: np.ndarray, weight: np.ndarray | None = None, penalty: float = PENALTY,
                  steps: int = 200) -> Logistic:
-    """Accelerated gradient steps on the penalised log-loss; classes weigh the same."""
+    """Accelerated gradient steps on the penalised log-loss; classes weigh the same.
+
+    ``x`` may come in blocks of rows. They are standardised within the products, never copied: this runs
+    on the driver.
+    """
+    blocks = [b for b in ([x] if isinstance(x, np.ndarray) else x) if len(b)]
+    ends = np.cumsum([0, *map(len, blocks)])
     weight = np.ones(len(y)) if weight is None else weight
     balance = np.array([weight[y == c].sum() for c in (0, 1)])
     weight = weight / np.maximum(balance, 1e-9)[y.astype(int)] / 2
-    centre = x.mean(axis=0, dtype=np.float64).astype(np.float32)
-    z = x - centre  # single precision, and one copy at a time: this runs on the driver
-    scale = np.maximum(np.sqrt(np.einsum("ij,ij->j", z, z) / max(1, len(z))), 1e-6).astype(np.float32)
-    z /= scale
-    step = 1 / (0.25 * float((weight * (np.einsum("ij,ij->i", z, z) + 1)).sum()) + penalty)
-    w = ahead = np.zeros(z.shape[1] + 1)
+    centre = (sum(b.sum(axis=0, dtype=np.float64) for b in blocks) / len(y)).astype(np.float32)
+    pieces = [(a + at, b[at:at + 256]) for a, b in zip(ends, blocks) for at in range(0, len(b), 256)]
+    square = sum(np.einsum("ij,ij->j", d := p - centre, d, dtype=np.float64) for _, p in pieces)
+    scale = np.maximum(np.sqrt(square / max(1, len(y))), 1e-6).astype(np.float32)
+    length = sum(float(weight[a:a + len(p)] @ (np.einsum("ij,ij->i", d := (p - centre) / scale, d) + 1)) for a, p in pieces)
+    step = 1 / (0.25 * length + penalty)
+    w = ahead = np.zeros(len(centre) + 1)
     for k in range(steps):
-        error = weight * (_sigmoid(z @ ahead[:-1].astype(np.float32) + ahead[-1]) - y)
-        slope = np.append(error.astype(np.float32) @ z, error.sum()) + penalty * np.append(ahead[:-1], 0)
+        slant = (ahead[:-1] / scale).astype(np.float32)
+        raw = np.concatenate([b @ slant for b in blocks]) - float(slant.astype(np.float64) @ centre) + ahead[-1]
+        error = weight * (_sigmoid(raw) - y)
+        total = sum((error[a:b].astype(np.float32) @ block).astype(np.float64) for a, b, block in zip(ends, ends[1:], blocks))
+        slope = np.append((total - error.sum() * centre) / scale, error.sum()) + penalty * np.append(ahead[:-1], 0)
         new = ahead - step * slope
         ahead, w = new + k / (k + 3) * (new - w), new
     return Logistic(centre, scale, w[:-1].astype(np.float32), float(w[-1]))
@@ -153,23 +163,28 @@ def co_train(text: np.ndarray, page: np.ndarray, y: np.ndarray, pool_text: np.nd
             new.append((pools[other][has], given[other][has]))
         return new
 
-    return _co_train(text, page, y, exchange, seed)
+    return _co_train([text, page], y, exchange, seed)
 
 
-def _co_train(text: np.ndarray, page: np.ndarray, y: np.ndarray, exchange: Callable[[list[Logistic]], Received],
+def _co_train(rows: list[np.ndarray], y: np.ndarray, exchange: Callable[[list[Logistic]], Received],
               seed: int = 0) -> CoTrained | None:
-    """As ``co_train``; ``exchange`` gives the pseudo-labels that the views receive in a round."""
+    """As ``co_train``; ``exchange`` gives the pseudo-labels that the views receive in a round. ``rows``,
+    both views of the labelled rows, is emptied, so that they are not held twice."""
     held = np.random.default_rng(seed).random(len(y)) < HOLDOUT
     if min(np.bincount(y[~held], minlength=2)) < 5 or min(np.bincount(y[held], minlength=2)) < 2:
         return None
-    views = [text, page]
+    shown, views = [], []
+    while rows:
+        view = rows.pop(0)
+        shown.append(view[~held])
+        views.append(view[held])
+        del view
     given = [[] for _ in views]
 
     def fitted(k: int) -> Logistic:
-        x = np.concatenate([views[k][~held], *(rows for rows, _ in given[k])])
         target = np.concatenate([y[~held], *(label for _, label in given[k])])
         weight = np.where(np.arange(len(target)) < (~held).sum(), 1.0, 0.5)
-        return fit_logistic(x, target, weight)
+        return fit_logistic([shown[k], *(rows for rows, _ in given[k])], target, weight)
 
     models = [fitted(k) for k in range(2)]
     for _ in range(ROUNDS):
@@ -179,8 +194,8 @@ def _co_train(text: np.ndarray, page: np.ndarray, y: np.ndarray, exchange: Calla
         for mine, rows in zip(given, new):
             mine.append(rows)
         models = [fitted(k) for k in range(2)]
-    models = [m.calibrated(v[held], y[held]) for m, v in zip(models, views)]
-    odds = np.stack([m.odds(v[held]) for m, v in zip(models, views)], axis=1)
+    models = [m.calibrated(v, y[held]) for m, v in zip(models, views)]
+    odds = np.stack([m.odds(v) for m, v in zip(models, views)], axis=1)
     both = fit_logistic(odds, y[held], penalty=1e-2)
     good = np.sort(_sigmoid(both.odds(odds[y[held] == 1])))
     return CoTrained(*models, both, float(min(0.5, good[int(FALSE_REJECTION * len(good))])))
@@ -227,14 +242,21 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         """Both views, y and key of one row per id."""
         rows = rows.groupBy("doc_id").agg(F.min(F.struct("key", *about, "y")).alias("row")).select("row.*")
         found = rows.mapInArrow(features, "y int, key long, t binary, p binary").toArrow()
-        found = found.sort_by("key")  # the result must not depend on the order of arrival
+        # The result must not depend on the order of arrival.
+        order = np.argsort(found["key"].to_numpy(), kind="stable")
+        place = np.empty(len(order), int)
+        place[order] = np.arange(len(order))
+        y, key = found["y"].to_numpy()[order], found["key"].to_numpy()[order]
         sides = []
         for name, width in (("t", TRIGRAMS + 3), ("p", PLACES + 12)):
             out = np.empty((found.num_rows, width), np.float32)
-            for k, value in enumerate(found[name]):
+            for k, value in zip(place, found[name]):
                 out[k] = np.frombuffer(value.as_buffer(), np.float32)
             sides.append(out)
-        return *sides, found["y"].to_numpy(), found["key"].to_numpy()
+            found = found.drop_columns([name])
+        del found
+        pa.default_memory_pool().release_unused()  # the driver's memory is better free for the JVM
+        return *sides, y, key
 
     # Ids of any label, also an unclear one, are not exchanged.
     marked_ids = labels.select(F.col(id_col).alias("doc_id")).distinct()
@@ -263,6 +285,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 labels_of[1 - k] |= {r.key: label for r in best}
         for k in range(2):
             given[k] += labels_of[k]
+        release(scored)
         chosen = sorted({*labels_of[0], *labels_of[1]})
         text, page, _, key = fetched(source.filter(F.col("key").isin(chosen)).withColumn("y", F.lit(-1)))
         new = []
@@ -272,8 +295,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return new
 
     # At most LABELLED ids, so the broadcast is bounded.
-    text, page, y, _ = fetched(source.join(F.broadcast(known), "doc_id"))
-    return _co_train(text, page, y, exchange)
+    *rows, y, _ = fetched(source.join(F.broadcast(known), "doc_id"))
+    return _co_train(rows, y, exchange)
 
 
 def score_documents(docs: DataFrame, model: CoTrained | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
