@@ -135,7 +135,7 @@ def test_pseudo_labels_come_from_all_unlabelled_documents(spark, monkeypatch):
     monkeypatch.setattr(cotraining, "EXCHANGED", 5_000)
     monkeypatch.setattr(cotraining, "ROUNDS", 1)
 
-    def spied(text, page, y, exchange):
+    def spied(rows, y, exchange):
         seen.append(len(y))
 
         def counted(models):
@@ -143,7 +143,7 @@ def test_pseudo_labels_come_from_all_unlabelled_documents(spark, monkeypatch):
             taken.append(max(len(label) for _, label in new))
             return new
 
-        return plain(text, page, y, counted)
+        return plain(rows, y, counted)
 
     monkeypatch.setattr(cotraining, "_co_train", spied)
     assert cotraining.train(docs, labels) is not None
