@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import tempfile
@@ -78,6 +79,16 @@ def drop_scratch(spark: SparkSession) -> None:
     _delete(spark, os.path.join(scratch_root(spark), "flowsentry", spark.sparkContext.applicationId))
 
 
+def drop_shuffles(spark: SparkSession) -> None:
+    """Let the executors delete the shuffle files of finished work now.
+
+    Spark does so when the driver's JVM happens to collect what refers to them, which a driver with
+    little to do puts off while disks fill. Call it after steps that shuffle more than they keep.
+    """
+    gc.collect()  # Python's objects hold on to the JVM's
+    spark._jvm.System.gc()
+
+
 def release(df: DataFrame) -> None:
     """Delete the scratch table that ``materialise`` gave as ``df``, once nothing reads it any more."""
     path = getattr(df, "_scratch_path", None)
