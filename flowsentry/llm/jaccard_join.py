@@ -29,11 +29,11 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from flowsentry.functions.session import materialise, release
+from flowsentry.functions.session import drop_shuffles, materialise, release
 
 from .common import binary, fresh, row_hashes, slices
 from .shingles import mix, shingle_sets
@@ -292,12 +292,17 @@ def connected_components(edges: DataFrame) -> DataFrame:
     def both_ways(e: DataFrame) -> DataFrame:
         return e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
-    def state(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).head())
-
-    edges = materialise(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct(), "edges")
-    seen = None
-    while seen != (seen := state(edges)):
+    def written(e: DataFrame, label: str) -> tuple[DataFrame, tuple]:
+        """The written edges, and their number and hash sum, which come with the writing."""
+        seen = Observation()
+        total = F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
+        table = materialise(e.observe(seen, F.count(F.lit(1)).alias("n"), total.alias("total")), label)
+        return table, (seen.get["n"], seen.get["total"])
+
+    edges, state = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct(), "edges")
+    before = None
+    while state != before and state[0]:
+        before = state
         every = both_ways(edges)
         lowest = every.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = every.filter("b > a").join(lowest, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").distinct()
@@ -306,7 +311,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         lowest = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(lowest, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(
             lowest.select("a", F.col("m").alias("b"))).filter("a != b").distinct()
-        edges = materialise(small, "small-star")
+        edges, state = written(small, "small-star")
         release(large)
     found = materialise(edges.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(
         edges.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()), "components")
@@ -385,20 +390,26 @@ def _components(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame,
     lists = lists.filter("earlies > 0 and members > 1").groupBy("members", "x", "y").agg(F.min("token").alias("token"))
     kept = materialise(postings.join(lists.select("token", "members"), "token"), "lists")
     release(postings)
+    del postings, lists
+    drop_shuffles(docs.sparkSession)  # a row per token of every prefix
     short = kept.filter(F.col("members") <= SHORT).drop("members").join(classes.select("id", "n", *_folded()), "id")
     long = kept.filter(F.col("members") > SHORT).drop("members").join(classes.select("id", "n", *_BITS), "id")
     short, long = materialise(short, "short-lists"), materialise(long, "long-lists")
     release(kept)
     pairs = materialise(_pairs(short, _other(short), F.col("id") < F.col("id_"), _FEW), "pairs")
     release(short)
+    del kept, short
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).unionByName(long.select("id")).distinct()
     wanted = materialise(classes.join(ids, "id", "left_semi").select("id", "f1", "f2", F.col("least.doc_id").alias("doc_id")), "wanted")
     sets = _candidate_sets(docs, wanted.select("doc_id"), id_col, text_col).join(wanted.drop("doc_id"), ["f1", "f2"])
     # A class may be met in several documents; one set of it is enough.
     sets = materialise(sets.groupBy("id").agg(F.first("tokens").alias("tokens")), "sets")
     release(wanted)
+    drop_shuffles(docs.sparkSession)  # the lists' pairs and whole sets
     links = materialise(_verified(pairs, sets), "verified")
     release(pairs)
+    del pairs, ids, wanted
+    drop_shuffles(docs.sparkSession)
     linked = _link_long_lists(long, links, sets, ROUNDS)
     for done in (links, long, sets):
         release(done)
