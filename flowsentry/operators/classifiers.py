@@ -1,7 +1,7 @@
 """The five classifiers behind one interface: ``attach`` adds a score and a 0/1 label.
 
 Every model reads the array column ``features``. Linear models score as plain
-expressions inside codegen, the forest through its broadcast Spark ML model.
+expressions inside codegen, the forest as flat arrays over whole batches.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from flowsentry.functions.columns import apply_threshold, linear_score, logistic
 from flowsentry.functions.session import write_json
+from flowsentry.operators.forest import ForestModel, from_library, grow_forest
 from flowsentry.operators.newton import MAX_SCANS, Problem, solve
 
 # Penalty grid of the linear models.
@@ -34,7 +35,7 @@ FOREST_CANDIDATES = (
     {"n_estimators": 200, "max_depth": 30, "min_samples_split": 2, "min_samples_leaf": 2, "max_features": "0.7"},
     {"n_estimators": 250, "max_depth": 30, "min_samples_split": 5, "min_samples_leaf": 2, "max_features": "0.7"},
 )
-MAX_DEPTH = 30  # the deepest tree Spark ML grows; what "no limit" comes to
+MAX_DEPTH = 30  # the deepest tree that Spark ML grows
 VECTOR = "_vector"
 
 
@@ -71,7 +72,7 @@ def score_column(probability: bool = True, column: str | None = None) -> Column:
 
 @dataclass
 class VectorModel:
-    """A Spark ML classifier with probabilities: the forest, or the sigmoid perceptron."""
+    """A Spark ML classifier with probabilities: the sigmoid perceptron, or a forest stored as such."""
 
     model: RandomForestClassificationModel | MultilayerPerceptronClassificationModel
     kind: str
@@ -124,9 +125,9 @@ def forest_estimator(
     )
 
 
-def applied_parameters(model: str, parameters: dict) -> dict:
+def applied_parameters(model: str, parameters: dict, solver: str = "histogram") -> dict:
     """The parameters that a fit really used, as result documents record them."""
-    if model != "Random Forest":
+    if model != "Random Forest" or solver != "library":
         return dict(parameters)
     depth = parameters.get("max_depth")
     return parameters | {
@@ -178,9 +179,11 @@ def fit_linear_svm(
     return LinearModel([float(w) for w in model.coefficients], float(model.intercept), False, 0.0)
 
 
-def fit_forest(train: DataFrame, seed: int = 42, **parameters) -> VectorModel:
-    fitted = forest_estimator(seed=seed, **parameters).fit(training_frame(train))
-    return VectorModel(fitted, "forest")
+def fit_forest(train: DataFrame, seed: int = 42, solver: str = "histogram", key: str | None = None, **parameters) -> ForestModel:
+    """``histogram`` applies all parameters as they are; ``library`` is Spark ML's forest."""
+    if solver == "histogram":
+        return grow_forest(train, seed, key=key, **parameters)
+    return from_library(train.sparkSession, forest_estimator(seed=seed, **parameters).fit(training_frame(train)))
 
 
 def fit_mlp(
@@ -194,10 +197,10 @@ def fit_mlp(
     return VectorModel(estimator.fit(training_frame(train)), "perceptron")
 
 
-def feature_importances(spark: SparkSession, model: VectorModel, names: list[str]) -> DataFrame:
+def feature_importances(spark: SparkSession, model: ForestModel | VectorModel, names: list[str]) -> DataFrame:
     """(feature, importance) rows, most important first."""
-    values = [float(v) for v in model.model.featureImportances.toArray()]
-    rows = list(zip(names, values, strict=True))
+    values = model.importances if isinstance(model, ForestModel) else model.model.featureImportances.toArray()
+    rows = list(zip(names, map(float, values), strict=True))
     return spark.createDataFrame(rows, "feature string, importance double").orderBy(
         F.col("importance").desc(), "feature")
 

@@ -117,14 +117,23 @@ def repeated_columns(df: DataFrame, columns: Sequence[str]) -> dict[str, str]:
 
 
 def clean_training(
-    df: DataFrame, features: Sequence[str], label: str | None = None
+    df: DataFrame, features: Sequence[str], label: str | None = None, key: str | None = None
 ) -> tuple[DataFrame, list[str]]:
-    """Distinct training rows, and the features left without constant or repeated columns."""
+    """Distinct training rows, and the features left without constant or repeated columns.
+
+    With ``key``, each distinct row comes with the smallest key of those it stands for. Equal rows
+    are put together before the shuffle, so a row that is repeated very often weighs on no task.
+    """
     kept = [*features, *([label] if label else [])]
-    rows = usable_rows(df, features).select(*[col(c) for c in kept]).distinct()
+    usable = usable_rows(df, features)
+    if key:
+        rows = usable.groupBy(*[col(c) for c in kept]).agg(F.min(col(key)).alias(key))
+    else:
+        rows = usable.select(*[col(c) for c in kept]).distinct()
     distinct = materialise(rows, "distinct")  # scanned up to four times
     constant = set(constant_columns(distinct, features))
     varying = [f for f in features if f not in constant]
     repeats = repeated_columns(distinct, varying) if varying else {}
     left = [f for f in varying if f not in repeats]
-    return distinct.select(*[col(c) for c in [*left, *([label] if label else [])]]), left
+    chosen = [*([key] if key else []), *left, *([label] if label else [])]
+    return distinct.select(*[col(c) for c in chosen]), left

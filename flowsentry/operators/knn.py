@@ -1,7 +1,9 @@
 """Exact k-nearest neighbours over a partitioned training table.
 
 The training rows are cut into leaves of a split tree and, within a leaf, along a space-filling
-order into blocks of a fixed number of rows, each with its bounding box. The number of leaves is
+order into blocks of a fixed number of rows. A block's box bounds its rows along the sample's principal
+axes, which follow the table where its own columns do not, and their distances to a few pivot rows, which
+by the triangle inequality bound a distance as well. The number of leaves is
 bounded, so their boxes travel with every task; the number of blocks grows with the table, and a
 leaf's block boxes stay with the leaf. A query first searches the nearest blocks that together hold
 k rows, which bounds the distance of its k-th neighbour; it then visits the leaves, and in them the
@@ -10,8 +12,9 @@ a task gets a block once, with all queries sent there. A leaf or block visited b
 is copied and its queries are spread over the copies. Only the best k per query and block leave a
 task.
 
-Box bounds prune well while few of the features matter. In tens of equally important dimensions
-every box may come within the bound, and the exact answer then takes every query to every block.
+Boxes prune well while few directions matter. In tens of equally important, unrelated dimensions all
+distances are alike, every box comes within the bound, and the exact answer takes every query to every
+block.
 
 Distances are Euclidean in double precision; ties go to the smaller row key. Queries are told apart
 by numbers of their own, so their keys may be of any type, repeat, or be null. Training keys may be
@@ -20,6 +23,7 @@ of any type that orders; a null key comes first.
 
 from __future__ import annotations
 
+import base64
 import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -43,6 +47,7 @@ TOP_LEAVES = 4096  # leaves, whose boxes every task holds
 FLAT_BOXES = 16_384  # up to here the block boxes themselves travel, which saves two shuffles
 SAMPLE_ROWS = 65_536
 ORDER_DIMENSIONS, ORDER_BITS = 8, 7
+PIVOTS, PIVOT_SAMPLE = 8, 4_096
 QUERIES_PER_COPY = 100_000
 CELLS = 1 << 21  # entries of a distance matrix held at once
 SLACK = 1 + 1e-9
@@ -55,6 +60,53 @@ HIT = np.dtype([("row", np.int64), ("d2", np.float64), ("id", np.int64), ("label
 HIT_TYPE = pa.list_(pa.struct([("d2", pa.float64()), ("id", pa.int64()), ("label", pa.int32())]))
 
 
+@dataclass
+class Frame:
+    """The coordinates that boxes are in: turned axes (orthonormal columns), then distances to pivots."""
+
+    axes: np.ndarray
+    pivots: np.ndarray
+
+    @classmethod
+    def of(cls, sample: np.ndarray) -> Frame:
+        """Principal axes of the sample, widest first, and rows of it far from each other."""
+        centred = sample - sample.mean(axis=0)
+        _, axes = np.linalg.eigh(centred.T @ centred)
+        points = sample[:PIVOT_SAMPLE]
+        pivots, far = [], ((points - points.mean(axis=0)) ** 2).sum(axis=1)
+        for _ in range(min(PIVOTS, len(points))):
+            pivots.append(points[int(far.argmax())])
+            away = ((points - pivots[-1]) ** 2).sum(axis=1)
+            far = away if len(pivots) == 1 else np.minimum(far, away)
+        return cls(np.ascontiguousarray(axes[:, ::-1]), np.array(pivots))
+
+    @property
+    def width(self) -> int:
+        return len(self.axes)
+
+    def turned(self, x: np.ndarray) -> np.ndarray:
+        return x.astype(np.float64) @ self.axes
+
+    def coordinates(self, x: np.ndarray) -> np.ndarray:
+        x = x.astype(np.float64)
+        away = [np.sqrt(((x - p) ** 2).sum(axis=1)) for p in self.pivots]
+        return np.column_stack([self.turned(x), *away])
+
+    def box(self, x: np.ndarray) -> tuple[bytes, bytes]:
+        """Bounds of the rows' coordinates, a little wider than rounding may move them."""
+        found = self.coordinates(x)
+        margin = 1e-13 * self.width * (np.abs(x).max(initial=0) + 1e-30)
+        low, high = ((found.min(0) - margin).astype(np.float32), (found.max(0) + margin).astype(np.float32))
+        return (np.nextafter(low, np.float32(-np.inf)).tobytes(), np.nextafter(high, np.float32(np.inf)).tobytes())
+
+    def to_dict(self) -> dict:
+        return {name: base64.b64encode(np.ascontiguousarray(getattr(self, name)).tobytes()).decode() for name in ("axes", "pivots")}
+
+    @classmethod
+    def from_dict(cls, d: dict, width: int) -> Frame:
+        return cls(*(np.frombuffer(base64.b64decode(d[name])).reshape(-1, width) for name in ("axes", "pivots")))
+
+
 def split_space(sample: np.ndarray, leaves: int) -> list[tuple]:
     """Split planes of a balanced tree over the sample: (dimension, threshold, left, right).
 
@@ -89,14 +141,15 @@ def split_space(sample: np.ndarray, leaves: int) -> list[tuple]:
     return nodes if root >= 0 else []
 
 
-def leaf_of(nodes: list[tuple]):
-    """An Arrow UDF giving the leaf number of each feature array."""
+def leaf_of(nodes: list[tuple], frame: Frame):
+    """An Arrow UDF giving the leaf number of each feature array, by its turned coordinates."""
     table = nodes or [(0, float("inf"), -1, -1)]
     dim, cut, left, right = (np.array(c) for c in zip(*table))
 
     @F.arrow_udf("int")
     def leaf(features: pa.Array) -> pa.Array:
         x = matrix(features)
+        x = frame.turned(x) if len(x) else x
         at = np.zeros(len(x), dtype=np.int64)
         while len(x) and (at >= 0).any():
             inner = np.flatnonzero(at >= 0)
@@ -108,8 +161,8 @@ def leaf_of(nodes: list[tuple]):
     return leaf
 
 
-def space_order(sample: np.ndarray):
-    """An Arrow UDF giving each feature array its place on a curve through the widest dimensions.
+def space_order(sample: np.ndarray, frame: Frame):
+    """An Arrow UDF giving each feature array its place on a curve through the widest turned axes.
 
     The bits of the cell numbers are interleaved, so rows near each other on the curve are near
     each other in space.
@@ -121,6 +174,7 @@ def space_order(sample: np.ndarray):
     @F.arrow_udf("long")
     def place(features: pa.Array) -> pa.Array:
         x = matrix(features)
+        x = frame.turned(x) if len(x) else x
         out = np.zeros(len(x), np.int64)
         if len(x) and len(use):
             top = (1 << ORDER_BITS) - 1
@@ -133,15 +187,16 @@ def space_order(sample: np.ndarray):
     return place
 
 
-def pack_blocks(block_rows: int):
+def pack_blocks(block_rows: int, frame: Frame):
     """Cut rows that arrive sorted by leaf into blocks of block_rows to twice as many.
 
     A block never mixes leaves; only a leaf that is smaller gives a smaller block.
     """
 
     def block(part: int, number: int, leaf: int, ids, labels, x) -> dict:
+        low, high = frame.box(x)
         return {"leaf": int(leaf), "block": part << 33 | number, "n": len(ids),
-                "lo": x.min(0).tobytes(), "hi": x.max(0).tobytes(), "ids": ids.tobytes(),
+                "lo": low, "hi": high, "ids": ids.tobytes(),
                 "labels": labels.tobytes(), "x": np.ascontiguousarray(x).tobytes()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,13 +239,18 @@ PACK_ARROW = pa.schema([
     ("bound", pa.binary())])
 
 
-def box_distances(q: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    """Squared distance of every query to every box; a lower bound for the box's rows."""
+def box_distances(q: np.ndarray, lo: np.ndarray, hi: np.ndarray, width: int) -> np.ndarray:
+    """Squared distance of every query to every box, a lower bound for the box's rows: over the first
+    ``width`` coordinates together, or over any single distance to a pivot behind them."""
     total = np.zeros((len(q), len(lo)))
     for j in range(q.shape[1]):
         gap = np.maximum(lo[None, :, j] - q[:, None, j], q[:, None, j] - hi[None, :, j])
         np.maximum(gap, 0, out=gap)
-        total += gap * gap
+        gap *= gap
+        if j < width:
+            total += gap
+        else:
+            np.maximum(total, gap, out=total)
     return total
 
 
@@ -272,12 +332,12 @@ class Boxes:
         return cls(table.column(name).to_numpy()[order].astype(np.int64), table.column("n").to_numpy()[order],
                    stacked("lo")[order], stacked("hi")[order])
 
-    def route(self, q: np.ndarray, bound: np.ndarray, k: int | None) -> list[tuple[int, np.ndarray]]:
+    def route(self, q: np.ndarray, bound: np.ndarray, k: int | None, frame: Frame) -> list[tuple[int, np.ndarray]]:
         """(box, queries) to visit: the nearest boxes that hold k rows together, or, without k,
         all within the bound."""
         picked = []
         for part in chunks(len(q), len(self.names)):
-            near = box_distances(q[part].astype(np.float64), self.lo, self.hi)
+            near = box_distances(frame.coordinates(q[part]), self.lo, self.hi, frame.width)
             if k is None:
                 take = near <= bound[part, None] * SLACK
             else:
@@ -310,7 +370,8 @@ class KnnIndex:
     width: int
     leaves: Boxes
     flat: Boxes | None
-    names: DataFrame | None = None
+    names: DataFrame | None
+    frame: Frame
 
     @classmethod
     def fit(
@@ -341,31 +402,37 @@ class KnnIndex:
         fraction = min(1.0, SAMPLE_ROWS / n)
         sample = rows.select("features").sample(fraction, seed).toArrow()
         points = matrix(sample.column("features")).astype(np.float64)
-        leaf = leaf_of(split_space(points, leaves) if len(points) else [])
+        if not len(points):
+            points = matrix(rows.select("features").limit(1).toArrow().column("features")).astype(np.float64)
+        frame = Frame.of(points)
+        points = frame.turned(points)
+        leaf = leaf_of(split_space(points, leaves), frame)
         parts = max(1, min(leaves, rows.sparkSession.sparkContext.defaultParallelism * 4))
         packed = (
-            rows.withColumns({"leaf": leaf("features"), "place": space_order(points)("features")})
+            rows.withColumns({"leaf": leaf("features"), "place": space_order(points, frame)("features")})
             .repartitionByRange(parts, "leaf").sortWithinPartitions("leaf", "place", "id")
             .select("leaf", "id", "label", "features")
-            .mapInArrow(pack_blocks(block_rows), BLOCK_SCHEMA)
+            .mapInArrow(pack_blocks(block_rows, frame), BLOCK_SCHEMA)
         )
-        return cls.over(materialise(packed, "knn-blocks"), k_max, names)
+        return cls.over(materialise(packed, "knn-blocks"), k_max, names, frame)
 
     @classmethod
-    def over(cls, blocks: DataFrame, k_max: int, names: DataFrame | None = None) -> KnnIndex:
+    def over(cls, blocks: DataFrame, k_max: int, names: DataFrame | None, frame: Frame) -> KnnIndex:
         boxes = blocks.select("leaf", "block", F.col("n").cast("long").alias("n"), "lo", "hi")
         found = boxes.groupBy("leaf").applyInArrow(_leaf_box, "leaf int, n long, lo binary, hi binary")
         leaves = Boxes.of(found.toArrow(), "leaf")
         flat = Boxes.of(boxes.toArrow(), "block") if boxes.count() <= FLAT_BOXES else None
-        return cls(blocks, k_max, leaves.lo.shape[1], leaves, flat, names)
+        return cls(blocks, k_max, frame.width, leaves, flat, names, frame)
 
     def _pack(self, queries: DataFrame, boxes: Boxes, k: int | None) -> DataFrame:
         """Pack (qid, features, bound) rows by the boxes they go to."""
+        frame = self.frame
+
         def run(batches):
             for batch in batches:
                 if batch.num_rows:
                     q, bound = matrix(batch.column("features")), batch.column("bound").to_numpy()
-                    yield packs(boxes.names, boxes.route(q, bound, k), batch.column("qid").to_numpy(), q, bound)
+                    yield packs(boxes.names, boxes.route(q, bound, k, frame), batch.column("qid").to_numpy(), q, bound)
 
         return materialise(queries.mapInArrow(run, PACK_SCHEMA), "knn-packs")
 
@@ -384,12 +451,12 @@ class KnnIndex:
         """Packs by block, straight or by way of the leaves."""
         if self.flat is not None:
             return self._pack(queries, self.flat, k)
-        width = self.width
+        width, frame = self.width, self.frame
 
         def route(left: pa.Table, right: pa.Table) -> pa.Table:
             qids, q, bound = unpacked(left, width)
             boxes = Boxes.of(right, "block")
-            return pa.Table.from_batches([packs(boxes.names, boxes.route(q, bound, k), qids, q, bound)])
+            return pa.Table.from_batches([packs(boxes.names, boxes.route(q, bound, k, frame), qids, q, bound)])
 
         boxes = self.blocks.select(
             F.col("leaf").cast("long").alias("place"), "block", F.col("n").cast("long").alias("n"), "lo", "hi")
@@ -508,13 +575,15 @@ class KnnModel:
             self.index.names.write.parquet(f"{path}/{folder}/names")
         write_json(spark, path + "/kind", {
             "kind": "knn", "k": self.k, "weights": self.weights, "k_max": self.index.k_max,
-            "folder": folder, "named": self.index.names is not None})
+            "folder": folder, "named": self.index.names is not None,
+            "width": self.index.width, "frame": self.index.frame.to_dict()})
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, d: dict) -> KnnModel:
         folder = f"{path}/{d['folder']}"
         names = spark.read.parquet(folder + "/names") if d["named"] else None
-        index = KnnIndex.over(spark.read.parquet(folder + "/blocks"), d["k_max"], names)
+        frame = Frame.from_dict(d["frame"], d["width"])
+        index = KnnIndex.over(spark.read.parquet(folder + "/blocks"), d["k_max"], names, frame)
         return cls(index, d["k"], d["weights"])
 
 

@@ -4,6 +4,10 @@ One Spark job per epoch. Each task starts from the current weights, runs mini-ba
 over its own rows and returns weights, moments and row count; the averages, weighted by
 rows, start the next epoch. Rows stream through Arrow batches, so a task never holds its
 partition. Rows set aside for validation are scored in the same job.
+
+Averaging needs some steps between two averages to come near to what one worker learns, so the
+number of workers follows from the number of rows: one for every ROWS_PER_TASK, TASKS at most. A
+single worker has few rows, which it holds, and trains many epochs in a job.
 """
 
 from __future__ import annotations
@@ -31,9 +35,10 @@ ARCHITECTURE = {
 }
 # Candidate penalties.
 ALPHA_VALUES = (1e-5, 1e-4, 1e-3, 1e-2)
-# Workers that train side by side between two averagings. The trained weights depend on this
-# setting and on nothing else of the cluster, so it is stored with the model.
-TASKS = 8
+# Workers that train side by side between two averagings: one for so many rows, and at most so many.
+# The trained weights depend on their number and on nothing else of the cluster; it is stored with the model.
+ROWS_PER_TASK, TASKS = 16_384, 64
+EPOCHS_PER_JOB = 50  # of a single worker
 BETA1, BETA2, EPSILON, TOLERANCE = 0.9, 0.999, 1e-8, 1e-4
 TOTALS = 5  # rows, rows * steps, loss, validation rows, correct validation rows
 
@@ -119,6 +124,78 @@ def epoch_task(state: np.ndarray, steps: int, layers: list[int], alpha: float, r
     return run
 
 
+@dataclass
+class Progress:
+    """Where a single worker stands between two jobs."""
+
+    weights: np.ndarray
+    mean: np.ndarray
+    square: np.ndarray
+    best_weights: np.ndarray
+    steps: int = 0
+    epoch: int = 0
+    best: float = -1.0
+    waited: int = 0
+    history: list[tuple[float, float]] = field(default_factory=list)  # loss, validation accuracy
+
+    def packed(self) -> np.ndarray:
+        numbers = [self.steps, self.epoch, self.best, self.waited, len(self.weights)]
+        return np.concatenate([numbers, self.weights, self.mean, self.square, self.best_weights, np.ravel(self.history)])
+
+    @classmethod
+    def unpacked(cls, flat: np.ndarray) -> Progress:
+        steps, epoch, best, waited, size = flat[:5]
+        parts, rest = flat[5:5 + 4 * int(size)].reshape(4, -1), flat[5 + 4 * int(size):]
+        history = [tuple(pair) for pair in rest.reshape(-1, 2).tolist()]
+        return cls(*parts.astype(np.float32), int(steps), int(epoch), float(best), int(waited), history)
+
+
+def single_task(state: np.ndarray, layers: list[int], alpha: float, rate: float, batch_size: int, seed: int,
+                last_epoch: int, patience: int):
+    """The mapInArrow function of a single worker: all rows in, its progress after some epochs out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [(matrix(b.column("features")), b.column("label").to_numpy(zero_copy_only=False).astype(np.float32),
+                 b.column("is_val").to_numpy(zero_copy_only=False)) for b in batches if b.num_rows]
+        if not rows:
+            return
+        x, y, val = (np.concatenate(part) for part in zip(*rows))
+        held, x, y = (x[val], y[val]), x[~val], y[~val]
+        now = Progress.unpacked(state)
+        while now.epoch < last_epoch and now.waited < patience:
+            order, cost = np.random.default_rng(seed + now.epoch).permutation(len(y)), 0.0
+            for at in range(0, len(y), batch_size):
+                mine = order[at:at + batch_size]
+                loss, g = gradient(x[mine], y[mine], unpack(now.weights, layers), alpha)
+                cost, now.steps = cost + loss, now.steps + 1
+                now.mean = BETA1 * now.mean + (1 - BETA1) * g
+                now.square = BETA2 * now.square + (1 - BETA2) * g * g
+                scale = np.float32(rate * math.sqrt(1 - BETA2 ** now.steps) / (1 - BETA1 ** now.steps))
+                now.weights = now.weights - scale * now.mean / (np.sqrt(now.square) + np.float32(EPSILON))
+            right = (forward(held[0], unpack(now.weights, layers))[-1][:, 0] >= 0.5) == held[1] if len(held[1]) else np.zeros(1)
+            accuracy = float(np.mean(right))
+            now.epoch += 1
+            now.history.append((cost / max(1, len(y)), accuracy))
+            now.waited = 0 if accuracy > now.best + TOLERANCE else now.waited + 1
+            if accuracy > now.best:
+                now.best, now.best_weights = accuracy, now.weights
+        yield vector_batch(now.packed())
+
+    return run
+
+
+def _fit_alone(table: DataFrame, layers: list[int], weights: np.ndarray, max_epochs: int, patience: int, **training) -> NetworkModel:
+    zeros = np.zeros(len(weights))
+    now = Progress(weights, zeros, zeros, weights)
+    while now.epoch < max_epochs and now.waited < patience:
+        task = single_task(now.packed(), layers, last_epoch=min(max_epochs, now.epoch + EPOCHS_PER_JOB), patience=patience, **training)
+        now = Progress.unpacked(sum_over_tasks(table, task, 1))
+    history = [{"epoch": k, "loss": float(loss), "validation_score": float(score)}
+               for k, (loss, score) in enumerate(now.history, 1)]
+    return NetworkModel(layers, now.best_weights.astype(np.float64), history=history, epochs_completed=now.epoch,
+                        best_validation_score=max(0.0, now.best), tasks=1)
+
+
 @dataclass
 class NetworkModel:
     """A trained network; scoring runs over whole Arrow batches."""
@@ -129,7 +206,7 @@ class NetworkModel:
     history: list[dict] = field(default_factory=list)
     epochs_completed: int = 0
     best_validation_score: float = 0.0
-    tasks: int = TASKS
+    tasks: int = 1
 
     def attach(self, df: DataFrame, score: str, label: str) -> DataFrame:
         layers, weights = self.layers, self.weights.astype(np.float32)
@@ -168,6 +245,11 @@ class NetworkModel:
                    d["best_validation_score"], d["tasks"])
 
 
+def tasks_for(rows: int) -> int:
+    """Workers for a table of so many rows."""
+    return max(1, min(TASKS, rows // ROWS_PER_TASK))
+
+
 def _training_table(train: DataFrame, key: str, seed: int, fraction: float, tasks: int) -> DataFrame:
     """Training rows with a validation mark, in ``tasks`` partitions, each in hashed order.
 
@@ -198,16 +280,23 @@ def fit_mlp_adam(
     learning_rate: float = ARCHITECTURE["learning_rate_init"],
     validation_fraction: float = ARCHITECTURE["validation_fraction"],
     patience: int = ARCHITECTURE["n_iter_no_change"],
-    tasks: int = TASKS,
+    tasks: int | None = None,
 ) -> NetworkModel:
     """Train until the validation accuracy has not improved for ``patience`` epochs.
 
-    ``tasks`` is the number of parallel workers; the same number gives the same weights on
-    any cluster. The driver only ever holds weights, which do not grow with the data.
+    ``tasks`` is the number of parallel workers, by default as many as the rows keep busy; the
+    same number gives the same weights on any cluster. The driver only ever holds weights, which
+    do not grow with the data.
     """
+    tasks = tasks_for(train.count()) if tasks is None else tasks
     table = _training_table(train, key, seed, validation_fraction, tasks)
     layers = [len(table.select("features").head().features), *hidden, 1]
     weights = initial_weights(layers, seed)
+    if tasks == 1:
+        model = _fit_alone(table, layers, weights, max_epochs, patience, alpha=alpha, rate=learning_rate,
+                           batch_size=batch_size, seed=seed)
+        table.unpersist()
+        return model
     state = np.concatenate([weights, np.zeros(2 * len(weights))])
     model = NetworkModel(layers, weights, tasks=tasks)
     best, best_weights, waited, steps = -1.0, weights, 0, 0

@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import json
 from collections.abc import Sequence
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from flowsentry.functions.columns import col
 from flowsentry.functions.session import materialise
-from flowsentry.operators.classifiers import VectorModel, feature_importances, run_timed
-from flowsentry.operators.cleaning import usable_rows
+from flowsentry.operators.classifiers import feature_importances, run_timed
+from flowsentry.operators.cleaning import clean_training, usable_rows
 from flowsentry.operators.features import TOP_FEATURES, FlowPreprocessor
+from flowsentry.operators.forest import ForestModel
 from flowsentry.operators.knn import KnnModel
 from flowsentry.operators.metrics import evaluate
 from flowsentry.operators.mlp import ARCHITECTURE, NetworkModel
@@ -24,7 +26,7 @@ from flowsentry.sources.store import Detector
 
 def prepare(
     df: DataFrame, profile: FlowProfile, key: str, seed: int = 42, fraction: float = 0.7,
-    k: int = TOP_FEATURES, method: str = "anova",
+    k: int = TOP_FEATURES, method: str = "anova", clean: bool = False,
 ) -> tuple[FlowPreprocessor, DataFrame, DataFrame]:
     """Clean, split, balance the training part, fit the preprocessing and write both parts.
 
@@ -32,6 +34,9 @@ def prepare(
     Rows without a label are left out.
     The source is read three times: for the keys the sampling works on, for the balanced
     training rows, and for the test features.
+
+    With ``clean``, equal training rows count once (as the one with the smallest key), and columns that
+    are constant in them or repeat another one are left out, before the classes are balanced.
     """
     labelled = binarise_label(usable_rows(df, profile.features), profile).filter(F.col("label").isNotNull())
     keys = materialise(labelled.select(col(key), "label"), "keys")
@@ -40,10 +45,16 @@ def prepare(
         keys = materialise(keys.repartition(cores), "keys")
         labelled = labelled.repartition(cores)
     in_train = split_filter(keys, key, "label", fraction, seed)
-    in_balance = balance_filter(keys.filter(in_train), key, "label", seed)
-    contract = [col(f) for f in profile.features if f not in (key, "label")]
-    rows = materialise(
-        labelled.filter(in_train & in_balance).select(col(key), "label", *contract), "train-rows")
+    contract = [f for f in profile.features if f not in (key, "label")]
+    if clean:
+        training, left = clean_training(labelled.filter(in_train), contract, "label", key)
+        profile = replace(profile, features=tuple(left), categoricals=tuple(c for c in profile.categoricals if c in left))
+        in_balance = balance_filter(training, key, "label", seed)
+        rows = materialise(training.filter(in_balance), "train-rows")
+    else:
+        in_balance = balance_filter(keys.filter(in_train), key, "label", seed)
+        rows = materialise(labelled.filter(in_train & in_balance).select(
+            col(key), "label", *[col(f) for f in contract]), "train-rows")
     preprocessor = FlowPreprocessor.fit(rows, profile, "label", k, method, seed)
     features = preprocessor.feature_array().alias("features")
     test = labelled.filter(~in_train)
@@ -95,7 +106,7 @@ def result_document(
         document["training_history"] = {
             "epochs_completed": model.epochs_completed,
             "best_validation_score": model.best_validation_score}
-    if isinstance(model, VectorModel) and model.kind == "forest":
+    if isinstance(model, ForestModel):
         ranked = feature_importances(spark, model, list(selected)).collect()
         document["feature_importances"] = [r.asDict() for r in ranked]
     return spark.createDataFrame([document], RESULT_DDL)

@@ -50,14 +50,15 @@ def seed_of(run):
 
 
 def write_results(results: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Result documents as JSON, in folders <run>/<dataset>_results by model.
+    """Result documents as JSON, in folders <run>/<model>/<dataset>_results.
 
-    The default replaces what a former run of the same study has left under ``path``.
+    The default replaces the documents of the same run, model and dataset and leaves the others.
     """
     folders = results.withColumns({
         "run_dir": F.col("run"), "model_dir": F.col("model"),
         "document": F.concat("dataset", F.lit("_results"))})
-    folders.write.partitionBy("run_dir", "model_dir", "document").json(path, mode=mode)
+    folders.write.partitionBy("run_dir", "model_dir", "document").option(
+        "partitionOverwriteMode", "dynamic").json(path, mode=mode)
 
 
 def read_documents(spark: SparkSession, path: str, pattern: str = "*.json") -> DataFrame:

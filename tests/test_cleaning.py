@@ -5,6 +5,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import Row, functions as F
 
 from flowsentry.operators import cleaning
+from flowsentry.plans.study import prepare
 from flowsentry.profiles import (
     CICIDS2017, UNSW_NB15, FlowProfile, binarise_label, load_profile, read_feature_contract,
 )
@@ -59,6 +60,27 @@ def test_clean_training_drops_repeats(spark):
     assert kept == ["x", "swapped"] and cleaned.count() == 2
 
 
+def test_clean_training_keeps_one_key_a_row(spark):
+    rows = [(k, float(k % 3), 7.0, float(k % 3), k % 2) for k in range(60)] + [(100, 0.0, 7.0, 0.0, 0)] * 2
+    df = spark.createDataFrame(rows, "id long, x double, one double, again double, label int")
+    cleaned, kept = cleaning.clean_training(df, ["x", "one", "again"], "label", "id")
+    assert kept == ["x"] and cleaned.columns == ["id", "x", "label"]
+    assert sorted(tuple(r) for r in cleaned.collect()) == [(k, float(k % 3), k % 2) for k in range(6)]
+
+
+def test_preparation_with_cleaning(spark):
+    profile = FlowProfile("t", "t", ("x", "one", "y", "kind"), ("kind",))
+    rows = [(k, float(k % 40), 1.0, float(k % 7), "ab"[k % 2], int(k % 40 > 25)) for k in range(2000)]
+    df = spark.createDataFrame(rows, "id long, x double, one double, y double, kind string, label int")
+    preprocessor, train, test = prepare(df, profile, "id", 1, clean=True)
+    assert "one" not in preprocessor.selected and {"x", "y"} <= set(preprocessor.selected)
+    kept = train.join(df.select("id", "x", "y", "kind"), "id")
+    assert kept.count() == train.count() == kept.select("x", "y", "kind").distinct().count()
+    counts = [r["count"] for r in train.groupBy("label").count().collect()]
+    assert len(set(counts)) == 1 and test.count() == 600
+    assert prepare(df, profile, "id", 1)[1].count() > train.count()
+
+
 def test_label_rule(spark):
     df = spark.createDataFrame([("BENIGN",), (" BENIGN ",), ("DDoS",)], ["Label"])
     assert [r.label for r in binarise_label(df, CICIDS2017).collect()] == [0, 0, 1]

@@ -9,6 +9,7 @@ from flowsentry.functions.session import drop_scratch, materialise, scratch_path
 from flowsentry.operators.classifiers import LinearModel
 from flowsentry.plans import catalog, surrogate
 from flowsentry.sources import flows, results as rs, store
+from flowsentry.streaming import scoring as streams
 
 
 def write_text(path, text):
@@ -45,7 +46,8 @@ def test_row_keys_follow_the_input(spark, tmp_path, same_header):
         write_text(tmp_path / "k" / f"{name}.csv", "v\n" + "".join(f"{i}\n" for i in range(start, stop)))
     keyed = flows.read_flow_strings(spark, str(tmp_path / "k"), same_header, row_key="key")
     assert [int(r.v) for r in keyed.orderBy("key").collect()] == list(range(900))
-    assert keyed.select("key").distinct().count() == 900
+    assert sorted(r.key for r in keyed.collect()) == list(range(900))
+    assert "Exchange rangepartitioning" not in keyed._jdf.queryExecution().toString()
     with pytest.raises(ValueError, match="column v"):
         flows.read_flow_strings(spark, str(tmp_path / "k"), same_header, row_key="v")
 
@@ -59,6 +61,49 @@ def test_documents_are_found_again_and_not_doubled(spark, tmp_path):
     assert sorted((r.run, r.model, r.testing_rows) for r in back.collect()) == [("run_10", "kNN", 6), ("run_2", "ANN", 5)]
 
 
+def test_blocks_beyond_the_bound_are_joined(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(flows, "MOST_BLOCKS", 1)
+    for name, start in (("a", 0), ("b", 50), ("c", 70)):
+        write_text(tmp_path / "k" / f"{name}.csv", "v\n" + "".join(f"{i}\n" for i in range(start, {"a": 50, "b": 70, "c": 99}[name])))
+    keyed = flows.read_flow_strings(spark, str(tmp_path / "k"), row_key="key")
+    assert all(int(r.v) == r.key for r in keyed.collect()) and keyed.count() == 99
+
+
+def test_runs_written_one_by_one_stay(spark, tmp_path):
+    frame = spark.createDataFrame([(f"run_{k}", "A", m, k) for k in (1, 2) for m in ("ANN", "kNN")],
+                                  "run string, dataset string, model string, testing_rows long")
+    for run in ("run_1", "run_2"):
+        rs.write_results(frame.filter(F.col("run") == run), str(tmp_path / "r"))
+    rs.write_results(frame.filter("run = 'run_1' and model = 'ANN'").withColumn("testing_rows", F.lit(9).cast("long")), str(tmp_path / "r"))
+    back = rs.read_documents(spark, str(tmp_path / "r")).collect()
+    assert sorted((r.run, r.model, r.testing_rows) for r in back) == [
+        ("run_1", "ANN", 9), ("run_1", "kNN", 1), ("run_2", "ANN", 2), ("run_2", "kNN", 2)]
+
+
+def test_a_stream_goes_on_past_what_it_cannot_read(spark, sf_dir, tmp_path):
+    events = surrogate.events(spark, sf_dir).drop("label_rate", "label_learn").limit(40)
+    detector = catalog.rule_detector(surrogate.events(spark, sf_dir))
+    rows = events.filter("per_k is not null and rate < 1e9").collect()[:6]
+    names = events.columns
+    text = lambda r, order: ",".join(str(r[n]) for n in order)
+    folder, out, aside, state = (str(tmp_path / n) for n in ("in", "out", "aside", "state"))
+
+    def score():
+        lines = streams.stream_lines(spark, folder)
+        streams.score_lines(lines, names, detector, "Linear SVM", out, aside, state).awaitTermination()
+        done = spark.read.schema("row_id string, Prediction string").parquet(out).collect()
+        return sorted(r.row_id for r in done), {r.reason: (r.lines, r.files) for r in streams.set_aside_counts(spark, aside).collect()}
+
+    write_text(tmp_path / "in" / "a.csv", "\n".join(["\ufeff" + ",".join(names), text(rows[0], names), "x,y", "",
+                                                     text(rows[1], names).replace(str(rows[1]["hour"]), "noon", 1)]) + "\n")
+    write_text(tmp_path / "in" / "b.csv", "only,two\n1,2\n3,4\n")
+    first = score()
+    assert first == ([str(rows[0].row_id)], {"cells": (2, 1), "header": (2, 1)})
+    # The same stream goes on with a file in another order of columns.
+    write_text(tmp_path / "in" / "c.csv", "\n".join([" , ".join(reversed(names)), text(rows[2], names[::-1]), text(rows[3], names[::-1])]))
+    assert score() == (sorted(str(rows[k].row_id) for k in (0, 2, 3)), first[1])
+
+
 def test_runs_are_ordered_by_number(spark):
     rows = [(f"run_{k}", "ANN", "A") for k in (10, 2, 1)]
     table = rs.run_order(spark.createDataFrame(rows, "run string, model string, dataset string"))

@@ -85,13 +85,19 @@ def test_network_depends_on_tasks_alone(spark, data):
     assert not np.array_equal(first.weights, mlp.fit_mlp_adam(data, "id", max_epochs=3, tasks=1).weights)
 
 
+def test_workers_follow_the_rows():
+    assert [mlp.tasks_for(n) for n in (0, 200, 16_384, 139_686, 10 ** 9)] == [1, 1, 1, 8, 64]
+
+
 def test_newton_says_whether_it_converged(data):
     full, cut = classifiers.fit_logistic(data, 1.0), classifiers.fit_logistic(data, 1.0, max_iter=2)
     assert full.converged and full.scans > 2 and not cut.converged and cut.scans == 2
 
 
 def test_recorded_forest_parameters_are_those_applied():
-    applied = classifiers.applied_parameters("Random Forest", dict(classifiers.FOREST_CANDIDATES[3]))
+    for candidate in classifiers.FOREST_CANDIDATES:
+        assert classifiers.applied_parameters("Random Forest", dict(candidate)) == candidate
+    applied = classifiers.applied_parameters("Random Forest", dict(classifiers.FOREST_CANDIDATES[3]), "library")
     assert applied["max_depth"] == 30 and applied["min_samples_split"] == 2
     with pytest.raises(ValueError):
         classifiers.forest_estimator(max_depth=31)
