@@ -23,6 +23,7 @@ CONTEXT = {
     "phone": "phone|call|tel|mobile|fax|telefon|llame",
     "iban": "iban|account|bank|konto|compte|cuenta",
     "ssn": "ssn|social|security|taxpayer",
+    "secret": "login|credential|auth",
 }
 
 
@@ -37,6 +38,7 @@ class Kind:
 
 _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _LOCAL = "A-Za-z0-9._%+-"
+_KEYS = "token|secret|password|passwd|api[_-]?key|access[_-]?key|private[_-]?key"
 
 KINDS = (
     Kind("email", rf"(?:\G|(?<![{_LOCAL}]))[{_LOCAL}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "@", 0.9),
@@ -46,8 +48,11 @@ KINDS = (
     # Zero-width, so that a start within another proposal is seen; takes one sign more than an account has.
     Kind("iban", r"(?=([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,31}+))(?<=(?:^|[^A-Za-z0-9])[A-Za-z]{0,30})", "", 0.8, base=False),
     Kind("ssn", r"(?<![0-9])[0-9]++-[0-9]++-[0-9]++", "-", 0.3, base=False),
+    # What a key word and a sign assign; the one sign ahead is looked at first, as it rules most places out.
+    Kind("secret", rf"""(?<=[=: "'])(?<=(?i:{_KEYS})["']? {{0,2}}[=:] {{0,2}}["']?)[A-Za-z0-9+/_-]{{16,}}+""", "", 0.8, base=False),
 )
 BOOST, REACH, LEAST = 0.3, 40, 0.6
+GROUP = 128
 
 # Signs of an account number by country (the IBAN registry); others may have 15 to 34.
 IBAN_SIGNS = {
@@ -90,6 +95,8 @@ def confirmed(kind: str, value: Column) -> Column:
     if kind == "iban":
         plain = F.replace(value, F.lit(" "))
         return F.when(F.length(plain).between(15, 34), mod97(plain)).otherwise(F.lit(False))
+    if kind == "secret":  # a word that only looks like one has no digit
+        return value.rlike("[0-9]") & value.rlike("[A-Za-z]")
     if kind == "ssn":
         return value.rlike("^[0-9]{3}-[0-9]{2}-[0-9]{4}$")
     return F.lit(True)
@@ -163,10 +170,22 @@ def _spans(kind: Kind, text: Column, found: Column) -> Column:
         span = F.struct(F.lit(kind.name).alias("kind"), start.alias("start"), end.alias("end"), score.alias("score"))
         return F.struct(end.alias("at"), F.when(keep, F.array_append(state["out"], span)).otherwise(state["out"]).alias("out"))
 
-    begin = F.struct(F.lit(0).alias("at"), empty.alias("out"))
+    # A list that grows is copied at every step, so matches are walked in groups that know where they start.
     # Between n matches lie n + 1 texts; the last of them follows no match of its own.
-    walked = F.aggregate(F.slice(both, 1, F.size(found)), begin, step, lambda state: state["out"])
-    return F.when(F.size(found) > 0, walked).otherwise(empty)
+    groups = F.transform(F.sequence(F.lit(0), F.floor((F.size(found) - 1) / GROUP).cast("int")), lambda g: F.slice(
+        both, g * GROUP + 1, F.least(F.lit(GROUP), F.size(found) - g * GROUP)))
+
+    def length(group: Column) -> Column:
+        return F.aggregate(group, F.lit(0), lambda total, x: total + F.length(x["value"]) + F.length(x["ahead"]))
+
+    starts = F.aggregate(groups, F.array(F.lit(0)), lambda all_, g: F.array_append(all_, F.element_at(all_, -1) + length(g)))
+    placed = F.arrays_zip(groups.alias("group"), F.slice(starts, 1, F.size(groups)).alias("start"))
+
+    def walked(x: Column) -> Column:
+        begin = F.struct(x["start"].alias("at"), empty.alias("out"))
+        return F.aggregate(x["group"], begin, step, lambda state: state["out"])
+
+    return F.when(F.size(found) > 0, F.flatten(F.transform(placed, walked))).otherwise(empty)
 
 
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -174,7 +193,8 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Null and empty texts give an empty list; repeated rows and equal ids give a row each; other
     columns are not read, so their names do not matter. The base kinds keep every confirmed match;
-    iban and ssn need a score of LEAST or more. No shuffle, no Python.
+    iban, ssn and secret need a score of LEAST or more. A secret is a run of 16 letters and digits or more
+    that a key word such as ``token`` assigns. No shuffle, no Python.
     """
     text = fresh("text", docs.select(id_col))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias(text))
@@ -208,7 +228,7 @@ def _masked(kind: Kind, text: Column) -> Column:
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """Counts per base kind, the hash of the base spans, and all spans as text."""
+    """Counts per base kind, the hash of the base spans, all spans as text, and their number."""
     base = [kind.name for kind in KINDS if kind.base]
 
     def joined(spans: Column) -> Column:
@@ -220,11 +240,12 @@ def digest(found: DataFrame) -> DataFrame:
     return found.select(
         "doc_id", *map(count, base),
         F.sha2(joined(F.filter("spans", lambda s: s["kind"].isin(base))), 256).alias("base_sha256"),
-        joined(F.col("spans")).alias("spans"))
+        joined(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
-def _sql_kind(name: str, pattern: str, keep: str, score: float | None = None) -> str:
-    """Common table expressions giving (doc_id, place, kind, start, stop) of one kind."""
+def _sql_kind(name: str, pattern: str, keep: str, score: float | None = None, skip: str = "0") -> str:
+    """Common table expressions giving (doc_id, place, kind, start, stop) of one kind; ``skip`` says how many
+    signs of a match lie ahead of the span."""
     near = f"(?i)\\b(?:{CONTEXT[name]})"
     more = "" if score is None else (
         f" and {score} + case when regexp_matches(right(ahead, {REACH}), '{near}') or "
@@ -239,7 +260,7 @@ def _sql_kind(name: str, pattern: str, keep: str, score: float | None = None) ->
     {name}_place as (
       select *, sum(length(ahead) + length(v)) over (partition by n order by i) - length(v) as start from {name}_each),
     {name}_kept as (
-      select n, '{name}' as kind, start, concat_ws(':', '{name}', start::bigint, (start + length(v))::bigint) as s
+      select n, '{name}' as kind, start, concat_ws(':', '{name}', (start + {skip})::bigint, (start + length(v))::bigint) as s
       from {name}_place where {keep}{more})"""
 
 
@@ -255,6 +276,8 @@ _MOD97 = """length(replace(v, ' ', '')) between 15 and 34 and
           lambda c: case when c <= '9' then ascii(c) - 48 else ascii(c) - 55 end)),
         lambda a, b: (a * case when b > 9 then 100 else 10 end + b) % 97) = 1"""
 
+_SECRET = "regexp_extract(v, '[A-Za-z0-9+/_-]{16,}$')"
+
 ORACLE = "with texts as (select row_number() over () as n, doc_id, coalesce(text, '') as t from documents)," + ",".join([
     _sql_kind("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true"),
     _sql_kind("ip", r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)",
@@ -263,18 +286,21 @@ ORACLE = "with texts as (select row_number() over () as n, doc_id, coalesce(text
     _sql_kind("phone", r"\+[0-9][ ().0-9-]+[0-9]", "length(regexp_replace(v, '[^0-9]', '', 'g')) between 9 and 15"),
     _sql_kind("iban", r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9])+", _MOD97, 0.8),
     _sql_kind("ssn", r"[0-9]+-[0-9]+-[0-9]+", "regexp_full_match(v, '[0-9]{3}-[0-9]{2}-[0-9]{4}')", 0.3),
+    _sql_kind("secret", rf"""(?i:{_KEYS})["'']? {{0,2}}[=:] {{0,2}}["'']?[A-Za-z0-9+/_-]{{16,}}""",
+              f"regexp_matches({_SECRET}, '[0-9]') and regexp_matches({_SECRET}, '[A-Za-z]')", skip=f"length(v) - length({_SECRET})"),
 ]) + """,
     spans as (
       select * from email_kept union all select * from ip_kept union all select * from card_kept
-      union all select * from phone_kept union all select * from iban_kept union all select * from ssn_kept),
-    ranked as (select *, list_position(['email', 'ip', 'card', 'phone', 'iban', 'ssn'], kind) as k from spans),
+      union all select * from phone_kept union all select * from iban_kept union all select * from ssn_kept
+      union all select * from secret_kept),
+    ranked as (select *, list_position(['email', 'ip', 'card', 'phone', 'iban', 'ssn', 'secret'], kind) as k from spans),
     joined as (
       select n, string_agg(s, ',' order by k, start) as spans,
              string_agg(s, ',' order by k, start) filter (k <= 4) as base,
-             count(*) filter (k = 1) as n_email, count(*) filter (k = 2) as n_ip,
+             count(*) as n_spans, count(*) filter (k = 1) as n_email, count(*) filter (k = 2) as n_ip,
              count(*) filter (k = 3) as n_card, count(*) filter (k = 4) as n_phone
       from ranked group by n)
 select doc_id, coalesce(n_email, 0) as n_email, coalesce(n_ip, 0) as n_ip, coalesce(n_card, 0) as n_card,
-       coalesce(n_phone, 0) as n_phone, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+       coalesce(n_phone, 0) as n_phone, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans, coalesce(n_spans, 0) as n_spans
 from texts left join joined using (n)
 """

@@ -143,6 +143,25 @@ def test_checksums_and_context_decide(spark):
     assert spans[1][0] == ("ssn", 7, 18) and spans[2] == []
 
 
+def test_secrets_are_what_a_key_word_assigns(spark):
+    value = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
+    texts = [f'x token = "{value}" y', f"API_KEY:{value}", f"my secret='{value}'###", f"password {value}", f"{value}",
+             "token = thisisawordandnosecretatall", 'token = "short1"', f"é😀 Access-Key = {value}/+-_. {value}"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: [(s.kind, r.text[s.start:s.end]) for s in r.spans]
+             for r in pii.find_personal_data(docs).join(docs, "doc_id").collect()}
+    for k in (0, 1, 2):
+        assert found[k] == [("secret", value)], texts[k]
+    assert found[7] == [("secret", value + "/+-_")] and not any(found[k] for k in (3, 4, 5, 6))
+
+
+def test_very_many_matches_in_one_text(spark):
+    text = " ".join(f"u{k}@mail.example.org {k % 250}.1.2.3" for k in range(30_000))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    (row,) = pii.find_personal_data(docs).collect()
+    assert [f"{s.kind}:{s.start}:{s.end}" for s in row.spans] == base_spans(text)
+
+
 def test_accounts_end_where_their_number_does(spark):
     spaced, plain = "GB82 WEST 1234 5698 7654 32", "DE89370400440532013000"
     texts = [f"{a}{x}{b}" for x in (spaced, plain) for a in ("", "pay ", "IBAN", "NO20 ", "é ")
