@@ -16,12 +16,17 @@ def db(sf_dir):
 
 # Full grids and studies, minutes each: run with RUN_LONG=1.
 LONG = ("forest_grid", "network_grid", "multi_seed_study", "streamed_five_models")
+# An epoch of the smallest table is one step, too few to learn: these need more rows.
+MORE_ROWS = ("network_adam", "network_grid")
 
 
 @pytest.mark.parametrize("name", sorted(catalog.ORACLES))
 def test_query_equals_sql(spark, sf_dir, db, name):
     if name in LONG and not os.environ.get("RUN_LONG"):
         pytest.skip("a long query")
+    if name in MORE_ROWS:
+        sf_dir = sf_dir.replace("sf0.001", "sf0.01")
+        db = connect(sf_dir)
     got = catalog.QUERIES[name](spark, sf_dir).toPandas()
     assert differences(got, db.sql(catalog.ORACLES[name]).df()) == ""
 
