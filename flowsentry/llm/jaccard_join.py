@@ -14,11 +14,11 @@ set's n tokens; two sets that link share a prefix token under any order that is
 * What is left is verified on the whole sets.
 
 Equal sets are one class throughout. In a posting list of up to SHORT members all pairs are compared
-by size and bitmap. Within a longer list pairs are not spelt out: in each round one member, the hub,
-is compared with the others; members already in one component need no comparison. The first rounds
-take the same hub for lists that share it, later ones another for every list. Only for lists that
-still hold several components after ROUNDS are the pairs between components compared, so that no link
-between components is lost.
+by size and bitmap. Within a longer list pairs are not spelt out: in each round a few members, the hubs,
+are compared with the others; members already in one component need no comparison. Some hubs are the
+same for all lists that share them, others differ by list. Only for lists that still hold several
+components after all rounds are the pairs between components compared, so that no link between
+components is lost.
 """
 
 from __future__ import annotations
@@ -42,7 +42,8 @@ PERCENT = 75
 HOT = 8  # a token in this many prefixes of the plain order goes behind
 MOST_HOT = 1 << 21  # tokens whose frequency class is broadcast (9 bytes each); the most frequent
 SHORT = 48
-ROUNDS, COMMON_ROUNDS = 5, 2
+HUBS, COMMON_HUBS = (1, 6), 3  # of a list by round; of them, those picked alike for all lists
+ROUNDS = len(HUBS)
 SHARD_BYTES = 1 << 20  # of text whose shingles are computed at a time
 BITMAP, FOLDED = 32, 8  # 64-bit words of a set's bitmap; folded to so many for short lists
 ORDERS = (np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344), np.uint64(0xA4093822299F31D0))
@@ -347,12 +348,12 @@ def _link_long_lists(postings: DataFrame, links: DataFrame, sets: DataFrame, rou
         if active.isEmpty():
             break
         if number < rounds:
-            # The hub is the smallest id under another scrambling each round.
-            salt = F.lit(int(mix(np.array([number + 1], np.uint64))[0] >> np.uint64(1)))
-            if number >= COMMON_ROUNDS:
-                salt = F.xxhash64("token", salt)
-            hubs = active.groupBy("token").agg(F.min(F.col("id").bitwiseXOR(salt)).alias("h")).select(
-                "token", F.col("h").bitwiseXOR(salt).alias("id"))
+            # A hub is the smallest id under a scrambling of its own.
+            salts = [F.lit(int(mix(np.array([8 * number + k + 1], np.uint64))[0] >> np.uint64(1))) for k in range(HUBS[number])]
+            salts = [salt if k < COMMON_HUBS else F.xxhash64("token", salt) for k, salt in enumerate(salts)]
+            least = active.groupBy("token").agg(*[F.min(F.col("id").bitwiseXOR(x)).alias(f"h{k}") for k, x in enumerate(salts)])
+            hubs = least.select("token", F.explode(F.array_distinct(F.array(
+                *[F.col(f"h{k}").bitwiseXOR(x) for k, x in enumerate(salts)]))).alias("id"))
             hubs = _other(active.join(hubs, ["token", "id"]))
             pairs = _pairs(active, hubs, F.col("component") != F.col("component_"), _BITS)
         else:
