@@ -382,6 +382,7 @@ def _components(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame,
     bare = materialise(rows.drop(*_BITS), "rows")
     release(rows)
     tokens = _token_classes(docs, id_col, text_col)
+    drop_shuffles(docs.sparkSession)  # the sketches by set and the tokens' counts
     postings = _shared_postings(docs, tokens, id_col, text_col).join(classes.select("f1", "f2", "id"), ["f1", "f2"])
     postings = materialise(postings.groupBy("token", "id").agg(F.max("early").alias("early")), "postings")
     # Lists with the same members and early marks, told by 128 hash bits, give the same pairs.
