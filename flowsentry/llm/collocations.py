@@ -121,7 +121,9 @@ def _phrases(words: _Words, step: int, shards: int, most_words: int, filters: Fi
         size = len(hashes) - 1
         reached, new = np.full(size, NONE), np.zeros(size, np.uint64)
         new[at] = phrase_hash(begin, last)
-        reached[at] = _reached(new[at], filters.get(k, []))
+        hit = _reached(new[at], filters.get(k, []))
+        # A false hit may lie before the step from which the phrase itself is counted.
+        reached[at] = np.where(hit == NONE, NONE, np.maximum(hit, start))
         hashes = new
 
 

@@ -126,6 +126,18 @@ def test_phrases_equal_plain_counts(spark, shards):
     assert sorted(tuple(r[c] for c in COLUMNS) for r in got) == plain_phrases(rows, 9, top=40)
 
 
+def test_phrases_are_exact_when_filters_are_full(spark, monkeypatch):
+    """Rare passages start late; false hits of their parts must not make the count begin earlier."""
+    monkeypatch.setattr(collocations, "MOST_BITS", 10)
+    rng = random.Random(5)
+    rows = [(" ".join(f"w{rng.randrange(25)}" for _ in range(60)), "en") for _ in range(400)]
+    rows += [(" ".join(f"p{i}x{j}" for j in range(5)), "en") for i in range(40) for _ in range(12)]
+    rng.shuffle(rows)
+    docs = spark.createDataFrame(rows, "text string, lang string").repartition(4)
+    got = collocations.mine_phrases(docs, threshold=10).collect()
+    assert sorted(tuple(r[c] for c in COLUMNS) for r in got) == plain_phrases(rows, 10)
+
+
 def test_phrases_of_long_and_odd_texts(spark, odd_docs, no_docs, monkeypatch):
     rows = [(r.text, r.lang) for r in odd_docs.select("text", "lang").collect()]
     got = collocations.mine_phrases(odd_docs, threshold=2).collect()
