@@ -19,7 +19,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from flowsentry.functions.columns import apply_threshold, linear_score, logistic
-from flowsentry.functions.session import write_json
+from flowsentry.functions.session import scratch_path, write_json
 from flowsentry.operators.forest import ForestModel, from_library, grow_forest
 from flowsentry.operators.newton import MAX_SCANS, Problem, solve
 
@@ -92,9 +92,35 @@ class VectorModel:
         write_json(spark, path + "/kind", {"kind": self.kind, "threshold": self.threshold})
 
 
+class _Plain:
+    """Fits a model without its training summary, by storing and loading it.
+
+    The summary refers to the session, which cannot be sent to the executors with the model once a
+    DataFrame has been observed in it.
+    """
+
+    def _fit(self, dataset: DataFrame):
+        spark = dataset.sparkSession
+        model, path = super()._fit(dataset), scratch_path(spark, "library-model")
+        model.save(path)
+        return type(model).read().session(spark).load(path)
+
+
+class PlainLogisticRegression(_Plain, LogisticRegression):
+    pass
+
+
+class PlainLinearSVC(_Plain, LinearSVC):
+    pass
+
+
+class PlainForest(_Plain, RandomForestClassifier):
+    pass
+
+
 def logistic_estimator(c: float, rows: int, max_iter: int = 1000) -> LogisticRegression:
     """Inverse penalty C: half the squared weights against C times the summed loss."""
-    return LogisticRegression(
+    return PlainLogisticRegression(
         featuresCol=VECTOR, labelCol="label", regParam=1.0 / (c * rows), elasticNetParam=0.0,
         standardization=False, maxIter=max_iter, tol=1e-6,
     )
@@ -102,7 +128,7 @@ def logistic_estimator(c: float, rows: int, max_iter: int = 1000) -> LogisticReg
 
 def svm_estimator(c: float, rows: int, max_iter: int = 200) -> LinearSVC:
     """Hinge loss with the same penalty convention; decision at margin 0."""
-    return LinearSVC(
+    return PlainLinearSVC(
         featuresCol=VECTOR, labelCol="label", regParam=1.0 / (c * rows), threshold=0.0,
         standardization=False, maxIter=max_iter, tol=1e-5,
     )
@@ -117,7 +143,7 @@ def forest_estimator(
     del min_samples_split
     if max_depth is not None and max_depth > MAX_DEPTH:
         raise ValueError(f"trees grow to a depth of {MAX_DEPTH} at most")
-    return RandomForestClassifier(
+    return PlainForest(
         featuresCol=VECTOR, labelCol="label", numTrees=n_estimators,
         maxDepth=MAX_DEPTH if max_depth is None else max_depth,
         minInstancesPerNode=min_samples_leaf, featureSubsetStrategy=max_features, seed=seed,

@@ -2,7 +2,7 @@ import json
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Observation, functions as F
 
 from flowsentry.operators import classifiers, knn, mlp, newton, tuning
 from flowsentry.operators.sampling import assign_folds
@@ -220,3 +220,15 @@ def test_too_many_neighbours(data):
     index = knn.KnnIndex.fit(data, "id", 3)
     with pytest.raises(ValueError):
         index.search(data, "id", 4)
+
+
+def test_library_models_score_in_a_session_with_observations(spark):
+    """Fitted models must not hold on to a session that cannot be sent to the executors."""
+    session = spark.newSession()
+    seen = Observation()
+    session.range(3).observe(seen, F.count(F.lit(1)).alias("n")).count()
+    rows = session.createDataFrame([(float(i % 2), [float(i % 2), float(i % 3)]) for i in range(40)], "label double, features array<double>")
+    train = classifiers.with_vector(rows)
+    for estimator in (classifiers.logistic_estimator(1.0, 40, 5), classifiers.svm_estimator(1.0, 40, 5),
+                      classifiers.forest_estimator(n_estimators=3, max_depth=3)):
+        assert estimator.fit(train).transform(train).filter("prediction = label").count() == 40
