@@ -156,3 +156,22 @@ def test_odd_training_tables(spark):
     assert set(one_class.share) == {1.0}
     with pytest.raises(ValueError):
         classifiers.fit_forest(constant.limit(0))
+
+
+def test_large_nodes_take_one_scan_a_level(spark, monkeypatch):
+    """The sizes of nodes follow from their parents' histograms, and only the tried features are summed."""
+    rng = np.random.default_rng(4)
+    rows = [(i, int(x[0] + x[1] > 1), x.tolist()) for i, x in enumerate(rng.random((600, 9)))]
+    df = spark.createDataFrame(rows, "id long, label int, features array<double>")
+    sizes, add = [], forest.sum_over_tasks
+
+    def counted(table, task, tasks):
+        out = add(table, task, tasks)
+        sizes.append(len(out))
+        return out
+
+    monkeypatch.setattr(forest, "sum_over_tasks", counted)
+    forest.grow_forest(df, 3, n_estimators=4, max_depth=3, key="id", local_rows=1)
+    bins, tries = forest.MAX_BINS, 3
+    assert len(sizes) <= 1 + 4  # the trees' sizes, and the levels from 0 to 3
+    assert sizes[0] == 4 * 3 and max(sizes) <= 4 * 2 ** 3 * tries * bins * 3
