@@ -39,6 +39,8 @@ ALPHA_VALUES = (1e-5, 1e-4, 1e-3, 1e-2)
 # The trained weights depend on their number and on nothing else of the cluster; it is stored with the model.
 ROWS_PER_TASK, TASKS = 16_384, 64
 EPOCHS_PER_JOB = 50  # of a single worker
+ROWS_AT_ONCE = 10_000  # that are shuffled into mini-batches together
+PACKED = "n int, x binary, y binary, is_val binary"  # float32, int8 and boolean values
 BETA1, BETA2, EPSILON, TOLERANCE = 0.9, 0.999, 1e-8, 1e-4
 TOTALS = 5  # rows, rows * steps, loss, validation rows, correct validation rows
 
@@ -88,20 +90,75 @@ def gradient(x: np.ndarray, y: np.ndarray, parts: list[np.ndarray], alpha: float
     return loss, np.concatenate([g.ravel() for g in grads])
 
 
+def pack_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in, a row of arrays as bytes out for every ROWS_AT_ONCE of them, in their order."""
+    held = None
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        new = (matrix(batch.column("features")), batch.column("label").to_numpy(zero_copy_only=False),
+               batch.column("is_val").to_numpy(zero_copy_only=False))
+        held = new if held is None else tuple(np.concatenate(p) for p in zip(held, new))
+        while len(held[0]) >= ROWS_AT_ONCE:
+            yield packed_rows(*(p[:ROWS_AT_ONCE] for p in held))
+            held = tuple(p[ROWS_AT_ONCE:] for p in held)
+    if held is not None and len(held[0]):
+        yield packed_rows(*held)
+
+
+def packed_rows(x: np.ndarray, y: np.ndarray, val: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({
+        "n": pa.array([len(y)], pa.int32()), "x": pa.array([x.astype(np.float32).tobytes()], pa.binary()),
+        "y": pa.array([y.astype(np.int8).tobytes()], pa.binary()), "is_val": pa.array([val.astype(bool).tobytes()], pa.binary())})
+
+
+def unpacked_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Features, labels and validation marks of every packed row."""
+    for batch in batches:
+        for n, x, y, val in zip(*(batch.column(c) for c in ("n", "x", "y", "is_val"))):
+            yield (np.frombuffer(x.as_buffer(), np.float32).reshape(n.as_py(), -1),
+                   np.frombuffer(y.as_buffer(), np.int8).astype(np.float32), np.frombuffer(val.as_buffer(), bool))
+
+
+class Adam:
+    """Mini-batch steps on weights and moments, which it changes in place."""
+
+    def __init__(self, weights: np.ndarray, mean: np.ndarray, square: np.ndarray, layers: list[int], alpha: float, rate: float):
+        self.weights, self.mean, self.square = (p.astype(np.float32) for p in (weights, mean, square))
+        self.parts = unpack(self.weights, layers)
+        self.alpha, self.rate = alpha, rate
+        self.room = np.empty_like(self.weights)
+
+    def step(self, x: np.ndarray, y: np.ndarray, number: int) -> float:
+        """The ``number``-th step since the start, on one mini-batch; its loss."""
+        cost, g = gradient(x, y, self.parts, self.alpha)
+        room = self.room
+        np.multiply(g, 1 - BETA1, out=room)
+        self.mean *= BETA1
+        self.mean += room
+        np.multiply(g, 1 - BETA2, out=room)
+        room *= g
+        self.square *= BETA2
+        self.square += room
+        np.sqrt(self.square, out=room)
+        room += np.float32(EPSILON)
+        scale = np.float32(self.rate * math.sqrt(1 - BETA2 ** number) / (1 - BETA1 ** number))
+        np.divide(np.multiply(self.mean, scale, out=g), room, out=room)
+        self.weights -= room
+        return cost
+
+
 def epoch_task(state: np.ndarray, steps: int, layers: list[int], alpha: float, rate: float,
                batch_size: int, seed: int):
     """The mapInArrow function of one epoch: a task's rows in, one row of results out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, m, v = state.reshape(3, -1).astype(np.float32)
-        start = unpack(w.copy(), layers)
+        adam = Adam(*state.reshape(3, -1), layers, alpha, rate)
+        start = unpack(adam.weights.copy(), layers)
         rng = np.random.default_rng(seed)
         n = val_n = val_correct = taken = 0
         loss = 0.0
-        for batch in batches:
-            x = matrix(batch.column("features"))
-            y = batch.column("label").to_numpy(zero_copy_only=False).astype(np.float32)
-            val = batch.column("is_val").to_numpy(zero_copy_only=False)
+        for x, y, val in unpacked_rows(batches):
             if val.any():
                 val_n += int(val.sum())
                 val_correct += int(((forward(x[val], start)[-1][:, 0] >= 0.5) == y[val]).sum())
@@ -110,16 +167,11 @@ def epoch_task(state: np.ndarray, steps: int, layers: list[int], alpha: float, r
             n += len(y)
             for at in range(0, len(y), batch_size):
                 rows = order[at:at + batch_size]
-                cost, g = gradient(x[rows], y[rows], unpack(w, layers), alpha)
-                loss += cost
                 taken += 1
-                m = BETA1 * m + (1 - BETA1) * g
-                v = BETA2 * v + (1 - BETA2) * g * g
-                t = steps + taken
-                scale = np.float32(rate * math.sqrt(1 - BETA2 ** t) / (1 - BETA1 ** t))
-                w = w - scale * m / (np.sqrt(v) + EPSILON)
+                loss += adam.step(x[rows], y[rows], steps + taken)
         totals = [n, n * taken, loss, val_n, val_correct]
-        yield vector_batch(np.concatenate([totals, np.concatenate([w, m, v]).astype(np.float64) * n]))
+        moved = np.concatenate([adam.weights, adam.mean, adam.square])
+        yield vector_batch(np.concatenate([totals, moved.astype(np.float64) * n]))
 
     return run
 
@@ -155,23 +207,20 @@ def single_task(state: np.ndarray, layers: list[int], alpha: float, rate: float,
     """The mapInArrow function of a single worker: all rows in, its progress after some epochs out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [(matrix(b.column("features")), b.column("label").to_numpy(zero_copy_only=False).astype(np.float32),
-                 b.column("is_val").to_numpy(zero_copy_only=False)) for b in batches if b.num_rows]
+        rows = list(unpacked_rows(batches))
         if not rows:
             return
         x, y, val = (np.concatenate(part) for part in zip(*rows))
         held, x, y = (x[val], y[val]), x[~val], y[~val]
         now = Progress.unpacked(state)
+        adam = Adam(now.weights, now.mean, now.square, layers, alpha, rate)
         while now.epoch < last_epoch and now.waited < patience:
             order, cost = np.random.default_rng(seed + now.epoch).permutation(len(y)), 0.0
             for at in range(0, len(y), batch_size):
                 mine = order[at:at + batch_size]
-                loss, g = gradient(x[mine], y[mine], unpack(now.weights, layers), alpha)
-                cost, now.steps = cost + loss, now.steps + 1
-                now.mean = BETA1 * now.mean + (1 - BETA1) * g
-                now.square = BETA2 * now.square + (1 - BETA2) * g * g
-                scale = np.float32(rate * math.sqrt(1 - BETA2 ** now.steps) / (1 - BETA1 ** now.steps))
-                now.weights = now.weights - scale * now.mean / (np.sqrt(now.square) + np.float32(EPSILON))
+                now.steps += 1
+                cost += adam.step(x[mine], y[mine], now.steps)
+            now.weights, now.mean, now.square = adam.weights.copy(), adam.mean, adam.square
             right = (forward(held[0], unpack(now.weights, layers))[-1][:, 0] >= 0.5) == held[1] if len(held[1]) else np.zeros(1)
             accuracy = float(np.mean(right))
             now.epoch += 1
@@ -254,7 +303,8 @@ def _training_table(train: DataFrame, key: str, seed: int, fraction: float, task
     """Training rows with a validation mark, in ``tasks`` partitions, each in hashed order.
 
     A row's partition and place follow from its key alone. The table is written once; the
-    partitions are kept by the executors and rebuilt from it if one is lost.
+    partitions are kept by the executors, packed into arrays so that an epoch makes no Arrow rows
+    anew, and rebuilt from it if one is lost.
     """
     order = hash_order(col(key), seed, "validate")
     cutoffs = hash_cutoffs(
@@ -269,7 +319,8 @@ def _training_table(train: DataFrame, key: str, seed: int, fraction: float, task
         hash_order(col(key), seed, "shuffle").alias("h"))
     table = materialise(marked, "network-training")
     placed = table.repartitionById(tasks, F.pmod(F.xxhash64("h"), F.lit(tasks)).cast("int"))
-    return placed.sortWithinPartitions("h").drop("h").persist(StorageLevel.MEMORY_AND_DISK)
+    packed = placed.sortWithinPartitions("h").drop("h").mapInArrow(pack_rows, PACKED)
+    return packed.persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def fit_mlp_adam(
@@ -290,7 +341,7 @@ def fit_mlp_adam(
     """
     tasks = tasks_for(train.count()) if tasks is None else tasks
     table = _training_table(train, key, seed, validation_fraction, tasks)
-    layers = [len(table.select("features").head().features), *hidden, 1]
+    layers = [len(train.select("features").head().features), *hidden, 1]
     weights = initial_weights(layers, seed)
     if tasks == 1:
         model = _fit_alone(table, layers, weights, max_epochs, patience, alpha=alpha, rate=learning_rate,
