@@ -52,15 +52,16 @@ def materialise(df: DataFrame, label: str = "table", spread: bool = False, by: t
 
     Cuts the lineage before a frame is scanned repeatedly (iterative fits, multi-pass
     metrics). A written table outlives any executor and keeps column pruning. With
-    ``spread``, a table that fills fewer partitions than there are cores is dealt out
-    over all of them; larger tables are left as they are. ``by`` names columns with few
+    ``spread``, a table that fills fewer partitions than there are cores, or files than half of
+    them, is dealt out over all of them; larger tables are left as they are. ``by`` names columns with few
     values that become folders, so that a filter on them reads no other rows.
     """
     back = _write(df, label, by)
     if spread:
-        wider = spread_small(back)
-        if wider is not back:
-            narrow, back = back, _write(wider, label)
+        # A file below the size of a row group is read by one task, however many pieces it is cut into.
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        if min(back.rdd.getNumPartitions(), 2 * len(back.inputFiles())) < cores:
+            narrow, back = back, _write(back.repartition(cores), label)
             release(narrow)
     return back
 

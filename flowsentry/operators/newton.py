@@ -19,10 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from flowsentry.functions.arrow import matrix, sum_over_tasks, vector_batch
+from flowsentry.functions.session import materialise, release
 
 MAX_SCANS = 60
 TOLERANCE = 1e-9
 ROWS_AT_ONCE = 4096
+PACKED = "x binary, y binary, fold binary"  # float32, int8 and int32 values of up to ROWS_AT_ONCE rows
+PACKED_ARROW = pa.schema([("x", pa.binary()), ("y", pa.binary()), ("fold", pa.binary())])
 
 
 @dataclass(frozen=True)
@@ -56,27 +59,35 @@ def losses(margin: np.ndarray, y: np.ndarray, kind: str):
     return gap * gap, -2 * sign * gap, 2.0 * (gap > 0)
 
 
+def pack_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in, a row of arrays as bytes out for every ROWS_AT_ONCE of a batch."""
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        x, y = matrix(batch.column("features")), batch.column("label").to_numpy(zero_copy_only=False).astype(np.int8)
+        folds = batch.column("fold").to_numpy(zero_copy_only=False).astype(np.int32)
+        yield pa.RecordBatch.from_pylist(
+            [{"x": np.ascontiguousarray(x[at:at + ROWS_AT_ONCE], np.float32).tobytes(), "y": y[at:at + ROWS_AT_ONCE].tobytes(),
+              "fold": folds[at:at + ROWS_AT_ONCE].tobytes()} for at in range(0, batch.num_rows, ROWS_AT_ONCE)], PACKED_ARROW)
+
+
 def scan_task(weights: np.ndarray, folds_out: list, kind: str):
-    """Per problem: summed loss, gradient and curvature of a partition's rows."""
+    """Per problem: summed loss, gradient and curvature of a partition's packed rows."""
     count, width = weights.shape
     out = np.array([-1 if f is None else f for f in folds_out])
+    left, right = np.triu_indices(width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((count, 1 + width + width * width))
+        total = np.zeros((count, 1 + width + len(left)))
         for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            everything = with_intercept(matrix(batch.column("features")))
-            labels = batch.column("label").to_numpy(zero_copy_only=False).astype(np.float64)
-            folds = batch.column("fold").to_numpy(zero_copy_only=False)
-            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
-                x, y = everything[at:at + ROWS_AT_ONCE], labels[at:at + ROWS_AT_ONCE, None]
-                kept = folds[at:at + ROWS_AT_ONCE, None] != out[None, :]
+            for row in batch.to_pylist():
+                x = with_intercept(np.frombuffer(row["x"], np.float32).reshape(-1, width - 1))
+                y = np.frombuffer(row["y"], np.int8).astype(np.float64)[:, None]
+                kept = np.frombuffer(row["fold"], np.int32)[:, None] != out[None, :]
                 value, first, second = (a * kept for a in losses(x @ weights.T, y, kind))
                 total[:, 0] += value.sum(0)
                 total[:, 1:1 + width] += first.T @ x
-                for p in range(count):
-                    total[p, 1 + width:] += (x.T @ (x * second[:, p, None])).ravel()
+                total[:, 1 + width:] += second.T @ (x[:, left] * x[:, right])
         yield vector_batch(total.ravel())
 
     return run
@@ -85,14 +96,15 @@ def scan_task(weights: np.ndarray, folds_out: list, kind: str):
 def solve(table: DataFrame, problems: Sequence[Problem], kind: str, max_scans: int = MAX_SCANS) -> Solution:
     """Weights (intercept last) of every problem over a table of (features, label, fold).
 
-    ``table`` is scanned about a dozen times: pass a written one.
+    ``table`` is packed once into arrays, which are scanned about a dozen times.
 
     A Newton step that does not lower a problem's objective is halved in the next scan;
     problems that have converged take no further part.
     """
     width = len(table.select("features").head().features) + 1
-    rows = table.select("features", "label", "fold")
+    rows = materialise(table.select("features", "label", "fold").mapInArrow(pack_rows, PACKED), "newton-rows", spread=True)
     parts = rows.rdd.getNumPartitions()
+    upper = np.triu_indices(width)
     ridge = np.ones(width)
     ridge[-1] = 0
     best = np.zeros((len(problems), width))
@@ -108,7 +120,9 @@ def solve(table: DataFrame, problems: Sequence[Problem], kind: str, max_scans: i
             objective = c * total[0] + 0.5 * np.dot(ridge * w, w)
             if objective <= value[p]:
                 gradient = c * total[1:1 + width] + ridge * w
-                curvature = c * total[1 + width:].reshape(width, width) + np.diag(ridge)
+                curvature = np.zeros((width, width))
+                curvature[upper] = c * total[1 + width:]
+                curvature = np.triu(curvature) + np.triu(curvature, 1).T + np.diag(ridge)
                 curvature[np.diag_indices(width)] += 1e-10 * max(1.0, np.trace(curvature) / width)
                 best[p], value[p] = w, objective
                 step[p] = -np.linalg.solve(curvature, gradient)
@@ -121,6 +135,7 @@ def solve(table: DataFrame, problems: Sequence[Problem], kind: str, max_scans: i
             trial[p] = best[p] + step[p]
             still.append(p)
         active = still
+    release(rows)
     converged = np.ones(len(problems), bool)
     converged[active] = False
     return Solution(best, converged, scans)

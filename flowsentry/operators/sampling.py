@@ -40,6 +40,16 @@ def _prefix_counts(df: DataFrame, open_prefixes: set, level: int) -> dict:
     return result
 
 
+def _first_counts(df: DataFrame) -> dict:
+    """Row counts by (class, no prefix, first digits), for at most MAX_CLASSES classes."""
+    counts = df.groupBy("c", F.substring("h", 1, DIGITS).alias("d")).count()
+    by_class = counts.groupBy("c").agg(F.collect_list(F.struct("d", "count")).alias("counts"))  # 4096 per class
+    classes = by_class.limit(MAX_CLASSES + 1).collect()
+    if len(classes) > MAX_CLASSES:
+        raise ValueError(f"more than {MAX_CLASSES} classes")
+    return {(row.c, ""): {item["d"]: item["count"] for item in row.counts} for row in classes}
+
+
 def _in_prefixes(prefixes: set, level: int) -> Column:
     """Rows of the given (class, prefix) pairs; the hash is computed once per row."""
     pair = F.concat_ws(":", F.col("c").cast("string"), F.substring("h", 1, level * DIGITS))
@@ -60,10 +70,7 @@ def hash_cutoffs(
     below every row, a rank beyond the class one above every row.
     """
     hashed = df.select(by.alias("c"), order.alias("h")).filter(F.col("c").isNotNull())
-    classes = hashed.groupBy("c").count().limit(MAX_CLASSES + 1).collect()
-    if len(classes) > MAX_CLASSES:
-        raise ValueError(f"more than {MAX_CLASSES} classes")
-    counts = _prefix_counts(hashed, set(), 0)
+    counts = _first_counts(hashed)
     sizes = {c: sum(d.values()) for (c, _), d in counts.items()}
     wanted = ranks(sizes)
     result: dict = {c: [None] * len(w) for c, w in wanted.items()}
@@ -141,11 +148,15 @@ def split_filter(
     df: DataFrame, key: str, label: str, fraction: float = 0.7, seed: int = 42
 ) -> Column:
     """True for the training rows of a stratified split of ``df``."""
-    order = hash_order(col(key), seed)
+    return split_filters(df, [hash_order(col(key), seed)], label, fraction)[0]
+
+
+def split_filters(df: DataFrame, orders: list[Column], label: str, fraction: float = 0.7) -> list[Column]:
+    """``split_filter`` for each of several columns that hold the same order, found by the first."""
     cutoffs = hash_cutoffs(
-        df, order, col(label), lambda n: {c: [s] for c, s in split_shares(n, fraction).items()}
+        df, orders[0], col(label), lambda n: {c: [s] for c, s in split_shares(n, fraction).items()}
     )
-    return _below(order, col(label), cutoffs)
+    return [_below(order, col(label), cutoffs) for order in orders]
 
 
 def stratified_split(
@@ -161,9 +172,13 @@ def stratified_split(
 
 def balance_filter(df: DataFrame, key: str, label: str, seed: int = 42) -> Column:
     """True for the rows kept when every class is cut to the size of the smallest."""
-    order = hash_order(col(key), seed, "balance")
-    cutoffs = hash_cutoffs(df, order, col(label), lambda n: {c: [min(n.values())] for c in n})
-    return _below(order, col(label), cutoffs)
+    return balance_filters(df, [hash_order(col(key), seed, "balance")], label)[0]
+
+
+def balance_filters(df: DataFrame, orders: list[Column], label: str) -> list[Column]:
+    """``balance_filter`` for each of several columns that hold the same order, found by the first."""
+    cutoffs = hash_cutoffs(df, orders[0], col(label), lambda n: {c: [min(n.values())] for c in n})
+    return [_below(order, col(label), cutoffs) for order in orders]
 
 
 def undersample(df: DataFrame, key: str, label: str, seed: int = 42) -> DataFrame:

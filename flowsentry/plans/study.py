@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import json
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from flowsentry.functions.columns import col
-from flowsentry.functions.session import materialise
+from flowsentry.functions.columns import col, hash_order
+from flowsentry.functions.session import materialise, release
 from flowsentry.operators.classifiers import feature_importances, run_timed
 from flowsentry.operators.cleaning import clean_training, usable_rows
 from flowsentry.operators.features import TOP_FEATURES, FlowPreprocessor
@@ -17,7 +19,7 @@ from flowsentry.operators.forest import ForestModel
 from flowsentry.operators.knn import KnnModel
 from flowsentry.operators.metrics import evaluate
 from flowsentry.operators.mlp import ARCHITECTURE, NetworkModel
-from flowsentry.operators.sampling import balance_filter, split_filter
+from flowsentry.operators.sampling import balance_filter, balance_filters, split_filters
 from flowsentry.operators.tuning import tune_and_fit
 from flowsentry.profiles import DOCUMENT_NAME_OF, MODEL_ORDER, STUDY_SEEDS, FlowProfile, binarise_label
 from flowsentry.sources.results import METRICS, RESULT_DDL, TIMINGS, run_table
@@ -32,37 +34,38 @@ def prepare(
 
     Everything is fitted on training rows only; the test part keeps its natural shares.
     Rows without a label are left out.
-    The source is read three times: for the keys the sampling works on, for the balanced
+    The source is read three times: for the hashed keys the sampling works on, for the balanced
     training rows, and for the test features.
 
     With ``clean``, equal training rows count once (as the one with the smallest key), and columns that
     are constant in them or repeat another one are left out, before the classes are balanced.
     """
     labelled = binarise_label(usable_rows(df, profile.features), profile).filter(F.col("label").isNotNull())
-    keys = materialise(labelled.select(col(key), "label"), "keys")
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if keys.rdd.getNumPartitions() < cores:  # a small source: use every core from here on
-        keys = materialise(keys.repartition(cores), "keys")
+    split, balance = hash_order(col(key), seed), hash_order(col(key), seed, "balance")
+    # Both orders are hashed once, as bytes; the sampling reads them from there.
+    keys = materialise(labelled.select(F.unhex(split).alias("split"), F.unhex(balance).alias("balance"), "label"), "keys", spread=True)
+    stored_split, stored_balance = F.lower(F.hex("split")), F.lower(F.hex("balance"))
+    if labelled.rdd.getNumPartitions() < cores:  # a small source: use every core from here on
         labelled = labelled.repartition(cores)
-    in_train = split_filter(keys, key, "label", fraction, seed)
+    key_in_train, in_train = split_filters(keys, [stored_split, split], "label", fraction)
     contract = [f for f in profile.features if f not in (key, "label")]
     if clean:
         training, left = clean_training(labelled.filter(in_train), contract, "label", key)
         profile = replace(profile, features=tuple(left), categoricals=tuple(c for c in profile.categoricals if c in left))
         in_balance = balance_filter(training, key, "label", seed)
-        rows = materialise(training.filter(in_balance), "train-rows")
+        rows = materialise(training.filter(in_balance), "train-rows", spread=True)
     else:
-        in_balance = balance_filter(keys.filter(in_train), key, "label", seed)
+        _, in_balance = balance_filters(keys.filter(key_in_train), [stored_balance, balance], "label")
         rows = materialise(labelled.filter(in_train & in_balance).select(
-            col(key), "label", *[col(f) for f in contract]), "train-rows")
+            col(key), "label", *[col(f) for f in contract]), "train-rows", spread=True)
+    release(keys)
     preprocessor = FlowPreprocessor.fit(rows, profile, "label", k, method, seed)
     features = preprocessor.feature_array().alias("features")
     test = labelled.filter(~in_train)
-    return (
-        preprocessor,
-        materialise(rows.select(col(key), "label", features), "train"),
-        materialise(test.select(col(key), "label", features), "test"),
-    )
+    train = materialise(rows.select(col(key), "label", features), "train")
+    release(rows)
+    return preprocessor, train, materialise(test.select(col(key), "label", features), "test", spread=True)
 
 
 def result_document(
@@ -139,16 +142,21 @@ def train_and_evaluate(
 
 def run_study(
     datasets: Sequence[tuple[DataFrame, FlowProfile]], key: str,
-    seeds: Sequence[int] = STUDY_SEEDS, **training,
+    seeds: Sequence[int] = STUDY_SEEDS, parallelism: int = 4, **training,
 ) -> DataFrame:
-    """Result documents of every dataset and seed, with columns run and seed."""
-    result = None
-    for number, seed in enumerate(seeds, start=1):
-        for df, profile in datasets:
-            _, documents = train_and_evaluate(df, profile, key, seed, **training)
-            marked = documents.withColumns({"run": F.lit(f"run_{number}"), "seed": F.lit(seed)})
-            result = marked if result is None else result.unionByName(marked)
-    return result
+    """Result documents of every dataset and seed, with columns run and seed.
+
+    So many of them are worked on side by side; with 1 the recorded seconds are those of a fit
+    that has the cluster to itself.
+    """
+    def documents(item: tuple[int, int, tuple[DataFrame, FlowProfile]]) -> DataFrame:
+        number, seed, (df, profile) = item
+        _, found = train_and_evaluate(df, profile, key, seed, **training)
+        return found.withColumns({"run": F.lit(f"run_{number}"), "seed": F.lit(seed)})
+
+    runs = [(number, seed, dataset) for number, seed in enumerate(seeds, start=1) for dataset in datasets]
+    with ThreadPoolExecutor(parallelism) as pool:
+        return reduce(DataFrame.unionByName, pool.map(documents, runs))
 
 
 def study_tables(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
