@@ -50,6 +50,9 @@ ORDER_DIMENSIONS, ORDER_BITS = 8, 7
 PIVOTS, PIVOT_SAMPLE = 8, 4_096
 QUERIES_PER_COPY = 100_000
 CELLS = 1 << 21  # entries of a distance matrix held at once
+QUERIES_AT_ONCE = 65_536  # that a task sends to boxes together
+GROUP_QUERIES = 64  # near each other, held against boxes as one
+PAIRS = 1 << 19  # of query and box that leave a task together
 SLACK = 1 + 1e-9
 
 BLOCK_SCHEMA = "leaf int, block long, n int, lo binary, hi binary, ids binary, labels binary, x binary"
@@ -239,12 +242,17 @@ PACK_ARROW = pa.schema([
     ("bound", pa.binary())])
 
 
-def box_distances(q: np.ndarray, lo: np.ndarray, hi: np.ndarray, width: int) -> np.ndarray:
+def box_distances(q: np.ndarray, lo: np.ndarray, hi: np.ndarray, width: int, upper: np.ndarray | None = None) -> np.ndarray:
     """Squared distance of every query to every box, a lower bound for the box's rows: over the first
-    ``width`` coordinates together, or over any single distance to a pivot behind them."""
+    ``width`` coordinates together, or over any single distance to a pivot behind them.
+
+    With ``upper``, for all queries between q and upper: the least such distance if q is the lower
+    corner, the largest one if q and upper are given the other way round.
+    """
+    upper = q if upper is None else upper
     total = np.zeros((len(q), len(lo)))
     for j in range(q.shape[1]):
-        gap = np.maximum(lo[None, :, j] - q[:, None, j], q[:, None, j] - hi[None, :, j])
+        gap = np.maximum(lo[None, :, j] - upper[:, None, j], q[:, None, j] - hi[None, :, j])
         np.maximum(gap, 0, out=gap)
         gap *= gap
         if j < width:
@@ -254,6 +262,29 @@ def box_distances(q: np.ndarray, lo: np.ndarray, hi: np.ndarray, width: int) ->
     return total
 
 
+def near_groups(at: np.ndarray, most: int = GROUP_QUERIES) -> list[np.ndarray]:
+    """Rows of a matrix in groups of at most so many, halved along their widest column."""
+    done, left = [], [np.arange(len(at))] if len(at) else []
+    while left:
+        rows = left.pop()
+        if len(rows) <= most:
+            done.append(rows)
+            continue
+        points = at[rows]
+        values = points[:, int((points.max(0) - points.min(0)).argmax())]
+        order = np.argpartition(values, len(rows) // 2)
+        left += [rows[order[:len(rows) // 2]], rows[order[len(rows) // 2:]]]
+    return done
+
+
+def by_box(boxes: list[np.ndarray], rows: list[np.ndarray]) -> list[tuple[int, np.ndarray]]:
+    """The queries of each box that occurs, from pairs."""
+    names, queries = np.concatenate(boxes), np.concatenate(rows)
+    order = np.argsort(names, kind="stable")
+    found, starts = np.unique(names[order], return_index=True)
+    return list(zip(found.tolist(), np.split(queries[order], starts[1:])))
+
+
 def chunks(n: int, width: int) -> Iterator[slice]:
     step = max(1, CELLS // max(1, width))
     for at in range(0, n, step):
@@ -332,21 +363,53 @@ class Boxes:
         return cls(table.column(name).to_numpy()[order].astype(np.int64), table.column("n").to_numpy()[order],
                    stacked("lo")[order], stacked("hi")[order])
 
-    def route(self, q: np.ndarray, bound: np.ndarray, k: int | None, frame: Frame) -> list[tuple[int, np.ndarray]]:
+    def route(self, q: np.ndarray, bound: np.ndarray, k: int | None, frame: Frame) -> Iterator[list[tuple[int, np.ndarray]]]:
         """(box, queries) to visit: the nearest boxes that hold k rows together, or, without k,
-        all within the bound."""
-        picked = []
-        for part in chunks(len(q), len(self.names)):
-            near = box_distances(frame.coordinates(q[part]), self.lo, self.hi, frame.width)
+        all within the bound. In lists of about PAIRS pairs each.
+
+        Queries near each other are taken together: boxes too far for all of them are left out before
+        single queries are held against boxes.
+        """
+        boxes, rows, pairs = [], [], 0
+        at = frame.coordinates(q)
+        groups = near_groups(at)
+        for part in chunks(len(groups), len(self.names)):
+            low = np.array([at[g].min(0) for g in groups[part]])
+            high = np.array([at[g].max(0) for g in groups[part]])
+            least = box_distances(low, self.lo, self.hi, frame.width, high)
             if k is None:
-                take = near <= bound[part, None] * SLACK
+                limit = np.array([bound[g].max() for g in groups[part]]) * SLACK
             else:
-                order = np.argsort(near, axis=1, kind="stable")
-                before = np.cumsum(self.n[order], axis=1) - self.n[order]
-                take = np.zeros(near.shape, bool)
-                np.put_along_axis(take, order, before < k, axis=1)
-            picked += [(b, np.flatnonzero(take[:, b]) + part.start) for b in np.flatnonzero(take.any(0))]
-        return picked
+                limit = self._reach(box_distances(high, self.lo, self.hi, frame.width, low), k)
+            for g, within in zip(groups[part], least <= limit[:, None]):
+                kept = np.flatnonzero(within)
+                near = box_distances(at[g], self.lo[kept], self.hi[kept], frame.width)
+                if k is None:
+                    take = near <= bound[g, None] * SLACK
+                else:
+                    order = np.argsort(near, axis=1, kind="stable")
+                    n = self.n[kept][order]
+                    take = np.zeros(near.shape, bool)
+                    np.put_along_axis(take, order, np.cumsum(n, axis=1) - n < k, axis=1)
+                r, c = np.nonzero(take)
+                boxes.append(kept[c])
+                rows.append(g[r])
+                pairs += len(r)
+                if pairs >= PAIRS:
+                    yield by_box(boxes, rows)
+                    boxes, rows, pairs = [], [], 0
+        if pairs:
+            yield by_box(boxes, rows)
+
+    def _reach(self, most: np.ndarray, k: int) -> np.ndarray:
+        """Per group the distance within which, for each of its queries, boxes hold k rows together."""
+        if len(self.n) == 0 or self.n.sum() < k:
+            return np.full(len(most), np.inf)
+        if self.n.min() >= k:
+            return most.min(axis=1)
+        order = np.argsort(most, axis=1)
+        last = (np.cumsum(self.n[order], axis=1) >= k).argmax(axis=1)
+        return np.take_along_axis(most, np.take_along_axis(order, last[:, None], axis=1), axis=1)[:, 0]
 
 
 def _leaf_box(group: pa.Table) -> pa.Table:
@@ -429,10 +492,10 @@ class KnnIndex:
         frame = self.frame
 
         def run(batches):
-            for batch in batches:
-                if batch.num_rows:
-                    q, bound = matrix(batch.column("features")), batch.column("bound").to_numpy()
-                    yield packs(boxes.names, boxes.route(q, bound, k, frame), batch.column("qid").to_numpy(), q, bound)
+            for batch in gathered(batches, QUERIES_AT_ONCE):
+                q, bound = matrix(batch.column("features")), batch.column("bound").to_numpy()
+                for picked in boxes.route(q, bound, k, frame):
+                    yield packs(boxes.names, picked, batch.column("qid").to_numpy(), q, bound)
 
         return materialise(queries.mapInArrow(run, PACK_SCHEMA), "knn-packs")
 
@@ -456,7 +519,8 @@ class KnnIndex:
         def route(left: pa.Table, right: pa.Table) -> pa.Table:
             qids, q, bound = unpacked(left, width)
             boxes = Boxes.of(right, "block")
-            return pa.Table.from_batches([packs(boxes.names, boxes.route(q, bound, k, frame), qids, q, bound)])
+            return pa.Table.from_batches(
+                [packs(boxes.names, picked, qids, q, bound) for picked in boxes.route(q, bound, k, frame)], PACK_ARROW)
 
         boxes = self.blocks.select(
             F.col("leaf").cast("long").alias("place"), "block", F.col("n").cast("long").alias("n"), "lo", "hi")
@@ -509,7 +573,20 @@ class KnnIndex:
 
 def numbered(df: DataFrame, name: str = "_query") -> DataFrame:
     """The rows with a unique number each, written once so that the numbers stay."""
-    return materialise(df.withColumn(name, F.monotonically_increasing_id()), "knn-queries")
+    return materialise(df.withColumn(name, F.monotonically_increasing_id()), "knn-queries", spread=True)
+
+
+def gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+    """The batches' rows in tables of at least so many; only the last one may be smaller."""
+    held = []
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+        if sum(b.num_rows for b in held) >= rows:
+            yield pa.Table.from_batches(held)
+            held = []
+    if held:
+        yield pa.Table.from_batches(held)
 
 
 def packs(names, pick, qids, q32, bound) -> pa.RecordBatch:

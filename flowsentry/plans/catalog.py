@@ -700,7 +700,7 @@ def _knn_parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     df = surrogate.events(spark, sf_dir)
     rows = rule_preprocessor(df).transform(df).select(
         "row_id", F.col("label_learn").alias("label"), "features")
-    return sampling.stratified_split(materialise(rows, "rows"), "row_id", "label")
+    return sampling.stratified_split(materialise(rows, "rows", spread=True), "row_id", "label")
 
 
 @query("knn_neighbours", KNN_SQL + "select qid, rank::int as rank, id, round(sqrt(d2), 6) as distance, label from n where rank <= 5")
@@ -745,7 +745,7 @@ select fold, candidate, n_neighbors, weights, round(2 * tp / (2 * tp + fp + fn),
 def knn_grid(spark, sf_dir):
     df = surrogate.events(spark, sf_dir)
     rows = rule_preprocessor(df).transform(df).select("row_id", F.col("label_learn").alias("label"), "features")
-    folded = materialise(sampling.assign_folds(rows, "row_id", "label"), "folds")
+    folded = materialise(sampling.assign_folds(rows, "row_id", "label"), "folds", spread=True)
     return tuning.knn_grid(folded, "row_id").withColumn(
         "f1_score", F.round("f1_score", 6))
 
