@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from flowsentry.functions.session import materialise
 
 from .common import binary, fresh, row_hashes, slices
+from .words import part_of, spelt
 
 LEAD = 3
 SIMILAR = 0.8
@@ -32,7 +33,8 @@ LONG_TOKENS, LONG_DOCS = 50, 2  # a line this long does not recur by chance
 SHORT_TIMES = 4
 HEADS, CHUNK = 1_000, 20_000  # distinct lines of a leaf: centres to try in a round, and lines in a task's group
 
-_DIGITS = tuple(b"%d" % d for d in range(10))
+_INSIDE = bytes(x not in b" \t\n\r\x0b\x0c" for x in range(256))  # 1 in a token
+_DIGIT = bytes(x in b"0123456789" for x in range(256))  # 1 for a digit
 _FIELD, _PLAIN = b"\x00", b" "  # no token holds a blank
 _SEED = np.uint64(0x9E3779B97F4A7C15)
 
@@ -42,33 +44,31 @@ def _mix(value: np.ndarray) -> np.ndarray:
     return value ^ (value >> np.uint64(29))
 
 
-class _Numbers(dict):
-    """Numbers of tokens: a 64-bit hash that is the same in every task; a bounded cache of them."""
-
-    limit = 300_000
-
-    def __missing__(self, token: bytes) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-        field = not token.isalpha() and not token.startswith(_PLAIN) and any(d in token for d in _DIGITS)
-        found = self[token] = xxhash.xxh64_intdigest(_FIELD if field else token)
-        return found
-
-
-def parse(texts: list[bytes | None], numbers: _Numbers) -> tuple[np.ndarray, ...]:
+def parse(texts: list[bytes | None]) -> tuple[np.ndarray, ...]:
     """Of every line with a token: its text, its place there, its number of tokens; and all their
-    token numbers in a row. Digits of lines below LEAST_TOKENS count as they are."""
-    row, place, size, tokens = [], [], [], []
-    for k, data in enumerate(texts):
-        for at, line in enumerate((data or b"").split(b"\n")):
-            parts = line.split()
-            if parts:
-                row.append(k)
-                place.append(at)
-                size.append(len(parts))
-                tokens += parts if len(parts) >= LEAST_TOKENS else [_PLAIN + x for x in parts]
-    codes = np.fromiter(map(numbers.__getitem__, tokens), np.uint64, len(tokens))
-    return np.array(row, np.int64), np.array(place, np.int32), np.array(size, np.int64), codes
+    token numbers in a row, 64-bit hashes that are the same in every task. Digits of lines below
+    LEAST_TOKENS count as they are."""
+    data = b"\n".join(text or b"" for text in texts) + b"\n"
+    start, _, tokens = spelt(np.frombuffer(data, np.uint8), np.frombuffer(data.translate(_INSIDE), bool))
+    breaks = np.flatnonzero(np.frombuffer(data, np.uint8) == ord("\n"))
+    ends = np.cumsum([len(text or b"") + 1 for text in texts])
+    line = part_of(start, breaks)
+    first = np.flatnonzero(np.append(True, line[1:] != line[:-1])[:len(line)])
+    row, size = part_of(start[first], ends), np.diff(np.append(first, len(line)))
+    place = line[first] - np.searchsorted(breaks, np.append(0, ends))[row]
+    # Equal tokens are hashed once.
+    words, word = tokens.dictionary.to_pylist(), tokens.indices.to_numpy()
+    number = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    letters = b"".join(words)
+    bounds = np.append(0, np.cumsum(np.fromiter(map(len, words), np.int64, len(words))))
+    digits = np.append(0, np.cumsum(np.frombuffer(letters.translate(_DIGIT), np.uint8), dtype=np.int64))[bounds]
+    number[digits[1:] > digits[:-1]] = xxhash.xxh64_intdigest(_FIELD)
+    codes = number[word]
+    short = np.flatnonzero(np.repeat(size < LEAST_TOKENS, size))
+    plain, used = np.zeros(len(words), np.uint64), np.unique(word[short])
+    plain[used] = np.fromiter((xxhash.xxh64_intdigest(_PLAIN + words[k]) for k in used.tolist()), np.uint64, len(used))
+    codes[short] = plain[word[short]]
+    return row, place.astype(np.int32), size, codes
 
 
 def _keys(size: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -92,10 +92,9 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers = _Numbers()
         for batch in batches:
             for piece in slices(batch, "text"):
-                row, place, size, codes = parse(binary(piece.column("text")).to_pylist(), numbers)
+                row, place, size, codes = parse(binary(piece.column("text")).to_pylist())
                 leaf, line = _keys(size, codes)
                 shape = (codes >> np.uint64(48)).astype(np.uint16)
                 ends = np.append(0, np.cumsum(2 * size)).astype(np.int32)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from functools import cache
 
 import numpy as np
+import pyarrow as pa
+import xxhash
 
 from .shingles import mix
 
@@ -22,6 +24,40 @@ def spans(inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
+def spelt(codes: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.DictionaryArray]:
+    """Starts and ends of the runs of True, and their bytes, equal ones kept once."""
+    start, end = spans(inside)
+    places = np.append(0, np.cumsum(end - start)).astype(np.int32)
+    words = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(places), pa.py_buffer(codes[inside])])
+    return start, end, words.dictionary_encode()
+
+
+def part_of(place: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """How many of ``ends`` are not beyond each place; both ascend, the last end lies beyond all places."""
+    return np.repeat(np.arange(len(ends)), np.diff(np.searchsorted(place, ends), prepend=0))
+
+
+_EIGHT = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)  # the first k of eight bytes
+LONG_SPAN = 64
+
+
+def span_hashes(codes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of codes[start:end], eight bytes at a time; spans beyond LONG_SPAN one by one."""
+    # Eight bytes from every place on.
+    eights = np.ndarray(len(codes) + 1, "<u8", np.append(codes, np.zeros(8, np.uint8)), strides=(1,))
+    size = end - start
+    out = mix(size.astype(np.uint64) * _BASE)
+    rest = np.flatnonzero(size <= LONG_SPAN)
+    at, left = start[rest], size[rest]
+    while len(rest):
+        out[rest] = mix(out[rest] * _BASE + (eights[at] & _EIGHT[np.minimum(left, 8)]))
+        more = left > 8
+        rest, at, left = rest[more], at[more] + 8, left[more] - 8
+    for k in np.flatnonzero(size > LONG_SPAN).tolist():
+        out[k] = xxhash.xxh64_intdigest(codes[start[k]:end[k]])
+    return out
+
+
 class SpanHashes:
     """64-bit hashes of codes[start:end] and of their first bytes.
 
