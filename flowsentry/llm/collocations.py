@@ -33,12 +33,13 @@ from flowsentry.functions.session import materialise, release
 
 from .common import ASCII_LOWER, binary, slices
 from .shingles import mix
-from .words import BitFilter, SpanHashes, spans
+from .words import BitFilter, part_of, span_hashes, spans
 
 THRESHOLD, MOST_WORDS, TOP = 100, 5, 2_000
 SHARDS = 4
 SHARD_BYTES = 1 << 20  # of text that is taken apart at a time
 WINDOWS = 2_000_000  # phrases a task holds before it sums equal ones
+WORDS = 400_000  # and words
 MOST_BITS = 27
 SALTS = 64
 UNKNOWN = "und"  # the language where it is null
@@ -48,6 +49,7 @@ _SEPARATORS = b".,;:!?\n\x0b\x0c\r"
 _KIND = np.zeros(256, np.uint8)  # 0 in a word, 1 blank, 2 between pieces
 _KIND[list(b" \t")] = 1
 _KIND[list(_SEPARATORS)] = 2
+_KINDS = _KIND.tobytes()
 _TURN = np.uint64(0xD6E8FEB86659FD93)
 _COUNTS = "k int, start int, p long, w long, word binary, lang string, n long"
 
@@ -72,23 +74,26 @@ class _Words:
     """All words of some texts in a row: hash (by language), piece, and bytes."""
 
     def __init__(self, texts: list[bytes], langs: list[str]):
-        self.codes = np.frombuffer(b"\n".join(texts).translate(ASCII_LOWER) + b"\n", np.uint8)
-        kind = _KIND[self.codes]
-        self.start, self.end = spans(kind == 0)
-        ends = np.cumsum([len(t) + 1 for t in texts])
-        self.text = np.searchsorted(ends, self.start, side="right")
+        data = b"\n".join(texts).translate(ASCII_LOWER) + b"\n"
+        kind = np.frombuffer(data.translate(_KINDS), np.uint8)
+        self.codes, self.inside = np.frombuffer(data, np.uint8), kind == 0
+        self.start, self.end = spans(self.inside)
+        self.text = part_of(self.start, np.cumsum([len(t) + 1 for t in texts]))
         seed = {x: xxhash.xxh64_intdigest(x) for x in set(langs)}
         seeds = np.array([seed[x] for x in langs], np.uint64)
-        self.hash = mix(SpanHashes(self.codes, self.start, self.end).whole() ^ seeds[self.text])
-        self.piece = np.cumsum(kind == 2)[self.start]
+        self.hash = mix(span_hashes(self.codes, self.start, self.end) ^ seeds[self.text])
+        self.piece = part_of(self.start, np.flatnonzero(kind == 2))
 
     def distinct(self) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]:
         """Hash, bytes, text and count of every distinct word."""
-        found, first, n = np.unique(self.hash, return_index=True, return_counts=True)
+        order = np.argsort(self.hash)
+        found = self.hash[order]
+        new = np.flatnonzero(np.append(True, found[1:] != found[:-1]))
+        first = order[new]
         ends = np.append(0, np.cumsum(self.end - self.start)).astype(np.int32)
-        letters = self.codes[_KIND[self.codes] == 0]
+        letters = self.codes[self.inside]
         words = pa.Array.from_buffers(pa.binary(), len(self.start), [None, pa.py_buffer(ends), pa.py_buffer(letters)])
-        return found, words.take(pa.array(first)), self.text[first], n
+        return found[new], words.take(pa.array(first)), self.text[first], np.diff(np.append(new, len(found)))
 
 
 Filters = dict[int, list[tuple[int, BitFilter]]]  # by length: (step, phrases that reached the threshold in it)
@@ -129,7 +134,7 @@ def _phrases(words: _Words, step: int, shards: int, most_words: int, filters: Fi
 
 def _summed(k: int, parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
     start, begin, last = (np.concatenate(x) for x in zip(*parts))
-    order = np.argsort(phrase_hash(begin, last), kind="stable")
+    order = np.argsort(phrase_hash(begin, last))
     start, begin, last = start[order], begin[order], last[order]
     new = np.append(True, (begin[1:] != begin[:-1]) | (last[1:] != last[:-1]))
     first = np.flatnonzero(new)
@@ -137,6 +142,20 @@ def _summed(k: int, parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> p
     return _batch(k, start[first].astype(np.int32), begin[first], last[first], None, None, n)
 
 
+def _merged(parts: list[tuple]) -> tuple[np.ndarray, pa.Array, pa.Array, np.ndarray]:
+    """Hash, bytes, language and count of the words of several groups of texts, equal ones summed."""
+    found, spelt, lang, n = zip(*parts)
+    found, n = np.concatenate(found), np.concatenate(n)
+    order = np.argsort(found)
+    new = np.flatnonzero(np.append(True, found[order][1:] != found[order][:-1]))
+    first = pa.array(order[new])
+    return found[order[new]], pa.concat_arrays(spelt).take(first), pa.concat_arrays(lang).take(first), np.add.reduceat(n[order], new)
+
+
+def _word_batch(found: np.ndarray, spelt: pa.Array, lang: pa.Array, n: np.ndarray) -> pa.RecordBatch:
+    return _batch(1, np.full(len(n), -1, np.int32), np.zeros(len(n), np.uint64), found, spelt, lang, n)
+
+
 def _batch(k, start, begin, last, word, lang, n) -> pa.RecordBatch:
     size = len(n)
     return pa.RecordBatch.from_pydict({
@@ -151,6 +170,7 @@ def _scan(texts: DataFrame, step: int, shards: int, most_words: int, filters: Fi
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
+        words_held: list[tuple] = []
         size = 0
         for batch in batches:
             for piece in slices(batch, "text", SHARD_BYTES):
@@ -170,7 +190,11 @@ def _scan(texts: DataFrame, step: int, shards: int, most_words: int, filters: Fi
                     if step < shards:
                         found, spelt, text, n = words.distinct()
                         lang = pa.array(langs_here, pa.string()).take(pa.array(text))
-                        yield _batch(1, np.full(len(n), -1, np.int32), np.zeros(len(n), np.uint64), found, spelt, lang, n)
+                        words_held.append((found, spelt, lang, n))
+                        if sum(len(x[0]) for x in words_held) > WORDS:
+                            words_held = [_merged(words_held)]
+                            if 2 * len(words_held[0][0]) > WORDS:
+                                yield _word_batch(*words_held.pop())
                     for k, *found in _phrases(words, step, shards, most_words, shared.value):
                         held.setdefault(k, []).append(tuple(found))
                         size += len(found[0])
@@ -178,6 +202,8 @@ def _scan(texts: DataFrame, step: int, shards: int, most_words: int, filters: Fi
                         yield from (_summed(k, x) for k, x in held.items())
                         held, size = {}, 0
         yield from (_summed(k, x) for k, x in held.items())
+        if words_held:
+            yield _word_batch(*_merged(words_held))
 
     return texts.select("text", "lang").mapInArrow(run, _COUNTS)
 
