@@ -16,12 +16,14 @@ from pyspark.ml.classification import (
     MultilayerPerceptronClassifier, RandomForestClassificationModel, RandomForestClassifier,
 )
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from flowsentry.functions.columns import apply_threshold, linear_score, logistic
 from flowsentry.functions.session import scratch_path, write_json
 from flowsentry.operators.forest import ForestModel, from_library, grow_forest
 from flowsentry.operators.newton import MAX_SCANS, Problem, solve
+from flowsentry.operators.perceptron import fit_weights
 
 # Penalty grid of the linear models.
 C_VALUES = (0.001, 0.01, 0.1, 1.0, 10.0, 100.0, 1000.0)
@@ -213,14 +215,30 @@ def fit_forest(train: DataFrame, seed: int = 42, solver: str = "histogram", key:
 
 
 def fit_mlp(
-    train: DataFrame, hidden: tuple[int, ...] = (128, 64), max_iter: int = 100, seed: int = 42
+    train: DataFrame, hidden: tuple[int, ...] = (128, 64), max_iter: int = 100, seed: int = 42, solver: str = "scans",
 ) -> VectorModel:
-    """Spark ML's multilayer perceptron: sigmoid units, L-BFGS."""
-    width = len(train.select("features").head().features)
-    estimator = MultilayerPerceptronClassifier(
-        featuresCol=VECTOR, labelCol="label", layers=[width, *hidden, 2], maxIter=max_iter, seed=seed
-    )
-    return VectorModel(estimator.fit(training_frame(train)), "perceptron")
+    """Spark ML's multilayer perceptron: sigmoid units, L-BFGS.
+
+    With ``scans`` the library gives the starting weights and the model, and the weights are trained over packed
+    rows (see perceptron); ``library`` trains with the library itself.
+    """
+    first = train.select("features").head()
+    layers = [len(first.features), *hidden, 2]
+
+    def estimator(iterations: int, **start) -> MultilayerPerceptronClassifier:
+        return MultilayerPerceptronClassifier(
+            featuresCol=VECTOR, labelCol="label", layers=layers, maxIter=iterations, seed=seed, **start)
+
+    if solver == "library":
+        return VectorModel(estimator(max_iter).fit(training_frame(train)), "perceptron")
+    # Without iterations the library takes its weights as they are, whatever the row.
+    row = training_frame(train.sparkSession.createDataFrame([(0, first.features)], train.select(
+        F.lit(0).alias("label"), "features").schema))
+    start = estimator(0).fit(row).weights.toArray()
+    missing = F.raise_error(F.lit("a label is missing")).cast("double")
+    known = train.select("features", F.coalesce(F.col("label").cast("double"), missing).alias("label"))
+    weights = fit_weights(_all_rows(known), layers, start, max_iter)
+    return VectorModel(estimator(0, initialWeights=Vectors.dense(weights)).fit(row), "perceptron")
 
 
 def feature_importances(spark: SparkSession, model: ForestModel | VectorModel, names: list[str]) -> DataFrame:
