@@ -175,3 +175,23 @@ def test_large_nodes_take_one_scan_a_level(spark, monkeypatch):
     bins, tries = forest.MAX_BINS, 3
     assert len(sizes) <= 1 + 4  # the trees' sizes, and the levels from 0 to 3
     assert sizes[0] == 4 * 3 and max(sizes) <= 4 * 2 ** 3 * tries * bins * 3
+
+
+def test_histograms_and_branches_do_not_gather_on_the_driver(spark, data, monkeypatch):
+    """Large nodes are cut by tasks, whose sums stay with them, and branches come a few trees at a time; in pieces
+    of whatever size the trees are the same, and a broadcast forest can be given back."""
+    x, y = data
+    df = table(spark, x, y)
+    whole = forest.grow_forest(df, 3, n_estimators=6, max_depth=None, key="id", local_rows=100)
+    sums, inner = [], forest.sum_over_tasks
+    monkeypatch.setattr(forest, "sum_over_tasks", lambda *a: sums.append(inner(*a)) or sums[-1])
+    monkeypatch.setattr(forest, "PIECE_BYTES", 1)
+    monkeypatch.setattr(forest, "TREES_AT_PASS", 2)
+    pieces = forest.grow_forest(df, 3, n_estimators=6, max_depth=None, key="id", local_rows=100)
+    assert same(whole, pieces) and np.allclose(whole.importances, pieces.importances)
+    assert sum(len(s) for s in sums) == 6 * 3  # the sizes of the roots
+    scored = pieces.attach(df, "s", "p")
+    assert [r.p for r in scored.orderBy("id").collect()] == (pieces.scores(x) >= 0.5).astype(int).tolist()
+    pieces.release()
+    assert scored.count() == 1200 and not hasattr(pieces, "_shared")
+    assert [r.p for r in pieces.attach(df, "s", "p").orderBy("id").collect()] == (pieces.scores(x) >= 0.5).astype(int).tolist()
