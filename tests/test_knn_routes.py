@@ -42,3 +42,31 @@ def test_two_files_are_dealt_out_over_all_cores(spark):
     cores = spark.sparkContext.defaultParallelism
     sizes = [r["count"] for r in materialise(rows, spread=True).groupBy(F.input_file_name()).count().collect()]
     assert len(sizes) == cores and sum(sizes) == 200
+
+
+def test_votes_of_a_grid_by_running_sums(spark):
+    """What each candidate votes alone, for lists with rows at distance 0, ties, and fewer rows than k."""
+    rng = np.random.default_rng(5)
+    lists = []
+    for size in [1, 2, 5, 21] * 30:
+        d2 = np.sort(rng.choice([0.0, 0.25, 0.5, 1.0, 3.0], size) if size % 2 else rng.random(size))
+        lists.append((size, [(float(d), i, int(rng.integers(0, 2))) for i, d in enumerate(d2)]))
+    rows = spark.createDataFrame(lists, "n int, nn array<struct<d2: double, id: long, label: int>>")
+    grid = [(k, w) for k in knn.NEIGHBOURS for w in knn.WEIGHTS]
+    both = rows.select(knn.grid_votes(grid)("nn").alias("together"), F.array(*[
+        knn.vote(knn.vote_share(F.col("nn"), k, w)) for k, w in grid]).alias("alone")).collect()
+    assert len(both) == 120 and all(r.together == r.alone for r in both)
+    assert len({v for r in both for v in r.alone}) == 2
+    with pytest.raises(ValueError, match="unknown weights"):
+        knn.grid_votes([(3, "other")])
+
+
+def test_neighbours_are_ranked_without_a_row_each(spark):
+    """The best k of a query's lists are merged as lists: no window over a row for every candidate."""
+    rng = np.random.default_rng(8)
+    rows = spark.createDataFrame([(i, i % 2, [float(v) for v in rng.random(2)]) for i in range(60)],
+                                 "id long, label int, features array<float>")
+    found = knn.KnnIndex.fit(rows, "id", 5, block_rows=8).search(rows, "id", 5)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Generate explode(nn" not in plan
+    assert all(len(r.nn) == 5 and r.nn[0].id == r.qid and r.nn == sorted(r.nn) for r in found.collect())
